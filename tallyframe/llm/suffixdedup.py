@@ -22,17 +22,18 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyframe.llm.common import _BASE, _INVERSE, M1, _powers, documents, mix, slices
-from tallyframe.storage import materialize
+from tallyframe.storage import bucketed, materialize
 
 MATCH = 100
 ANCHOR = 32
@@ -234,12 +235,8 @@ def _slot_keys(slots: int) -> list[int]:
     return [found[b] for b in range(slots)]
 
 
-_BLOCK = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
-
-
-def _store(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The texts in blocks (slot, seq, n_bytes, block), bucketed by slot; and how many buckets."""
-    spark = docs.sparkSession
+def _store(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The texts in blocks (slot, seq, n_bytes, block), each sorted by doc_id, bucketed by slot."""
     slots = max(1, min(MAX_SLOTS, docs.rdd.getNumPartitions()))
     keys = _slot_keys(slots)
 
@@ -247,30 +244,30 @@ def _store(docs: DataFrame) -> tuple[DataFrame, int]:
         part = TaskContext.get().partitionId()
         slot, seq = keys[part % slots], part // slots << 20
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = [x or 0 for x in pa.compute.binary_length(texts).to_pylist()]
+            sizes = [x or 0 for x in pc.binary_length(batch.column(1)).to_pylist()]
             for lo, hi in slices(sizes, BLOCK_BYTES):
-                rows = [(-(1 << 63) if i is None else i, (t or "").encode()) for i, t in zip(ids[lo:hi], texts.slice(lo, hi - lo).to_pylist(), strict=True)]
-                rows.sort(key=lambda r: r[0])
+                rows = batch.slice(lo, hi - lo)
+                ids = pc.fill_null(rows.column(0), -(1 << 63))
+                texts = pc.fill_null(rows.column(1), "").cast(pa.large_binary())
+                block = pa.RecordBatch.from_arrays([ids, texts, *rows.columns[2:]], ["doc_id", "text", *keep])
+                block = block.take(pa.array(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.large_binary())], schema=_BLOCK))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([slot], pa.int32()), pa.array([seq], pa.int32()), pa.array([sum(len(t) for _, t in rows)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                    ["slot", "seq", "n_bytes", "block"],
-                )
+                with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(block)
+                out = [pa.array([slot], pa.int32()), pa.array([seq], pa.int32()), pa.array([sum(sizes[lo:hi])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["slot", "seq", "n_bytes", "block"])
                 seq += 1
 
-    import pyarrow.compute  # noqa: F401
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(pack, "slot int, seq int, n_bytes long, block binary")
+    return bucketed(rows, "suffix_blocks", slots, "slot")
 
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "slot int, seq int, n_bytes long, block binary")
-    blocks.write.option("compression", "none").bucketBy(slots, "slot").saveAsTable(name)
-    return spark.table(name), slots
+
+def _block(raw: pa.Buffer) -> pa.RecordBatch:
+    return pa.ipc.open_stream(pa.BufferReader(raw)).read_next_batch()
 
 
 def _texts(block: pa.Buffer) -> tuple[np.ndarray, list[bytes]]:
-    batch = pa.ipc.open_stream(pa.BufferReader(block)).read_next_batch()
+    batch = _block(block)
     return batch.column(0).to_numpy(), batch.column(1).to_pylist()
 
 
@@ -389,41 +386,51 @@ def _removed(texts: list[bytes], whole: np.ndarray, index: np.ndarray, windows:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _finish(with_text: bool):
+def _finish(with_text: bool, keep: tuple[str, ...], kinds: list[pa.DataType]):
+    mask = -(-(_LEFT + 1) // 8)
+
     def run(blocks: pa.Table, verdicts: pa.Table) -> pa.Table:
         said: dict[tuple[int, int], list[dict[str, bytes]]] = {}
         for slot, seq, m in _messages(verdicts):
             said.setdefault((slot, seq), []).append(m)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text)}
-        for slot, seq, block in zip(blocks.column("slot").to_pylist(), blocks.column("seq").to_pylist(), blocks.column("block"), strict=True):
-            ids, texts = _texts(block.as_buffer())
+        out = []
+        for slot, seq, raw in zip(blocks.column("slot").to_pylist(), blocks.column("seq").to_pylist(), blocks.column("block"), strict=True):
+            block = _block(raw.as_buffer())
+            ids, texts = block.column(0).to_pylist(), block.column(1).to_pylist()
             got = said.get((slot, seq), [])
             whole = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(m["whole"], np.uint32) for m in got if "whole" in m)])
             index = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(m["index"], np.uint32) for m in got if "windows" in m)])
-            bits = np.concatenate([np.zeros((0, -(-(_LEFT + 1) // 8)), np.uint8), *(np.frombuffer(m["windows"], np.uint8).reshape(-1, -(-(_LEFT + 1) // 8)) for m in got if "windows" in m)])
+            bits = np.concatenate([np.zeros((0, mask), np.uint8), *(np.frombuffer(m["windows"], np.uint8).reshape(-1, mask) for m in got if "windows" in m)])
             gone = _removed(texts, whole, index, np.unpackbits(bits, axis=1, count=_LEFT + 1))
-            at = 0
-            for i, t in zip(ids.tolist(), texts, strict=True):
+            n, spans, kept, at = [], [], [], 0
+            for t in texts:
                 g = gone[at : at + len(t)]
                 at += len(t)
-                n = int(g.sum())
-                kept = t if not n else np.frombuffer(t, np.uint8)[~g].tobytes()
-                out["doc_id"].append(None if i == -(1 << 63) else i)
-                out["n_bytes"].append(len(t))
-                out["n_removed"].append(n)
-                out["n_spans"].append(int(np.count_nonzero(g[1:] & ~g[:-1]) + (len(g) > 0 and g[0])))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    out["kept_text"].append(kept.decode("utf-8", errors="ignore"))
-        kinds = {"kept_sha256": pa.string(), "kept_text": pa.string()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+                n.append(int(g.sum()))
+                spans.append(int(np.count_nonzero(g[1:] & ~g[:-1])) + bool(len(g) and g[0]))
+                kept.append(np.frombuffer(t, np.uint8)[~g].tobytes() if n[-1] else t)
+            columns = {
+                "doc_id": pa.array([None if i == -(1 << 63) else i for i in ids], pa.int64()),
+                "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+                "n_removed": pa.array(n, pa.int64()),
+                "n_spans": pa.array(spans, pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+            }
+            if with_text:
+                columns["kept_text"] = pa.array([k.decode("utf-8", errors="ignore") for k in kept], pa.string())
+            out.append(pa.table(columns | {k: block.column(k) for k in keep}))
+        if out:
+            return pa.concat_tables(out)
+        kinds_ = [pa.int64()] * 4 + [pa.string()] * (1 + with_text) + kinds
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text, *keep]
+        return pa.table({k: pa.array([], t) for k, t in zip(names, kinds_, strict=True)})
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and kept_text: the bytes left, where a cut
-    inside a character drops that character).
+    inside a character drops that character; and the columns named in keep).
 
     A byte goes if some string of MATCH bytes that covers it also starts earlier: in a document of smaller doc_id,
     or earlier in the same one; strings are judged on the input, overlaps count. Rows that share a doc_id are
@@ -431,7 +438,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     shorter than MATCH bytes stay whole. An empty table gives an empty one. Extra columns are left behind.
     """
     spark = docs.sparkSession
-    blocks, _ = _store(docs)
+    blocks = _store(docs, keep)
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 25), 1)
     prints = _fingerprints(blocks, buckets)
@@ -439,8 +446,10 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     pieces = blocks.groupBy("slot").cogroup(judged.groupBy("slot")).applyInArrow(_asked(buckets), _MESSAGE)
     compared = materialize(pieces.groupBy("bucket").applyInArrow(_compare, _MESSAGE), "suffix-compared")
     verdicts = judged.unionByName(compared)
+    kinds = [to_arrow_type(docs.schema[k].dataType) for k in keep]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return blocks.groupBy("slot").cogroup(verdicts.groupBy("slot")).applyInArrow(_finish(with_text), schema)
+    schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return blocks.groupBy("slot").cogroup(verdicts.groupBy("slot")).applyInArrow(_finish(with_text, keep, kinds), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
