@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[str] = []
+_tables: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where that is unset, a temporary folder is used under a
@@ -22,10 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor
-    costs a re-read instead of a recomputation."""
+    costs a re-read instead of a recomputation. Unless kept, release() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.parquet(path)
+    if not kept:
+        _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame:
+    """Writes df as a bucketed table in the warehouse, so that later groupings by the columns read it in place."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "none").bucketBy(buckets, *columns).saveAsTable(table)
+    _tables.append(table)
+    return df.sparkSession.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables made so far. To be called once the results that read them are written."""
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()} PURGE")
