@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.storage import materialize
+from tallyframe.storage import discard, materialize
 
 
 def _symmetric(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             .where("u != v")
             .distinct()
         )
-        cur = materialize(small, "cc")
+        before, cur = cur, materialize(small, "cc")
+        discard(before)
         now = cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == seen:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

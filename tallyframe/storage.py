@@ -31,9 +31,25 @@ def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tallyframe_path = path
     if not kept:
         _paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes materialized tables that nothing still to be run reads."""
+    for df in dfs:
+        path = df.tallyframe_path
+        if path in _paths:
+            _paths.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame:
@@ -47,7 +63,6 @@ def bucketed(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame
 def release(spark: SparkSession) -> None:
     """Deletes the intermediate tables made so far. To be called once the results that read them are written."""
     while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _paths.pop())
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()} PURGE")
