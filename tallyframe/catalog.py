@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from tallyframe.plans import market  # noqa: E402, F401
+from tallyframe.plans import market, metrics  # noqa: E402, F401
