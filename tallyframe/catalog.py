@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from tallyframe.plans import manifest, market, metrics, stats  # noqa: E402, F401
+from tallyframe.plans import manifest, market, metrics, relations, scoring, stats  # noqa: E402, F401
