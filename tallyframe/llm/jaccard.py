@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import M1, documents, lower_ascii, mix, pack_texts, shingle_table, slices, word_table
 from tallyframe.operators.graph import connected_components
-from tallyframe.storage import materialize
+from tallyframe.storage import discard, materialize
 
 SLICE_BYTES = 1 << 20
 #: Up to so many ids of sets to verify, the filter on the table of sets is a broadcast join; beyond, a shuffled one.
@@ -73,7 +73,7 @@ class PartEnum:
             parts = parts.reshape(n1, self.n2)
             tag = mix(np.arange(n1, dtype=np.uint64) + np.uint64(b << 32))
             for j, c in enumerate(self.choices):
-                s = tag + np.uint64(j) * M1
+                s = tag + np.uint64(j * int(M1) & 0xFFFFFFFFFFFFFFFF)
                 for col in c:
                     s = mix(s * M1 + parts[:, col])
                 out.append(s)
@@ -124,11 +124,11 @@ def signed_sets(docs: DataFrame, words: int, scheme: PartEnum) -> DataFrame:
 
 
 def _sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall in each of m buckets, m a power of two near a quarter of the set. The sum of
-    differences of two sets' counts is at most the number of elements in which they differ."""
+    """How many elements fall in each of m buckets, m a power of two near a quarter of the set, 255 at most. The
+    sum of differences of two sets' counts is at most the number of elements in which they differ, cut off or not."""
     m = 1 << max(4, (max(1, len(elements) // 4) - 1).bit_length())
     h = (mix(elements ^ M1) >> np.uint64(40)).astype(np.int64) & (m - 1)
-    return np.bincount(h, minlength=m).astype("<u4").tobytes()
+    return np.minimum(np.bincount(h, minlength=m), 255).astype(np.uint8).tobytes()
 
 
 def element_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -141,8 +141,9 @@ def element_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sketch binary, elements binary")
 
 
-def _fold(sketch: np.ndarray, m: int) -> np.ndarray:
-    return sketch.reshape(-1, m).sum(0) if len(sketch) > m else sketch
+def _fold(sketches: np.ndarray, m: int) -> np.ndarray:
+    """Sketches of fewer buckets. Counts are cut off again, as if counted in those buckets."""
+    return np.minimum(sketches.reshape(len(sketches), -1, m).sum(1), 255) if sketches.shape[1] > m else sketches
 
 
 def possible(n: np.ndarray, sketches: list[np.ndarray], i: int, others: np.ndarray, percent: int) -> np.ndarray:
@@ -158,12 +159,10 @@ def possible(n: np.ndarray, sketches: list[np.ndarray], i: int, others: np.ndarr
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
         m = min(int(w), len(sketches[i]))
-        own = _fold(sketches[i], m)
+        own = _fold(sketches[i][None], m)
         for lo in range(0, len(at), 4096):
             part = at[lo : lo + 4096]
-            them = np.stack([sketches[j] for j in fits[part]])
-            if m < w:
-                them = them.reshape(len(part), -1, m).sum(1)
+            them = _fold(np.stack([sketches[j] for j in fits[part]]), m)
             out[part] = np.abs(them - own).sum(1) <= allowed[part]
     return fits[out]
 
@@ -209,7 +208,7 @@ def _pairs_to_verify(groups: DataFrame, features: DataFrame, components: DataFra
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if later and (comp[a:b] == comp[a]).all():
                 continue
-            sketches = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in raw.slice(a, b - a)]
+            sketches = [np.frombuffer(x.as_py(), np.uint8).astype(np.int32) for x in raw.slice(a, b - a)]
             out.update(_group_edges(ids[a:b], n[a:b], sketches, comp[a:b] if later else None, percent))
         left, right = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
@@ -270,7 +269,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, secon
     links = materialize(_verified(_pairs_to_verify(groups, features, None, percent), elements, percent), "jaccard-links")
     first = connected_components(links)
     rest = _verified(_pairs_to_verify(groups, features, first, percent), elements, percent)
-    components = connected_components(materialize(links.unionByName(rest), "jaccard-links"))
+    links_all = materialize(links.unionByName(rest), "jaccard-links")
+    discard(groups, elements, links)
+    components = connected_components(links_all)
     return (
         signed.select("doc_id", "n_shingles", "set_key")
         .join(classes.select("set_key", "rep"), "set_key", "left")
