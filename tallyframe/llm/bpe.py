@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm.common import documents
+from tallyframe.llm.common import documents, in_small_batches, tidy_stream
 
 #: Longer pre-tokens are merged one by one with a heap, in n log n steps: the matrix would need n rounds of width n.
 MATRIX_BYTES = 256
@@ -212,7 +212,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays)])
                     texts, total, start = [], 0, i + 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(tidy_stream(run), schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -16,6 +20,64 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ("*",))
 
 
+#: Bytes of the batches in which texts go to Python; one longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session sends Python batches bounded by bytes and not by rows alone: texts vary in length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    size = df.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if size > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks and would hold their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy_stream(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back at the end of each task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function for applyInArrow that gives memory back after each group."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def tidy_pair(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for cogrouped tables."""
+
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * M2
     return h ^ (h >> np.uint64(29))

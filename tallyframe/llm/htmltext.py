@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import in_small_batches, tidy_stream
+
 # Fixed values of HTML: elements without content, with raw content, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select noembed noframes xmp".split())
@@ -441,7 +443,7 @@ def extract_pages(pages: DataFrame, trees: BoostedTrees | None = None) -> DataFr
                 texts = extract([s or "" for s in part.column(2).to_pylist()], trees)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_small_batches(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")).mapInArrow(tidy_stream(run), "page_id long, url string, text string, n_chars long")
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, slices
+from tallyframe.llm.common import documents, in_small_batches, slices, tidy_stream
 
 WINDOW = 64
 HIDDEN = 8
@@ -197,7 +197,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], ["doc_id", "lang", "window"])
 
-    chosen = taught.where(u < share).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(cut, "doc_id long, lang string, window binary")
+    chosen = in_small_batches(taught).where(u < share).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(tidy_stream(cut), "doc_id long, lang string, window binary")
     got = sorted((r["lang"], r["doc_id"], bytes(r["window"])) for r in chosen.collect())
     languages = sorted(counts)
     x, owner = windows([w for _, _, w in got])
@@ -223,7 +223,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
                     labels[i], scores[i] = network.languages[k], min(1.0, s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy_stream(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, lower_ascii, mix, pack_texts, shingle_table, slices, word_table
+from tallyframe.llm.common import documents, in_small_batches, lower_ascii, mix, pack_texts, shingle_table, slices, tidy_group, tidy_stream, word_table
 
 SHINGLE_WORDS = 5
 #: Bytes of text fingerprinted at once, and texts sent on in one compressed message.
@@ -60,7 +60,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             prints = fingerprints([(t or "").encode() for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy_stream(run), "doc_id long, fingerprint long")
 
 
 def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
@@ -179,10 +179,10 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         )
 
     return (
-        rows.select("doc_id", "text")
-        .mapInArrow(deal, "part int, message binary")
+        in_small_batches(rows.select("doc_id", "text"))
+        .mapInArrow(tidy_stream(deal), "part int, message binary")
         .groupBy("part")
-        .applyInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        .applyInArrow(tidy_group(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     )
 
 

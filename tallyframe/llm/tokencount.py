@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import documents, mix
+from tallyframe.llm.common import documents, in_small_batches, mix, tidy_stream
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -180,7 +180,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             got += u.count(part)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], pa.int64()) for k in (0, 1))], ["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy_stream(run), "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
