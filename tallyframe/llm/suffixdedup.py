@@ -21,6 +21,7 @@ passes read them where they are and only fingerprints, candidate pieces and verd
 from __future__ import annotations
 
 import hashlib
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -32,13 +33,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyframe.llm.common import _BASE, _INVERSE, M1, _powers, documents, mix, slices
+from tallyframe.llm.common import _BASE, _INVERSE, M1, _powers, documents, in_small_batches, mix, slices, tidy_group, tidy_pair, tidy_stream
 from tallyframe.storage import bucketed, materialize
 
 MATCH = 100
 ANCHOR = 32
-BLOCK_BYTES = 1 << 21
-MAX_SLOTS = 20_000
+#: Text of one block: numbers for each byte of it are held at once.
+BLOCK_BYTES = 1 << 19
+#: Text whose pieces meet in one collection, on average.
+BUCKET_BYTES = 1 << 23
+MAX_BUCKETS = 20_000
+#: The blocks of one partition stand in so many groups: a group's blocks and verdicts are held at once.
+SLOTS = 16
 _LEFT = MATCH - ANCHOR  # an anchor starts at most so far behind its piece's start
 _COLUMNS = _LEFT + MATCH
 
@@ -60,7 +66,9 @@ class Pieces:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
         back = _powers(_INVERSE, n)
-        h = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * back[: n - ANCHOR + 1] + M1)
+        h = sums[ANCHOR:] - sums[:-ANCHOR]
+        h *= back[: n - ANCHOR + 1]
+        h = mix(h + M1)
         lead = _window_min(h, MATCH - ANCHOR + 1)
         # windows inside one text
         doc_start = self.ends - np.diff(self.ends, prepend=0)
@@ -178,22 +186,30 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, left: np.ndarray, size
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
-    sink = pa.BufferOutputStream()
-    schema = pa.schema([(k, pa.binary()) for k in arrays])
-    batch = pa.record_batch([pa.array([v.tobytes()], pa.binary()) for v in arrays.values()], schema=schema)
-    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(raw: pa.Buffer | bytes) -> dict[str, bytes]:
-    batch = pa.ipc.open_stream(pa.BufferReader(raw)).read_next_batch()
-    return {k: batch.column(i)[0].as_py() for i, k in enumerate(batch.schema.names)}
+    """Arrays as one compressed message: its full length, then for each array its name and bytes."""
+    parts = []
+    for k, v in arrays.items():
+        parts += [struct.pack("<B", len(k)), k.encode(), struct.pack("<Q", v.nbytes), v.tobytes()]
+    raw = b"".join(parts)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(message: bytes) -> dict[str, bytes]:
+    raw = pa.decompress(message[8:], decompressed_size=struct.unpack_from("<Q", message)[0], codec="zstd", asbytes=True)
+    out, at = {}, 0
+    while at < len(raw):
+        n = raw[at]
+        k = raw[at + 1 : at + 1 + n].decode()
+        size = struct.unpack_from("<Q", raw, at + 1 + n)[0]
+        at += 9 + n
+        out[k] = raw[at : at + size]
+        at += size
+    return out
 
 
 def _messages(table: pa.Table) -> Iterator[tuple[int, int, dict[str, bytes]]]:
     for slot, seq, m in zip(table.column("slot").to_pylist(), table.column("seq").to_pylist(), table.column("message"), strict=True):
-        yield slot, seq, _unpack(m.as_buffer())
+        yield slot, seq, _unpack(m.as_py())
 
 
 _MESSAGE = "bucket int, slot int, seq int, message binary"
@@ -225,24 +241,28 @@ def _bucket_of(key: int, buckets: int) -> int:
     return (h - (1 << 32) if h >> 31 else h) % buckets
 
 
-def _slot_keys(slots: int) -> list[int]:
-    """For each slot an int that lands in a bucket of its own."""
-    found: dict[int, int] = {}
-    key = 0
-    while len(found) < slots:
-        found.setdefault(_bucket_of(key, slots), key)
+def _slot_keys(buckets: int, each: int) -> list[list[int]]:
+    """For each bucket so many ints that land in it."""
+    found: list[list[int]] = [[] for _ in range(buckets)]
+    key, missing = 0, buckets * each
+    while missing:
+        own = found[_bucket_of(key, buckets)]
+        if len(own) < each:
+            own.append(key)
+            missing -= 1
         key += 1
-    return [found[b] for b in range(slots)]
+    return found
 
 
 def _store(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The texts in blocks (slot, seq, n_bytes, block), each sorted by doc_id, bucketed by slot."""
-    slots = max(1, min(MAX_SLOTS, docs.rdd.getNumPartitions()))
-    keys = _slot_keys(slots)
+    """The texts in blocks (slot, seq, n_bytes, block), each sorted by doc_id, bucketed by slot. A partition fills a
+    bucket; its blocks go by turns to the bucket's slots, the groups in which later passes read them."""
+    buckets = max(1, min(MAX_BUCKETS, docs.rdd.getNumPartitions()))
+    keys = _slot_keys(buckets, SLOTS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        slot, seq = keys[part % slots], part // slots << 20
+        own, seq = keys[part % buckets], part // buckets << 20
         for batch in batches:
             sizes = [x or 0 for x in pc.binary_length(batch.column(1)).to_pylist()]
             for lo, hi in slices(sizes, BLOCK_BYTES):
@@ -254,12 +274,12 @@ def _store(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_batch(block)
-                out = [pa.array([slot], pa.int32()), pa.array([seq], pa.int32()), pa.array([sum(sizes[lo:hi])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+                out = [pa.array([own[seq % SLOTS]], pa.int32()), pa.array([seq], pa.int32()), pa.array([sum(sizes[lo:hi])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["slot", "seq", "n_bytes", "block"])
                 seq += 1
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(pack, "slot int, seq int, n_bytes long, block binary")
-    return bucketed(rows, "suffix_blocks", slots, "slot")
+    rows = in_small_batches(docs.select(F.col("doc_id").cast("long"), "text", *keep)).mapInArrow(tidy_stream(pack), "slot int, seq int, n_bytes long, block binary")
+    return bucketed(rows, "suffix_blocks", buckets, "slot")
 
 
 def _block(raw: pa.Buffer) -> pa.RecordBatch:
@@ -293,7 +313,7 @@ def _fingerprints(blocks: DataFrame, buckets: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pydict(_rows(rows))
 
-    return blocks.select("slot", "seq", "block").mapInArrow(run, _MESSAGE)
+    return blocks.select("slot", "seq", "block").mapInArrow(tidy_stream(run), _MESSAGE)
 
 
 def _judge(table: pa.Table) -> pa.Table:
@@ -316,10 +336,14 @@ def _judge(table: pa.Table) -> pa.Table:
     piece = anchor | np.append(True, content[1:] != content[:-1])
     kinds = np.bincount(np.cumsum(anchor) - 1, weights=piece)
     compare = piece & (kinds[np.cumsum(anchor) - 1] > 1)
+    said = np.flatnonzero(compare | ~piece)
+    said = said[np.lexsort((index[said], source[said]))]
+    cuts = np.searchsorted(source[said], np.arange(len(where) + 1)).tolist()
     out = []
-    for s in np.unique(source[compare | ~piece]).tolist():
-        own = source == s
-        out.append((0, *where[s], _pack(whole=np.sort(index[own & ~piece]), compare=np.sort(index[own & compare]))))
+    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            own = said[a:b]
+            out.append((0, *where[s], _pack(whole=index[own[~piece[own]]], compare=index[own[compare[own]]])))
     return pa.table(_rows(out))
 
 
@@ -440,16 +464,16 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, keep: tuple[str,
     spark = docs.sparkSession
     blocks = _store(docs, keep)
     total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 25), 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES, 1)
     prints = _fingerprints(blocks, buckets)
-    judged = materialize(prints.groupBy("bucket").applyInArrow(_judge, _MESSAGE), "suffix-judged")
-    pieces = blocks.groupBy("slot").cogroup(judged.groupBy("slot")).applyInArrow(_asked(buckets), _MESSAGE)
-    compared = materialize(pieces.groupBy("bucket").applyInArrow(_compare, _MESSAGE), "suffix-compared")
+    judged = materialize(prints.groupBy("bucket").applyInArrow(tidy_group(_judge), _MESSAGE), "suffix-judged")
+    pieces = blocks.groupBy("slot").cogroup(judged.groupBy("slot")).applyInArrow(tidy_pair(_asked(buckets)), _MESSAGE)
+    compared = materialize(pieces.groupBy("bucket").applyInArrow(tidy_group(_compare), _MESSAGE), "suffix-compared")
     verdicts = judged.unionByName(compared)
     kinds = [to_arrow_type(docs.schema[k].dataType) for k in keep]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return blocks.groupBy("slot").cogroup(verdicts.groupBy("slot")).applyInArrow(_finish(with_text, keep, kinds), schema)
+    return blocks.groupBy("slot").cogroup(verdicts.groupBy("slot")).applyInArrow(tidy_pair(_finish(with_text, keep, kinds)), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
