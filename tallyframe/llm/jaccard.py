@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import M1, documents, lower_ascii, mix, pack_texts, shingle_table, slices, word_table
+from tallyframe.llm.common import M1, documents, in_small_batches, lower_ascii, mix, pack_texts, shingle_table, slices, tidy_group, tidy_stream, word_table
 from tallyframe.operators.graph import connected_components
 from tallyframe.storage import discard, materialize
 
@@ -29,6 +29,8 @@ SLICE_BYTES = 1 << 20
 #: Up to so many ids of sets to verify, the filter on the table of sets is a broadcast join; beyond, a shuffled one.
 BROADCAST_IDS = 1_000_000
 BAND_RATIO = 1.4
+#: The largest count that a sketch holds.
+MOST = 15
 
 
 class PartEnum:
@@ -106,7 +108,7 @@ def _stream(batches: Iterator[pa.RecordBatch], words: int, row: object, names: l
             for i, s in zip(ids[lo : lo + 256], shingle_sets(part, words), strict=True):
                 kept.append(row(i, s))  # type: ignore[operator]
                 weight += 8 * len(s)
-                if weight > 1 << 24 or len(kept) == 4096:
+                if weight > 1 << 22 or len(kept) == 4096:
                     yield out()
                     kept, weight = [], 0
     if kept:
@@ -120,15 +122,23 @@ def signed_sets(docs: DataFrame, words: int, scheme: PartEnum) -> DataFrame:
         row = lambda i, s: (i, len(s), xxhash.xxh3_128_digest(s.tobytes()), scheme.signatures(s).view(np.int64))
         return _stream(batches, words, row, ["doc_id", "n_shingles", "set_key", "sigs"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sigs array<long>")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy_stream(run), "doc_id long, n_shingles long, set_key binary, sigs array<long>")
 
 
 def _sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall in each of m buckets, m a power of two near a quarter of the set, 255 at most. The
-    sum of differences of two sets' counts is at most the number of elements in which they differ, cut off or not."""
+    """How many elements fall in each of m buckets, m a power of two near a quarter of the set, MOST at most, two
+    buckets a byte. The sum of differences of two sets' counts is at most the number of elements in which they
+    differ, cut off or not."""
     m = 1 << max(4, (max(1, len(elements) // 4) - 1).bit_length())
     h = (mix(elements ^ M1) >> np.uint64(40)).astype(np.int64) & (m - 1)
-    return np.minimum(np.bincount(h, minlength=m), 255).astype(np.uint8).tobytes()
+    n = np.minimum(np.bincount(h, minlength=m), MOST).astype(np.uint8)
+    return (n[: m // 2] | n[m // 2 :] << 4).tobytes()
+
+
+def _spread(sketch: bytes) -> np.ndarray:
+    """The counts of a sketch, in order of buckets."""
+    both = np.frombuffer(sketch, np.uint8)
+    return np.concatenate((both & 15, both >> 4)).astype(np.int32)
 
 
 def element_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -138,12 +148,12 @@ def element_sets(docs: DataFrame, words: int) -> DataFrame:
         row = lambda i, s: (i, len(s), _sketch(s), s.astype("<u8").tobytes())
         return _stream(batches, words, row, ["doc_id", "n", "sketch", "elements"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sketch binary, elements binary")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy_stream(run), "doc_id long, n long, sketch binary, elements binary")
 
 
 def _fold(sketches: np.ndarray, m: int) -> np.ndarray:
     """Sketches of fewer buckets. Counts are cut off again, as if counted in those buckets."""
-    return np.minimum(sketches.reshape(len(sketches), -1, m).sum(1), 255) if sketches.shape[1] > m else sketches
+    return np.minimum(sketches.reshape(len(sketches), -1, m).sum(1), MOST) if sketches.shape[1] > m else sketches
 
 
 def possible(n: np.ndarray, sketches: list[np.ndarray], i: int, others: np.ndarray, percent: int) -> np.ndarray:
@@ -189,31 +199,41 @@ def _group_edges(ids: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], com
 
 
 def _pairs_to_verify(groups: DataFrame, features: DataFrame, components: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct (a, b) of possible partners within the groups, by size and sketch."""
-    members = groups.join(features, "doc_id")
-    if components is not None:
-        members = members.join(components, F.col("doc_id") == F.col("node"), "left").select("g", "doc_id", "n", "sketch", F.coalesce("component", "doc_id").alias("comp"))
-    else:
-        members = members.select("g", "doc_id", "n", "sketch", F.lit(None).cast("long").alias("comp"))
+    """Distinct (a, b) of possible partners within the groups, by size and sketch. Groups with the same least member
+    are judged together, so a set's sketch is sent once for all of those that it is in."""
     later = components is not None
-    buckets = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.count() // 20_000)
+    members = groups.select("m", "doc_id", "gs")
+    if later:
+        named = members.join(components, F.col("doc_id") == F.col("node"), "left").select("m", "doc_id", "gs", F.coalesce("component", "doc_id").alias("comp"))
+        # where all members are in one component nothing is left to find
+        open_ = named.groupBy("m").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("m")
+        members = named.join(open_, "m", "left_semi")
+    else:
+        members = members.withColumn("comp", F.lit(None).cast("long"))
+    members = members.join(features, "doc_id").select("m", "doc_id", "gs", "n", "sketch", "comp")
+    buckets = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.count() // 5_000)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("g", "ascending"), ("doc_id", "ascending")])
-        g, ids, n = (table.column(c).to_numpy() for c in ("g", "doc_id", "n"))
+        table = table.sort_by("doc_id")
+        m, ids, n = (table.column(c).to_numpy() for c in ("m", "doc_id", "n"))
         comp = table.column("comp").to_numpy() if later else None
-        cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+        gs = table.column("gs").combine_chunks()
+        row = np.repeat(np.arange(len(ids)), gs.value_lengths().to_numpy())
+        g = gs.flatten().to_numpy()
+        order = np.lexsort((row, g, m[row]))
+        row, g = row[order], g[order]
+        cuts = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (m[row[1:]] != m[row[:-1]]), [True]))) if len(g) else np.zeros(1, int)
         out: set[tuple[int, int]] = set()
-        raw = table.column("sketch")
+        sketches = [_spread(x.as_py()) for x in table.column("sketch")]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if later and (comp[a:b] == comp[a]).all():
+            own = row[a:b]
+            if later and (comp[own] == comp[own[0]]).all():
                 continue
-            sketches = [np.frombuffer(x.as_py(), np.uint8).astype(np.int32) for x in raw.slice(a, b - a)]
-            out.update(_group_edges(ids[a:b], n[a:b], sketches, comp[a:b] if later else None, percent))
+            out.update(_group_edges(ids[own], n[own], [sketches[i] for i in own], comp[own] if later else None, percent))
         left, right = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return members.groupBy(F.pmod("g", F.lit(buckets)).alias("k")).applyInArrow(run, "a long, b long").distinct()
+    return members.groupBy(F.pmod(F.xxhash64("m"), F.lit(buckets)).alias("k")).applyInArrow(tidy_group(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
@@ -230,7 +250,7 @@ def _verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ea", "eb").mapInArrow(tidy_stream(run), "a long, b long")
 
 
 def _only(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -262,7 +282,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, secon
     sigs = _only(signed.where("n_shingles > 0").select("doc_id", "sigs"), copies, "left_anti").select("doc_id", F.explode("sigs").alias("sig"))
     by_sig = F.expr("count(*) over (partition by sig)").alias("n"), F.expr("min(doc_id) over (partition by sig)").alias("m"), F.expr("bit_xor(xxhash64(doc_id)) over (partition by sig)").alias("x")
     # signatures shared by just the same documents make one group
-    groups = materialize(sigs.select("doc_id", *by_sig).where("n > 1").select(F.xxhash64("n", "m", "x").alias("g"), "doc_id").distinct(), "jaccard-groups")
+    shared = sigs.select("doc_id", *by_sig).where("n > 1").select("m", "doc_id", F.xxhash64("n", "x").alias("g"))
+    groups = materialize(shared.groupBy("m", "doc_id").agg(F.collect_set("g").alias("gs")), "jaccard-groups")
     members = groups.select("doc_id").distinct()
     elements = materialize(element_sets(_only(docs.select(F.col("doc_id").cast("long"), "text"), members, "left_semi"), words), "jaccard-elements")
     features = elements.select("doc_id", "n", "sketch")
