@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyframe.llm.common import _BASE, _INVERSE, M1, _powers, documents, in_small_batches, mix, slices, tidy_group, tidy_pair, tidy_stream
+from tallyframe.llm.common import _BASE, _INVERSE, M1, _give_back, _powers, documents, in_small_batches, mix, slices, tidy_group, tidy_pair, tidy_stream
 from tallyframe.storage import bucketed, materialize
 
 MATCH = 100
@@ -312,6 +312,7 @@ def _fingerprints(blocks: DataFrame, buckets: int) -> DataFrame:
                     rows.append((b, slot, seq, _pack(hash=h[at], content=content, doc=docs[at], index=keep[at].astype(np.uint32))))
                 if rows:
                     yield pa.RecordBatch.from_pydict(_rows(rows))
+                _give_back()
 
     return blocks.select("slot", "seq", "block").mapInArrow(tidy_stream(run), _MESSAGE)
 
