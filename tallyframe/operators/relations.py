@@ -86,6 +86,55 @@ def hamming_join(df: DataFrame, key: str, h: str, distance: int, extra: tuple[st
     return hit.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"), d.cast("int").alias("distance"), *[f"{c}_{s}" for c in extra for s in "ab"])
 
 
+#: Up to so many keys or passages a join with them is a broadcast; beyond, it is shuffled or done in slices.
+FEW_KEYS, FEW_PASSAGES = 1_000_000, 100_000
+
+
+def semi(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among keys: broadcast while those are few, shuffled beyond."""
+    few = keys.count() <= FEW_KEYS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
+def on_both_sides(df: DataFrame, key: str, test: Column) -> DataFrame:
+    """The test rows of df whose key a training row also has. Keys are judged once each, however many rows share one."""
+    side = df.groupBy(key).agg(F.bool_or(test).alias("t"), F.bool_or(~test).alias("r"))
+    return semi(df.where(test), side.where(f"t and r and {key} is not null").select(key), key)
+
+
+def near_other_side(df: DataFrame, h: str, distance: int, test: Column) -> DataFrame:
+    """The test rows of df whose bit string h is within the distance of a training row's. Distinct values meet in the
+    bands of hamming_join, by semi-join: whether there is one is asked, so no pairs come out. Lossless."""
+    side = df.where(F.col(h).isNotNull()).groupBy(h).agg(F.bool_or(test).alias("t"), F.bool_or(~test).alias("r"))
+    band = F.posexplode(F.array(*bands(F.col(h), distance)))
+    x = side.where("t").select(h, band.alias("_i", "_v"))
+    y = side.where("r").select(F.col(h).alias("_o"), band.alias("_j", "_w"))
+    met = (F.col("_i") == F.col("_j")) & (F.col("_v") == F.col("_w")) & (F.bit_count(F.col(h).bitwiseXOR(F.col("_o"))) <= distance)
+    return semi(df.where(test), x.join(y, met, "left_semi").select(h).distinct(), h)
+
+
+def containing(df: DataFrame, text: str, passages: DataFrame, passage: str) -> DataFrame:
+    """The rows of df whose whole text contains a whole passage, at any place, byte for byte; once for each passage.
+
+    Of the words between a passage's first and last space the longest is its key: a text with the passage has it
+    between spaces too. Texts meet passages by their distinct words, and contains() decides. Passages without such
+    a word are tried on every text; null and empty ones occur in none."""
+    words = F.split(passage, " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    found = passages.where(F.length(passage) > 0).select(F.col(passage).alias("_p"), longest.alias("_w")).distinct()
+    slices = -(-passages.count() // FEW_PASSAGES) or 1
+    by_word = df.withColumn("_w", F.explode(F.array_distinct(F.split(text, " "))))
+    out = None
+    for i in range(slices):
+        own = found if slices == 1 else found.where(F.pmod(F.xxhash64("_p"), F.lit(slices)) == i)
+        keyed = by_word.join(F.broadcast(own.where("_w <> ''")), "_w").where(F.contains(text, "_p"))
+        loose = df.join(F.broadcast(own.where("coalesce(_w, '') = ''").select("_p")), F.contains(text, "_p"))
+        for hit in (keyed.select(*df.columns), loose.select(*df.columns)):
+            out = hit if out is None else out.unionByName(hit)
+    return out
+
+
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Intersection over union of two boxes (x0, y0, x1, y1)."""
     zero = F.lit(0.0)

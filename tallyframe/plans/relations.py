@@ -166,7 +166,8 @@ def inversions(t, spark):
 
 @query("q_leakage", "SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON md5(substr(d.text, 1, 60)) = md5(substr(b.text, 1, 60)) UNION SELECT d.doc_id FROM documents d JOIN documents e ON md5(d.text) = md5(e.text) AND d.doc_id % 5 = 0 AND e.doc_id % 5 <> 0")
 def leakage(t, spark):
-    """Test rows whose bytes or group also occur on the training side."""
+    """J18, partly, as the SQL beside it has it: the benchmark is matched by the first 60 characters and the Hamming leg is
+    left out. q_leakage_whole does all of it."""
     d = t("documents").select("doc_id", F.md5("text").alias("m"), F.md5(F.substring("text", 1, 60)).alias("g"))
     bench = t("benchmark").select(F.md5(F.substring("text", 1, 60)).alias("g")).distinct()
     by_group = d.join(bench, "g", "left_semi").select("doc_id")
@@ -175,6 +176,21 @@ def leakage(t, spark):
     return by_group.unionByName(by_bytes).distinct()
 
 
+@query("q_leakage_whole", f"""WITH {_BITS} SELECT DISTINCT 'passage' AS leg, d.doc_id AS id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)
+UNION SELECT 'bytes', doc_id FROM documents WHERE doc_id % 5 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 5 <> 0)
+UNION SELECT 'phash', a.vec_id FROM h a JOIN h b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 WHERE list_sum(list_transform(list_zip(a.b, b.b), lambda p: (p[1] <> p[2])::INT)) <= 6""")
+def leakage_whole(t, spark):
+    """J18 on whole texts, all three legs: documents that contain a whole benchmark text at any place, test rows whose
+    bytes a training row has, and test vectors whose sign bits are within Hamming 6 of a training row's."""
+    d = t("documents").select(F.col("doc_id").alias("id"), "text")
+    passage = J.containing(d, "text", t("benchmark").select("text"), "text")
+    keyed = d.select("id", F.md5("text").alias("m"))
+    same = J.on_both_sides(keyed, "m", F.col("id") % 5 == 0)
+    near = J.near_other_side(sign_bits(t).withColumnRenamed("vec_id", "id"), "h", 6, F.col("id") % 5 == 0)
+    legs = [x.select(F.lit(leg).alias("leg"), "id") for leg, x in (("passage", passage), ("bytes", same), ("phash", near))]
+    return legs[0].unionByName(legs[1]).unionByName(legs[2]).distinct()
+
+
 @query("q_group_map_cover", "SELECT n_name AS grp, r_name AS inner_grp FROM nation JOIN region ON n_regionkey = r_regionkey")
 def group_map(t, spark):
     """A map that must cover all groups."""

@@ -91,6 +91,30 @@ def test_wilson_and_bootstrap(spark):
     assert (empty.n, empty["mean"], empty.low) == (0, None, None)
 
 
+# ---------------------------------------------------------------- leakage
+
+
+def test_leakage_on_whole_texts(spark, monkeypatch):
+    passage = "It stands in the very middle, whole."
+    texts = [f"{'x' * 70} pre{passage}post", f"{passage[:-1]}?", None, "", "ab", "It stands  in the very middle, whole.", passage, "xx oddz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    bench = spark.createDataFrame([(passage,), (passage,), ("oddz",), ("",), (None,)], "p string")
+    for few in (100_000, 2):
+        monkeypatch.setattr(J, "FEW_PASSAGES", few)
+        assert {r.id for r in J.containing(docs, "text", bench, "p").collect()} == {0, 6, 7}
+    bits = spark.createDataFrame([(0, 0b111111), (5, 0b1111111), (10, -1), (1, 0), (2, -1), (15, None), (3, None)], "id long, h long")
+    test = F.col("id") % 5 == 0
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(J, "FEW_KEYS", few)
+        assert {r.id for r in J.near_other_side(bits, "h", 6, test).collect()} == {0, 10}
+        assert {r.id for r in J.on_both_sides(bits, "h", test).collect()} == {10}
+
+
+def test_registered_leakage_finds_what_the_prefix_misses(spark):
+    rows = {(r.leg, r.id) for r in catalog.QUERIES["q_leakage_whole"](spark, "/root/testdata/sf0.01").collect()}
+    assert len([x for x in rows if x[0] == "passage"]) == 26
+
+
 # ---------------------------------------------------------------- events
 
 
