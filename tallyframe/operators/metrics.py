@@ -6,6 +6,11 @@ keys x classes x classes rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,20 +87,44 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return mid - half, mid + half
 
 
-def bootstrap_mean(df: DataFrame, value: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
+#: Resamples drawn at once.
+AT_ONCE = 16
+
+
+def bootstrap_mean(df: DataFrame, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """n, mean, low, high: the 95 % interval of the mean by Poisson resampling, each row's weight in each resample
-    drawn from a hash of (seed, row's value and id, resample). One pass; no rows are collected. An empty table is
-    unmeasured: n 0 and nulls."""
-    u = lambda r: (F.pmod(F.xxhash64(F.lit(seed), "_id", value, r), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    cdf, p, c = [], 1 / 2.718281828459045, 0.0
+    drawn from a hash of (seed, row's value and id, resample). Each task sums its rows' weights by resample, so two
+    sums a resample leave it; no rows are collected. An empty table is unmeasured: n 0 and nulls."""
+    cuts, p, c = [], math.exp(-1), 0.0
     for k in range(12):
         c += p
-        cdf.append(c)
+        cuts.append(np.uint32(min(round(c * 2**32), 2**32 - 1)))
         p /= k + 1
-    draw = lambda r: sum((u(r) >= F.lit(x)).cast("int") for x in cdf)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_id", F.monotonically_increasing_id())
-    each = rows.select(value, "_id", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    means = each.withColumn("w", draw(F.col("r"))).groupBy("r").agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    odd, mul = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weights, any_ = np.zeros(resamples), np.zeros(resamples), False
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 << 14):
+                any_ = True
+                part = batch.slice(lo, 1 << 14)
+                v, key = part.column(0).to_numpy(), part.column(1).to_numpy().view(np.uint64)
+                for r in range(0, resamples, AT_ONCE):
+                    h = key[None] + np.arange(r + 1, min(r + AT_ONCE, resamples) + 1, dtype=np.uint64)[:, None] * odd
+                    h = (h ^ (h >> np.uint64(32))) * mul
+                    h = (h ^ (h >> np.uint64(29))) * odd
+                    u = (h >> np.uint64(32)).astype(np.uint32)
+                    w = np.zeros(u.shape, np.uint8)
+                    for cut in cuts:
+                        w += u >= cut
+                    sums[r : r + AT_ONCE] += w.astype(np.float64) @ v
+                    weights[r : r + AT_ONCE] += w.sum(1, dtype=np.int64)
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(weights)], ["r", "s", "w"])
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    keyed = rows.select("v", F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), "v").alias("key"))
+    means = keyed.mapInArrow(run, "r long, s double, w double").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    total = rows.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    total = rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
     return total.join(F.broadcast(means.agg(q[0].alias("low"), q[1].alias("high"))))  # one row each

@@ -48,8 +48,8 @@ def stratified_folds(t, spark):
 
 @query("q_bootstrap_mean")
 def bootstrap(t, spark):
-    """A30."""
-    return M.bootstrap_mean(t("events").select("value"), "value", 200)
+    """10,000 resamples, as many as the reference draws."""
+    return M.bootstrap_mean(t("events").select("value"), "value", 10_000)
 
 
 def stored(t):

@@ -91,6 +91,18 @@ def test_wilson_and_bootstrap(spark):
     assert (empty.n, empty["mean"], empty.low) == (0, None, None)
 
 
+def test_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
+    asked, real = [], M.bootstrap_mean
+    monkeypatch.setattr(M, "bootstrap_mean", lambda df, value, resamples: asked.append(resamples) or real(df, value, resamples))
+    out = catalog.QUERIES["q_bootstrap_mean"](spark, SF).first()
+    assert asked == [10_000]
+    v = np.array([r.value for r in spark.read.parquet(f"{SF}/events.parquet").select("value").collect() if r.value is not None])
+    rng = np.random.default_rng(1)
+    low, high = np.percentile([v[rng.integers(0, len(v), len(v))].mean() for _ in range(10_000)], [2.5, 97.5])
+    assert out.n == len(v) and out["mean"] == pytest.approx(v.mean())
+    assert abs(out.low - low) < 0.03 * (high - low) and abs(out.high - high) < 0.03 * (high - low)
+
+
 # ---------------------------------------------------------------- leakage
 
 
