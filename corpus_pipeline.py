@@ -20,25 +20,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids: a broadcast while ids are few, a shuffled join beyond."""
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key is not among ids: a broadcast while ids are few, a shuffled join beyond."""
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an undetermined language go: no text, no letter, or no language with LEAST_SCORE."""
+    """Documents in an undetermined language go: no text, no letter, or no language with LEAST_SCORE. Each row goes by
+    its own verdict. Where nothing is labelled nothing can be learned, and all documents pass."""
     docs = docs.select(*COLUMNS)
-    told = predict(docs, train(docs)).where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_SCORE))
-    return _without(docs, materialize(told.select("doc_id").distinct(), "pipeline-rejected"))
+    network = train(docs)
+    if network is None:
+        return docs
+    told = predict(docs, network, COLUMNS)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the row of smallest doc_id stays, a null
+    one last. Where doc_ids are null or repeated, rows are told apart by a key of their own, written with them."""
     docs = docs.select(*COLUMNS)
-    groups = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
-    copies = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
-    return _without(docs, copies)
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").take(1):
+        groups = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
+        copies = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
+        return _without(docs, copies)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    members = materialize(groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row"), "pipeline-members")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    stay = members.groupBy("component_id").agg(best.alias("_row")).select("_row")
+    copies = materialize(members.select("_row").join(stay, "_row", "left_anti"), "pipeline-copies")
+    return _without(rows, copies, "_row").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

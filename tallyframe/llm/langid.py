@@ -207,13 +207,16 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
     return network
 
 
-def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row, by the whole text alone. Text that is null or without a letter
-    (and every text, where nothing was learned) is "und" with score 0. Narrow: no shuffle."""
+def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, lang_pred, score for every row, by the whole text alone. Text that is null or without a
+    letter (and every text, where nothing was learned) is "und" with score 0. Narrow: no shuffle."""
+    sent = docs.select(F.col("text").alias("_text"), *[F.col(c).cast("long") if c == "doc_id" else c for c in keep if c != "text"])
+    names = ["text" if c == "_text" else c for c in sent.columns if c != "_text" or "text" in keep]
+    kinds = {c: t for c, t in sent.dtypes} | {"text": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             lettered = [network is not None and _LETTER.search(t) is not None for t in texts]
             labels, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             at = [i for i, on in enumerate(lettered) if on]
@@ -221,9 +224,11 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
                 p = network.pooled([texts[i].encode() for i in at])
                 for i, k, s in zip(at, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                     labels[i], scores[i] = network.languages[k], min(1.0, s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            kept = [batch.column("_text" if c == "text" else c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy_stream(run), "doc_id long, lang_pred string, score double")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names)
+    return in_small_batches(sent).mapInArrow(tidy_stream(run), f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

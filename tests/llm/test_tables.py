@@ -382,3 +382,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in seen["encode"]) == Counter(r.doc_id for r in seen["mix"])
     whole = C.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.ids_sha256) for r in whole) == Counter((r.doc_id, r.ids_sha256) for r in seen["encode"])
+
+
+def test_pipeline_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    english, german = "the cat sat on the mat and it was warm there ", "der hund lief durch den wald und bellte laut "
+    taught = [(i, (english, german)[i % 2] * (1 + i % 5), ("en", "de")[i % 2], "s", 1) for i in range(100, 160)]
+    odd = [(None, None, "en", "s", 1), (None, "", "de", "s", 1), (7, None, "en", "s", 1), (7, english * 3, "en", "s", 1), (None, german * 3, "de", "s", 1)]
+    out = C.language_id(spark, spark.createDataFrame(taught + odd, kind), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out if not (r.doc_id or 0) >= 100) == [(0, german * 3), (7, english * 3)]
+    blank = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["a b", "c"])], kind)
+    assert C.language_id(spark, blank, "").count() == 2
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (5, a), (5, a), (4, b), (4, c), (9, b), (None, c), (None, None), (None, None), (8, "")]
+    out = C.ngram_join(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], kind), "").collect()
+    got = sorted((r.doc_id or 0, r.text or "") for r in out)
+    assert got == sorted([(5, a), (4, b), (4, c), (0, ""), (0, ""), (8, "")])
