@@ -4,9 +4,9 @@ Sets are the distinct word shingles of whole texts. Sizes are cut into bands; fo
 two sets of similarity t or more and sizes up to r differ in at most k = (1 - t) / (1 + t) * 2r elements. The
 feature domain is hashed into n1 first-level partitions of n2 second-level ones, so that in some first-level
 partition the sets differ in at most k2 = ceil((k + 1) / n1) - 1 of the second-level ones; every choice of
-n2 - k2 of these gives one signature, and sufficiently similar sets share one. A set gives signatures for its own
-band and for the band in which its largest possible partner lies, so every similar pair meets in the band of its
-larger set. The default k2 = 0 makes the fewest signatures: k + 1, one for each of k + 1 partitions.
+n2 - k2 of these gives one signature, and sufficiently similar sets share one. A set gives signatures for every
+band from its own to the one in which its largest possible partner lies, so every similar pair meets in the band of
+its larger set. The default k2 = 0 makes the fewest signatures: k + 1, one for each of k + 1 partitions.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ class PartEnum:
         n = len(elements)
         if not n:
             return np.zeros(0, np.uint64)
-        bands = dict([self.band(n), self.band(self.largest(n))])
+        bands = {b: self._top(b) for b in range(self.band(n)[0], self.band(self.largest(n))[0] + 1)}
         out = []
         for b, top in bands.items():
             k = 2 * top * (100 - self.percent) // (100 + self.percent)

@@ -274,6 +274,16 @@ def test_jaccard_components(spark, words, percent, second, differing):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
+@pytest.mark.parametrize("percent", [30, 50, 60, 71])
+def test_jaccard_low_similarity_meets_in_every_band_between(percent):
+    scheme = jaccard.PartEnum(percent)
+    rng = np.random.default_rng(percent)
+    for n in range(1, 60):
+        pool = rng.integers(0, 1 << 63, scheme.largest(n), dtype=np.uint64)
+        for more in range(n, len(pool) + 1):
+            assert len(np.intersect1d(scheme.signatures(pool[:n]), scheme.signatures(pool[:more]))), (n, more)
+
+
 def test_jaccard_shuffled_filters_empty_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rows = [(3, "a b c d"), (3, "a b c d"), (9, "A b  c d"), (4, None), (5, ""), (6, "z")]
