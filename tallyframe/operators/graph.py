@@ -19,7 +19,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
 
     Alternates the large-star and small-star contractions until the edge set stops changing, which takes
     O(log^2 n) rounds on any graph. Each contraction is a group-by with a min (pre-aggregated map-side) and a
-    join back, so a hub's neighbours are never gathered in one task. Every round ends in a written table.
+    join back; a hub's edges stream through that join and are never held at once, and adaptive execution splits a
+    partition that they make too large. Every round ends in a written table. Edge sets are compared by count and
+    two independent sums of 64-bit hashes.
     Self-loops and nulls are ignored, repeated edges count once. An empty table gives an empty result.
     """
     u, v = F.col(src), F.col(dst)
@@ -46,7 +48,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         )
         before, cur = cur, materialize(small, "cc")
         discard(before)
-        now = cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        now = cur.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(20,0)")) for seed in (1, 2)]).first()
         if now == seen:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
