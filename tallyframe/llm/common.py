@@ -94,12 +94,37 @@ def _powers(base: int, n: int) -> np.ndarray:
     return found[:n]
 
 
+#: Word hashes are polynomials modulo this prime, to two bases; a power of two as modulus would let patterned words agree.
+_PRIME = (1 << 31) - 1
+_BASES = (1_103_515_245, 1_566_083_941)
+_PRIME_POWERS: dict[int, np.ndarray] = {}
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    p, s = np.uint64(_PRIME), np.uint64(31)
+    x = (x & p) + (x >> s)
+    x = (x & p) + (x >> s)
+    return np.where(x >= p, x - p, x)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime, by doubling."""
+    found = _PRIME_POWERS.get(base)
+    if found is None or len(found) < n:
+        found = np.ones(1, np.uint64)
+        while len(found) < max(n, 1 << 16):
+            found = np.concatenate((found, _mod(found * np.uint64(pow(base, len(found), _PRIME)))))
+        _PRIME_POWERS[base] = found
+    return found[:n]
+
+
 def word_table(blob: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of many texts at once, and the text each word is in.
 
     blob: the UTF-8 bytes of the texts, each followed by one space (so no word spans two). doc_ends: where each
-    text ends in it, the space included. A word is a run of bytes other than space and 9 to 13. Its hash is a
-    polynomial over its bytes and length, from prefix sums modulo 2**64, so equal words have equal hashes
+    text ends in it, the space included. A word is a run of bytes other than space and 9 to 13. Its hash joins its
+    length and two polynomials over its bytes modulo a prime, from prefix sums, so equal words have equal hashes
     wherever they stand.
     """
     space = (blob == 32) | ((blob >= 9) & (blob <= 13))
@@ -109,10 +134,14 @@ def word_table(blob: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.n
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = (ends - starts).astype(np.uint64) * M1
     sums = np.zeros(len(blob) + 1, np.uint64)
-    np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(blob)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(blob))[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * M1)
+    byte = blob.astype(np.uint64) + np.uint64(1)
+    for shift, base in zip((31, 0), _BASES, strict=True):
+        v = byte * _prime_powers(base, len(blob))
+        np.cumsum((v & np.uint64(_PRIME)) + (v >> np.uint64(31)), out=sums[1:])
+        own = _mod(_mod(sums[ends] - sums[starts]) * _prime_powers(pow(base, -1, _PRIME), len(blob))[starts])
+        h = mix(h + (own << np.uint64(shift)))
     return h, np.searchsorted(doc_ends, starts, side="right")
 
 

@@ -264,7 +264,7 @@ def near_rows(seed=4, n=220):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,second,differing", [(3, 90, 1, 0), (5, 80, 1, 0), (3, 90, 3, 1)])
+@pytest.mark.parametrize("words,percent,second,differing", [(3, 90, None, None), (5, 80, None, None), (3, 90, 3, 1), (3, 50, None, None)])
 def test_jaccard_components(spark, words, percent, second, differing):
     rows = near_rows()
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, component_id string").repartition(3)
@@ -309,11 +309,38 @@ def test_sketches_lose_no_pair():
     rng = np.random.default_rng(2)
     for n in (3, 50, 700, 3000):
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        cut = a[: -(-90 * len(a) // 100)]
-        sets = [a, cut]
-        sk = [jaccard._spread(jaccard._sketch(s)) for s in sets]
-        size = np.array([len(s) for s in sets])
-        assert jaccard.possible(size, sk, 0, np.array([1]), 90).tolist() == [1] == (jaccard.possible(size, sk, 1, np.array([0]), 90) + 1).tolist()
+        sets = [a, a[: -(-90 * len(a) // 100)]]
+        sk = jaccard.Sketches(np.array([len(s) for s in sets]), [jaccard._sketch(s) for s in sets])
+        assert sk.possible(np.array([0, 1]), np.array([1, 0]), 90).all()
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unrelated_sets_hardly_share_a_signature(percent):
+    scheme, rng = jaccard.PartEnum(percent), np.random.default_rng(3)
+    n2, k2 = scheme.layout(scheme.band(1000))[1:]
+    assert n2 > k2 > 0  # subsets are enumerated
+    sets = [rng.integers(0, 2**63, 1000).astype(np.uint64) for _ in range(300)]
+    sigs, at, native = scheme.sign(sets)
+    groups = {}
+    for s, i, here in zip(sigs.tolist(), at.tolist(), native.tolist()):
+        groups.setdefault(s, []).append((i, here))
+    pairs = {(min(i, j), max(i, j)) for g in groups.values() for i, x in g for j, y in g if i != j and (x or y)}
+    assert len(pairs) < 0.001 * 300 * 299 / 2 and max(map(len, groups.values())) < 10
+
+
+def test_patterned_words_do_not_agree(spark):
+    word = lambda a, b: "".join(a if bin(i).count("1") % 2 else b for i in range(1024))
+    rows = [(1, " ".join([word("a", "b")] * 4)), (2, " ".join([word("b", "a")] * 4))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in got) == [1, 2]
+
+
+def test_jaccard_nulls_and_shared_ids(spark, monkeypatch):
+    """A doc_id of two texts links the classes of both; a null doc_id takes part through equal sets alone."""
+    monkeypatch.setattr(jaccard, "CHUNK", 2)
+    rows = [(5, "a b c d e"), (5, "p q r s t"), (1, "a b c d e"), (7, "p q r s t"), (None, "p q r s t"), (None, "only here"), (8, "x y z")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 1), (1, 1), (5, 1), (5, 1), (7, 1), (8, 8)]
 
 
 @pytest.fixture(scope="module")
