@@ -35,7 +35,7 @@ BROADCAST_IDS = 1_000_000
 PEERS = 1_000_000
 #: Signatures sorted and sent on at once, and those of one bucket on average.
 BLOCK_SIGNATURES = 1 << 20
-BUCKET_SIGNATURES = 1 << 22
+BUCKET_SIGNATURES = 1 << 21
 MAX_BUCKETS = 1 << 16
 #: Members of one row of a group, and of one of the parts into which a larger group is cut to be compared.
 CHUNK = 1024

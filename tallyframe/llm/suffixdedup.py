@@ -2,8 +2,9 @@
 
 Cutting into collections. Every window of MATCH bytes is led by an anchor, the ANCHOR-byte string in it whose hash
 is least; neighbouring windows with one anchor make a piece. Equal windows have equal anchors at equal offsets, so
-all that can match meets in the collection of its anchor's hash bucket. Pieces with equal bytes are inserted once;
-all but the first of them repeat as a whole.
+all that can match meets in the collection of its anchor's hash bucket. Hashes only choose what meets: pieces whose
+anchor occurs once are left out, all others are compared. Within a block of texts, pieces that are equal byte for byte
+are sent once.
 
 Column-wise construction, in each collection. Pieces stand aligned at their anchors and are read from their last
 column to their first. Each round inserts one symbol of every piece in front of its suffix: the symbols in the
@@ -11,11 +12,12 @@ order of the suffixes are that column of the Burrows-Wheeler transform, and a st
 LF-mapping, in each anchor's interval) gives the places of the longer suffixes. The common prefix of two
 neighbours is one more than the least common prefix between their former places if their symbols agree, else
 nothing. Windows of one column only ever match windows of that column, so columns are never merged into one list.
-The symbols of a column are read from a sequential file and written to the transform's file in the task's
-temporary folder; both go when the collection is done. Neighbours with MATCH bytes in common are equal windows.
+The symbols of a column, its transform, and the order and common prefixes of the suffixes are sequential files in the
+task's temporary folder, read from front to end and written anew each round; they go when the collection is done (a
+retried task builds its own). Neighbours with MATCH bytes in common are equal windows.
 
 Texts lie in compressed blocks in a bucketed table in the warehouse, one bucket for each input partition, so three
-passes read them where they are and only fingerprints, candidate pieces and verdicts are shuffled.
+passes read them where they are and only anchors, candidate pieces and verdicts are shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 import struct
 import tempfile
 from collections.abc import Iterator
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyframe.llm.common import _BASE, _INVERSE, M1, _give_back, _powers, documents, in_small_batches, mix, slices, tidy_group, tidy_pair, tidy_stream
-from tallyframe.storage import bucketed, materialize
+from tallyframe.storage import bucketed, discard, materialize
 
 MATCH = 100
 ANCHOR = 32
 #: Text of one block: numbers for each byte of it are held at once.
 BLOCK_BYTES = 1 << 19
 #: Text whose pieces meet in one collection, on average.
-BUCKET_BYTES = 1 << 23
+BUCKET_BYTES = 1 << 22
 MAX_BUCKETS = 20_000
 #: The blocks of one partition stand in so many groups: a group's blocks and verdicts are held at once.
 SLOTS = 16
@@ -87,14 +90,26 @@ class Pieces:
         self.content = mix((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64) * M1)
 
     def firsts(self) -> np.ndarray:
-        """Which pieces have no equal one before them in the block."""
+        """Which pieces have no equal one before them in the block. Hashes find the earlier one, bytes decide; a piece
+        that only hashes alike counts as a first."""
         order = np.lexsort((np.arange(len(self.hash)), self.content, self.hash))
         h, c = self.hash[order], self.content[order]
         new = np.ones(len(order), bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         out = np.zeros(len(order), bool)
         out[order[new]] = True
-        return out
+        again = np.flatnonzero(~new)
+        one, other = order[again], order[np.flatnonzero(new)[np.cumsum(new)[again] - 1]]
+        size = self.end[one] - self.start[one]
+        other, one, size = (x[size == self.end[other] - self.start[other]] for x in (other, one, size))
+        same = np.zeros(len(self.hash), bool)
+        for lo in range(0, len(one), 4096):
+            x, y, n = one[lo : lo + 4096], other[lo : lo + 4096], size[lo : lo + 4096]
+            at = np.arange(int(n.max()))
+            inside = at < n[:, None]
+            left, right = (self.buf[np.where(inside, self.start[k][:, None] + at, 0)] for k in (x, y))
+            same[x] = ((left == right) | ~inside).all(1)
+        return ~same
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
@@ -145,24 +160,33 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, left: np.ndarray, size
         return out
     begin = _LEFT - left
     stop = begin + size
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as transform:
+    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as suffixes:
+
+        def put(file: IO[bytes], *arrays: np.ndarray) -> None:
+            file.seek(0)
+            for x in arrays:
+                file.write(np.ascontiguousarray(x).data)
+            file.seek(0)
+
+        def get(file: IO[bytes], kind: type) -> np.ndarray:
+            return np.frombuffer(file.read(m * np.dtype(kind).itemsize), kind)
+
         grid = np.zeros((m, _COLUMNS), np.uint8)
         at = np.repeat(np.arange(m) * _COLUMNS + begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         grid.reshape(-1)[at] = text
-        columns.write(np.ascontiguousarray(grid.T[::-1]).data)  # in the order in which they are read
+        put(columns, grid.T[::-1])  # in the order in which they are read
         del grid, at
-        columns.seek(0)
         order = np.argsort(group, kind="stable")
         first = np.ones(m, bool)
         first[1:] = group[order][1:] != group[order][:-1]
-        interval = np.cumsum(first) - 1  # of the slots; stays, as sorting never leaves an interval
-        base = interval.astype(np.int64) * 257
-        lcp = np.zeros(m, np.int16)
+        base = (np.cumsum(first, dtype=np.int64) - 1) * 257  # of the slots; stays, as sorting never leaves an interval
+        put(suffixes, order.astype(np.int32), np.zeros(m, np.int16))
         for c in range(_COLUMNS - 1, -1, -1):
-            symbol = np.frombuffer(columns.read(m), np.uint8)[order]
+            order, lcp = get(suffixes, np.int32), get(suffixes, np.int16)
             live = (begin[order] <= c) & (c < stop[order])
-            transform.write(symbol.data)
-            key = base + np.where(live, symbol.astype(np.int64) + 1, 0)
+            # the symbols that stand before the suffixes, in their order; 0 where a piece has none
+            put(transform, np.where(live, get(columns, np.uint8)[order].astype(np.int16) + 1, np.int16(0)))
+            key = base + get(transform, np.int16)
             places = np.argsort(key, kind="stable")
             order, key = order[places], key[places]
             same = np.zeros(m, bool)
@@ -170,12 +194,12 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, left: np.ndarray, size
             s = np.flatnonzero(same)
             longer = np.zeros(m, np.int16)
             longer[s] = np.minimum(_least_between(lcp, places[s - 1], places[s]) + 1, MATCH)
-            lcp = longer
+            put(suffixes, order, longer)
             if c <= _LEFT:
-                equal = np.flatnonzero(lcp >= MATCH)
+                equal = np.flatnonzero(longer >= MATCH)
                 if len(equal):
-                    run = np.cumsum(lcp < MATCH) - 1
-                    lowest = np.minimum.reduceat(rank[order], np.flatnonzero(lcp < MATCH))
+                    run = np.cumsum(longer < MATCH) - 1
+                    lowest = np.minimum.reduceat(rank[order], np.flatnonzero(longer < MATCH))
                     members = np.union1d(equal, equal - 1)
                     again = members[rank[order[members]] > lowest[run[members]]]
                     out[order[again], c] = True
@@ -230,35 +254,22 @@ def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- blocks
 
 
-def _bucket_of(key: int, buckets: int) -> int:
-    """The bucket that Spark's writer gives an int: Murmur3 with seed 42, modulo the count."""
-    full, rot = 0xFFFFFFFF, lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
-    k = rot(key * 0xCC9E2D51 & full, 15) * 0x1B873593 & full
-    h = (rot(42 ^ k, 13) * 5 + 0xE6546B64) & full ^ 4
-    h = (h ^ h >> 16) * 0x85EBCA6B & full
-    h = (h ^ h >> 13) * 0xC2B2AE35 & full
-    h ^= h >> 16
-    return (h - (1 << 32) if h >> 31 else h) % buckets
-
-
-def _slot_keys(buckets: int, each: int) -> list[list[int]]:
-    """For each bucket so many ints that land in it."""
-    found: list[list[int]] = [[] for _ in range(buckets)]
-    key, missing = 0, buckets * each
-    while missing:
-        own = found[_bucket_of(key, buckets)]
-        if len(own) < each:
-            own.append(key)
-            missing -= 1
-        key += 1
-    return found
+def _slot_keys(spark: SparkSession, buckets: int, each: int) -> list[list[int]]:
+    """For each bucket so many ints that the engine's own bucket hash puts there: at most MAX_BUCKETS * SLOTS ints."""
+    bucket, reach = F.pmod(F.hash("key"), F.lit(buckets)), 4
+    while True:
+        keys = spark.range(buckets * each * reach).select(F.col("id").cast("int").alias("key"))
+        found = keys.groupBy(bucket.alias("bucket")).agg(F.slice(F.sort_array(F.collect_list("key")), 1, each).alias("keys")).orderBy("bucket").collect()
+        if len(found) == buckets and all(len(r["keys"]) == each for r in found):
+            return [r["keys"] for r in found]
+        reach *= 2
 
 
 def _store(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The texts in blocks (slot, seq, n_bytes, block), each sorted by doc_id, bucketed by slot. A partition fills a
     bucket; its blocks go by turns to the bucket's slots, the groups in which later passes read them."""
     buckets = max(1, min(MAX_BUCKETS, docs.rdd.getNumPartitions()))
-    keys = _slot_keys(buckets, SLOTS)
+    keys = _slot_keys(docs.sparkSession, buckets, SLOTS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -295,21 +306,18 @@ def _texts(block: pa.Buffer) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _fingerprints(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Messages with hash, content (48 bits), doc_id and index of each block's first pieces, by bucket."""
+    """Messages with the anchor's hash and the index of each block's first pieces, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slot, seq, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids, texts = _texts(block.as_buffer())
-                p = Pieces(texts)
+                p = Pieces(_texts(block.as_buffer())[1])
                 keep = np.flatnonzero(p.firsts())
-                h, rows = p.hash[keep], []
-                order, cuts = _by_bucket(h, buckets)
-                docs = ids[p.doc_of(p.start[keep])]
+                rows = []
+                order, cuts = _by_bucket(p.hash[keep], buckets)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    at = order[cuts[b] : cuts[b + 1]]
-                    content = np.ascontiguousarray(p.content[keep[at]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
-                    rows.append((b, slot, seq, _pack(hash=h[at], content=content, doc=docs[at], index=keep[at].astype(np.uint32))))
+                    at = keep[order[cuts[b] : cuts[b + 1]]]
+                    rows.append((b, slot, seq, _pack(hash=p.hash[at], index=at.astype(np.uint32))))
                 if rows:
                     yield pa.RecordBatch.from_pydict(_rows(rows))
                 _give_back()
@@ -318,33 +326,17 @@ def _fingerprints(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Of one bucket: which pieces repeat an earlier piece as a whole, and which must be compared with others."""
-    parts, where = [], []
-    for slot, seq, m in _messages(table):
-        parts.append((np.frombuffer(m["hash"], np.uint64), np.frombuffer(m["content"], np.uint8).reshape(-1, 6), np.frombuffer(m["doc"], np.int64), np.frombuffer(m["index"], np.uint32)))
-        where.append((slot, seq))
-    h, six, doc, index = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    content = np.zeros((len(h), 8), np.uint8)
-    content[:, 2:] = six
-    content = content.view("<u8").ravel()
-    rank = np.array(sorted(range(len(where)), key=where.__getitem__))
-    place = np.empty(len(where), np.int64)
-    place[rank] = np.arange(len(where))
-    source = np.repeat(np.arange(len(where)), [len(p[0]) for p in parts])
-    order = np.lexsort((index, place[source], doc, content, h))
-    h, content, source, index = h[order], content[order], source[order], index[order]
-    anchor = np.append(True, h[1:] != h[:-1])
-    piece = anchor | np.append(True, content[1:] != content[:-1])
-    kinds = np.bincount(np.cumsum(anchor) - 1, weights=piece)
-    compare = piece & (kinds[np.cumsum(anchor) - 1] > 1)
-    said = np.flatnonzero(compare | ~piece)
-    said = said[np.lexsort((index[said], source[said]))]
-    cuts = np.searchsorted(source[said], np.arange(len(where) + 1)).tolist()
+    """Of one bucket: which pieces share their anchor with another, and must be compared."""
+    where = [(slot, seq) for slot, seq, _ in _messages(table)]
+    hashes = [np.frombuffer(m["hash"], np.uint64) for _, _, m in _messages(table)]  # sorted, each
+    every = np.sort(np.concatenate(hashes))
+    again = np.unique(every[1:][every[1:] == every[:-1]])
     out = []
-    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if b > a:
-            own = said[a:b]
-            out.append((0, *where[s], _pack(whole=index[own[~piece[own]]], compare=index[own[compare[own]]])))
+    if len(again):
+        for at, h, (_, _, m) in zip(where, hashes, _messages(table), strict=True):
+            index = np.frombuffer(m["index"], np.uint32)[again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h]
+            if len(index):
+                out.append((0, *at, _pack(compare=np.sort(index))))
     return pa.table(_rows(out))
 
 
@@ -396,12 +388,11 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table(_rows(rows))
 
 
-def _removed(texts: list[bytes], whole: np.ndarray, index: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """The bytes of a block to remove, given the verdicts on its pieces."""
+def _removed(texts: list[bytes], index: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The bytes of a block to remove, given the repeated windows of its first pieces."""
     p = Pieces(texts)
     edge = np.zeros(len(p.buf) + 1, np.int32)
     again = ~p.firsts()
-    again[whole] = True
     np.add.at(edge, p.start[again], 1)
     np.add.at(edge, p.end[again], -1)
     row, column = np.nonzero(windows)
@@ -423,10 +414,9 @@ def _finish(with_text: bool, keep: tuple[str, ...], kinds: list[pa.DataType]):
             block = _block(raw.as_buffer())
             ids, texts = block.column(0).to_pylist(), block.column(1).to_pylist()
             got = said.get((slot, seq), [])
-            whole = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(m["whole"], np.uint32) for m in got if "whole" in m)])
-            index = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(m["index"], np.uint32) for m in got if "windows" in m)])
-            bits = np.concatenate([np.zeros((0, mask), np.uint8), *(np.frombuffer(m["windows"], np.uint8).reshape(-1, mask) for m in got if "windows" in m)])
-            gone = _removed(texts, whole, index, np.unpackbits(bits, axis=1, count=_LEFT + 1))
+            index = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(m["index"], np.uint32) for m in got)])
+            bits = np.concatenate([np.zeros((0, mask), np.uint8), *(np.frombuffer(m["windows"], np.uint8).reshape(-1, mask) for m in got)])
+            gone = _removed(texts, index, np.unpackbits(bits, axis=1, count=_LEFT + 1))
             n, spans, kept, at = [], [], [], 0
             for t in texts:
                 g = gone[at : at + len(t)]
@@ -470,11 +460,11 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, keep: tuple[str,
     judged = materialize(prints.groupBy("bucket").applyInArrow(tidy_group(_judge), _MESSAGE), "suffix-judged")
     pieces = blocks.groupBy("slot").cogroup(judged.groupBy("slot")).applyInArrow(tidy_pair(_asked(buckets)), _MESSAGE)
     compared = materialize(pieces.groupBy("bucket").applyInArrow(tidy_group(_compare), _MESSAGE), "suffix-compared")
-    verdicts = judged.unionByName(compared)
+    discard(judged)
     kinds = [to_arrow_type(docs.schema[k].dataType) for k in keep]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return blocks.groupBy("slot").cogroup(verdicts.groupBy("slot")).applyInArrow(tidy_pair(_finish(with_text, keep, kinds)), schema)
+    return blocks.groupBy("slot").cogroup(compared.groupBy("slot")).applyInArrow(tidy_pair(_finish(with_text, keep, kinds)), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

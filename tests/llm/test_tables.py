@@ -192,6 +192,20 @@ def test_suffix_dedup(spark, monkeypatch, rows):
         assert r.source == "s" and (r.n_removed or r.kept_text == dict(rows)[r.doc_id] or not dict(rows)[r.doc_id])
 
 
+def test_suffix_pieces_that_only_hash_alike_are_told_apart():
+    rnd = random.Random(8)
+    unit = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    texts = [(unit + "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 90))) + unit[: rnd.randint(150, 400)]).encode() for _ in range(12)]
+    p = suffixdedup.Pieces(texts)
+    p.hash[:], p.content[:] = 7, 9  # all hashes collide
+    seen, want = [], []
+    for a, b in zip(p.start.tolist(), p.end.tolist()):
+        piece = p.buf[a:b].tobytes()
+        want.append(not seen or piece != seen[0])  # the one that the hash finds is the first of all
+        seen.append(piece)
+    assert p.firsts().tolist() == want and not all(want)
+
+
 def test_suffix_dedup_empty_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "w" * 150), (1, "w" * 150), (None, "v")], "doc_id long, text string")
     assert sorted(r.n_removed for r in suffixdedup.dedup_substrings(df).collect()) == [0, 149, 150]  # in a run of one letter all but its first byte repeat
