@@ -171,11 +171,14 @@ def repeated_windows(group: np.ndarray, rank: np.ndarray, left: np.ndarray, size
         def get(file: IO[bytes], kind: type) -> np.ndarray:
             return np.frombuffer(file.read(m * np.dtype(kind).itemsize), kind)
 
-        grid = np.zeros((m, _COLUMNS), np.uint8)
-        at = np.repeat(np.arange(m) * _COLUMNS + begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        grid.reshape(-1)[at] = text
-        put(columns, grid.T[::-1])  # in the order in which they are read
-        del grid, at
+        grid = np.zeros((_COLUMNS, m), np.uint8)  # the last column first, as they are read
+        cut = np.append(0, np.cumsum(size))
+        for lo in range(0, m, 4096):
+            part = np.arange(lo, min(m, lo + 4096))
+            own = np.repeat(part, size[part])
+            grid[_COLUMNS - 1 - (np.arange(cut[lo], cut[part[-1] + 1]) - cut[own] + begin[own]), own] = text[cut[lo] : cut[part[-1] + 1]]
+        put(columns, grid)
+        del grid
         order = np.argsort(group, kind="stable")
         first = np.ones(m, bool)
         first[1:] = group[order][1:] != group[order][:-1]
@@ -245,8 +248,8 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> dict[str, pa.Array]:
 
 
 def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket (and hash), and where each bucket starts in it."""
-    b = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """An order by bucket (and hash), and where each bucket starts in it. Anchors have low hashes, so these are mixed."""
+    b = ((mix(h + M1) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((h, b))
     return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
@@ -373,8 +376,8 @@ def _compare(table: pa.Table) -> pa.Table:
     for slot, seq, m in _messages(table):
         parts.append({k: np.frombuffer(m[k], t) for k, t in kinds.items()})
         where.append((slot, seq))
-    a = {k: np.concatenate([p[k] for p in parts]) for k in kinds}
     source = np.repeat(np.arange(len(where)), [len(p["hash"]) for p in parts])
+    a = {k: np.concatenate([p.pop(k) for p in parts]) for k in kinds}
     place = np.empty(len(where), np.int64)
     place[sorted(range(len(where)), key=where.__getitem__)] = np.arange(len(where))
     rank = np.empty(len(source), np.int64)
