@@ -3,14 +3,14 @@
 Distinct pre-tokens of a slice of texts stand as rows of integer matrices, one matrix for each length class. In
 each round every row that still can merges its leftmost pair of minimum rank: pairs are looked up in a hash table
 held in arrays, the merged token replaces the left one, and the rest of the row closes up. Rows with no pair left
-leave the matrix.
+leave the matrix. A long pre-token is folded: its bytes fill a padded matrix row after row, a round merges the leftmost
+minimum of the rows' minima, and only the row that holds it closes up, so its length costs no square.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.common import documents, in_small_batches, tidy_stream
 
-#: Longer pre-tokens are merged one by one with a heap, in n log n steps: the matrix would need n rounds of width n.
-MATRIX_BYTES = 256
+#: Longer pre-tokens are folded into matrices of this width.
+FOLD_BYTES = 256
 #: Texts are taken in slices of about so many characters; the cache of encoded pre-tokens is emptied beyond so many.
 SLICE_CHARS = 1 << 20
 CACHE_ENTRIES = 300_000
@@ -121,27 +121,57 @@ class Codec:
             rank[r, c] = self.pairs.find(m[r, c], m[r, c + 1])
         return out
 
-    def merge_heap(self, token: bytes) -> np.ndarray:
-        """The same merges for one long pre-token: a heap of (rank, place) over a linked list."""
-        ids = self.bytes[np.frombuffer(token, np.uint8)].tolist()
-        n = len(ids)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        get = lambda i, j: self.ranks.get(self.vocabulary[ids[i]] + self.vocabulary[ids[j]])
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(i, i + 1)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not live[i] or j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], live[j], after[i] = r, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (x := get(i, after[j])) is not None:
-                    heapq.heappush(heap, (x, i, r, ids[after[j]]))
-            if before[i] >= 0 and (x := get(before[i], i)) is not None:
-                heapq.heappush(heap, (x, before[i], ids[before[i]], r))
-        return np.array([t for t, on in zip(ids, live, strict=True) if on], np.int32)
+    def merge_folded(self, token: bytes, width: int = FOLD_BYTES) -> np.ndarray:
+        """Ids of one long pre-token. The pair of a row's last token is with the first one of the next row that is not
+        empty; its rank stands at that last place."""
+        n = len(token)
+        m = np.full((-(-n // width), width), -1, np.int32)
+        m.reshape(-1)[:n] = self.bytes[np.frombuffer(token, np.uint8)]
+        rank = np.full(m.shape, NONE, np.int32)
+        flat = m.reshape(-1)[:n]
+        rank.reshape(-1)[: n - 1] = self.pairs.find(flat[:-1], flat[1:])
+        least = rank.min(1)
+        size = (m >= 0).sum(1).tolist()
+        after, before = list(range(1, len(m))) + [-1], list(range(-1, len(m) - 1))
+        known: dict[tuple[int, int], int] = {}
+
+        def pair(a: int, b: int) -> int:
+            if (a, b) not in known:
+                known[a, b] = int(self.pairs.find(np.array([a]), np.array([b]))[0])
+            return known[a, b]
+
+        def close_up(r: int, at: int) -> None:
+            """Takes out the token at a place of a row."""
+            m[r, at:-1], m[r, -1] = m[r, at + 1 :].copy(), -1
+            rank[r, at:-1], rank[r, -1] = rank[r, at + 1 :].copy(), NONE
+            size[r] -= 1
+
+        while True:
+            r = int(least.argmin())  # the leftmost of the least
+            best = int(least[r])
+            if best == NONE:
+                break
+            at, touched = int(rank[r].argmin()), {r}
+            if at + 1 < size[r]:
+                close_up(r, at + 1)
+            else:
+                q = after[r]
+                close_up(q, 0)
+                touched.add(q)
+                if not size[q]:
+                    after[r] = after[q]
+                    if after[q] >= 0:
+                        before[after[q]] = r
+            m[r, at] = best
+            right = m[r, at + 1] if at + 1 < size[r] else m[after[r], 0] if after[r] >= 0 else -1
+            rank[r, at] = pair(best, int(right)) if right >= 0 else NONE
+            if at or before[r] >= 0:
+                b, c = (r, at - 1) if at else (before[r], size[before[r]] - 1)
+                rank[b, c] = pair(int(m[b, c]), best)
+                touched.add(b)
+            for x in touched:
+                least[x] = rank[x].min()
+        return m[m >= 0]
 
     def learn(self, tokens: set[str]) -> None:
         """Puts the ids of new pre-tokens in the cache, as little-endian 32-bit numbers."""
@@ -150,8 +180,8 @@ class Codec:
             raw = t.encode()
             if (whole := self.ranks.get(raw)) is not None:
                 self.cache[t] = whole.to_bytes(4, "little")
-            elif len(raw) > MATRIX_BYTES:
-                self.cache[t] = self.merge_heap(raw).astype("<u4").tobytes()
+            elif len(raw) > FOLD_BYTES:
+                self.cache[t] = self.merge_folded(raw).astype("<u4").tobytes()
             else:
                 n = len(raw)
                 buckets.setdefault((n + 3) // 4 if n <= 32 else 8 + (n + 31) // 32, []).append((t, raw))

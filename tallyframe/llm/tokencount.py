@@ -2,7 +2,9 @@
 
 The distinct pre-tokens of a slice of texts, sorted, are a trie: equal prefixes are neighbours. Level by level the
 best score of each prefix is computed once from those of its ancestors up to the longest piece's length above, and
-the number of pieces on its best path is carried along; where a pre-token ends, that number is its count.
+the number of pieces on its best path is carried along; where a pre-token ends, that number is its count. Where few
+pre-tokens are still alive, each is a chain of the trie without branches that matter, and the same step goes on along it
+from the scores of its ancestors, whatever its length.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ _BASE = np.uint64(0x5851F42D4C957F2D)
 SPACE = "▁"  # stands for the space in front of a word
 #: Scores are whole numbers of this fraction of a nat, so sums are exact in any order and ties are real ties.
 UNIT = 1 << 20
-#: Longer pre-tokens get the plain recurrence, which needs no level for each character.
-TRIE_CHARS = 256
+#: Once so few prefixes are alive, whole levels cost more than single steps.
+CHAINS = 8
 SLICE_CHARS = 1 << 20
 CACHE_ENTRIES = 300_000
 
@@ -69,24 +71,29 @@ class Unigram:
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def plain(self, token: str) -> int:
-        """The count by the recurrence over one pre-token."""
-        best: list[tuple[int, int]] = [(0, 0)]
-        for d in range(1, len(token) + 1):
+    def chain(self, token: str, depth: int, best: list[tuple[int, int]]) -> int:
+        """The count of a pre-token from its prefix of a depth on; best: (score, less the pieces) of the last prefixes
+        up to that one."""
+        for d in range(depth + 1, len(token) + 1):
             found = []
             for n in range(1, min(d, self.longest) + 1):
                 s = self.scores.get(token[d - n : d])
-                b = best[d - n]
+                b = best[-n]
                 if s is not None:
                     found.append((b[0] + s, b[1] - 1))
                 elif n == 1:
                     k = len(token[d - 1].encode())
                     found.append((b[0] + k * self.fallback, b[1] - k))
             best.append(max(found))
+            del best[: -self.longest]
         return -best[-1][1]
 
+    def plain(self, token: str) -> int:
+        """The count by the recurrence over one pre-token, without a trie."""
+        return self.chain(token, 0, [(0, 0)])
+
     def count_distinct(self, tokens: list[str]) -> np.ndarray:
-        """Counts of distinct pre-tokens of up to TRIE_CHARS characters, which must be sorted."""
+        """Counts of distinct pre-tokens, which must be sorted."""
         size = np.array([len(t) for t in tokens], np.int64)
         chars = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32).astype(np.uint64)
         offset = np.cumsum(size) - size
@@ -100,6 +107,14 @@ class Unigram:
         for d in range(1, int(size.max(initial=0)) + 1):
             live = size[rows] >= d
             rows, node = rows[live], node[live]
+            if len(rows) <= CHAINS:
+                for r, at in zip(rows.tolist(), node.tolist(), strict=True):
+                    best_of = []
+                    for _, best, count, parent in reversed(levels[-self.longest :]):
+                        best_of.append((int(best[at]), -int(count[at])))
+                        at = int(parent[at])
+                    out[r] = self.chain(tokens[r], d - 1, best_of[::-1])
+                break
             c = chars[offset[rows] + d - 1]
             new = np.ones(len(rows), bool)
             new[1:] = (node[1:] != node[:-1]) | (c[1:] != c[:-1])
@@ -132,10 +147,8 @@ class Unigram:
         return out
 
     def learn(self, tokens: set[str]) -> None:
-        short = sorted(t for t in tokens if len(t) <= TRIE_CHARS)
-        if short:
-            self.cache.update(zip(short, self.count_distinct(short).tolist(), strict=True))
-        self.cache.update((t, self.plain(t)) for t in tokens if len(t) > TRIE_CHARS)
+        new = sorted(tokens)
+        self.cache.update(zip(new, self.count_distinct(new).tolist(), strict=True))
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""

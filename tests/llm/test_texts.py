@@ -33,11 +33,16 @@ def test_bpe_equals_the_library(codec):
         assert codec.decode(ids) == t.encode()
 
 
-def test_bpe_heap_and_matrix_agree(codec):
+def test_bpe_folded_rows_equal_the_library(codec):
+    ref = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=codec.ranks, special_tokens={})
     rnd = random.Random(2)
-    tokens = [bytes(rnd.randrange(256) for _ in range(rnd.randint(2, 60))) for _ in range(200)]
-    for t in tokens:
-        assert codec.merge_matrix([t])[0].tolist() == codec.merge_heap(t).tolist()
+    for n in (2, 3, 7, 50, 400, 3000):
+        for letters in ("ab", "the ing on", "aé日\n 0"):
+            t = "".join(rnd.choice(letters) for _ in range(n))
+            want = ref.encode_ordinary(t)
+            for width in (2, 3, 16, 256):
+                assert codec.merge_folded(t.encode(), width).tolist() == want
+            assert codec.merge_matrix([t.encode()])[0].tolist() == want
 
 
 def test_bpe_needs_all_bytes():
@@ -62,6 +67,9 @@ def test_token_counts_equal_the_recurrence():
     rnd = random.Random(3)
     words = sorted({tokencount.SPACE + "".join(rnd.choice("abcdeéß日🙂xyz") for _ in range(rnd.randint(1, 40))) for _ in range(500)})
     assert u.count_distinct(words).tolist() == [u.plain(w) for w in words]
+    long = sorted({tokencount.SPACE + "".join(rnd.choice("abcdeé日🙂ing") for _ in range(n)) for n in (255, 256, 257, 900, 5000)} | set(words[:3]))
+    long += [long[-1] + "ing"]  # goes on where another ends
+    assert u.count_distinct(long).tolist() == [u.plain(w) for w in long]
 
 
 def test_token_counts_brute_force_over_all_cuts():
