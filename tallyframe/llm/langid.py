@@ -1,8 +1,9 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-A text's UTF-8 bytes are read in windows of WINDOW bytes. In each window one recurrent layer runs forward, one
-backward; their states label every byte position with probabilities of the languages. A document's probabilities
-are the mean over all its positions.
+One recurrent layer reads a text's UTF-8 bytes forward, one backward; their states label every byte position with
+probabilities of the languages. A document's probabilities are the mean over all its positions. Texts are read in
+windows side by side; each layer enters a window WARM bytes early, so that its state runs on from window to window but
+for what it would remember of bytes further back. At a text's ends it starts at zero.
 """
 
 from __future__ import annotations
@@ -17,18 +18,19 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import documents, in_small_batches, slices, tidy_stream
 
-WINDOW = 64
+WINDOW = 256
+WARM = 32
 HIDDEN = 8
-#: The network is fitted on at most so many documents of each language and so many windows of each document.
+#: The network is fitted on about so many documents of each language: all windows of their whole texts, of TAUGHT bytes.
 SAMPLE_DOCS = 400
-SAMPLE_WINDOWS = 12
+TAUGHT = 64
 STEPS = 160
 BATCH = 160
 #: The label of texts that are null or have no letter.
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes labelled at once: small enough for the caches, and for products that stay in one thread.
-SLICE_BYTES = 1 << 16
+SLICE_BYTES = 1 << 18
 
 
 def _softsign(x: np.ndarray) -> np.ndarray:
@@ -42,8 +44,8 @@ def _softsign(x: np.ndarray) -> np.ndarray:
 class Network:
     """Weights of both directions: w maps a byte to the inputs of the three gates (3H x 257), u the state (3H x H),
     c biases the candidate's state term; v and d map the joined states to the languages. Gates stand in the order
-    update, reset, candidate; they squash with softsign, the first two moved to 0..1. Byte 256 pads. Arrays hold
-    units x batch, so that every operation runs along memory."""
+    update, reset, candidate; they squash with softsign, the first two moved to 0..1. Byte 256 pads and leaves the
+    state at zero. Arrays hold units x batch, so that every operation runs along memory."""
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -57,6 +59,7 @@ class Network:
         """x: time x batch bytes, in reading order of this direction. States after each step, and what the way back needs."""
         n, h, (w, u, c) = x.shape[1], self.h, (self.p[k + way] for k in "wuc")
         rows = np.ascontiguousarray(w.T)
+        padded = (x == 256).any(1)
         state, out, trace = np.zeros((h, n), w.dtype), np.empty((len(x), h, n), w.dtype), []
         for t in range(len(x)):
             a, b = np.ascontiguousarray(rows.take(x[t], axis=0).T), u @ state
@@ -73,6 +76,8 @@ class Network:
             np.subtract(state, cand, out=new)
             new *= z
             new += cand
+            if padded[t]:
+                new *= x[t] < 256
             if keep:
                 trace.append((state, z, r, m, cand))
             state = new
@@ -105,7 +110,7 @@ class Network:
             gu, gc, ups = np.zeros_like(u), np.zeros_like(self.p[f"c{way}"]), []
             for t in range(len(xs) - 1, -1, -1):
                 state, z, r, m, cand = trace[t]
-                dh = dh + v.T @ es[t]
+                dh = (dh + v.T @ es[t]) * (xs[t] < 256)
                 da = dh * (1 - z) * (1 - np.abs(cand)) ** 2
                 slope = lambda q: 0.5 * (1 - np.abs(2 * q - 1)) ** 2
                 dz = dh * (state - cand) * slope(z)
@@ -149,23 +154,25 @@ class Network:
         """Each text's mean position probabilities (texts x languages); zeros for an empty text."""
         out = np.zeros((len(texts), len(self.languages)))
         for lo, hi in slices([len(t) for t in texts], SLICE_BYTES):
-            x, owner = windows(texts[lo:hi])
+            x, owner = windows(texts[lo:hi], WINDOW, WARM)
             for a in range(0, len(x), SLICE_BYTES // WINDOW):  # a longer text in parts
-                part = x[a : a + SLICE_BYTES // WINDOW]
-                p, _ = self.forward(np.ascontiguousarray(part.T))
-                p *= (part.T < 256)[:, None, :]
-                np.add.at(out[lo:hi], owner[a : a + len(part)], p.sum(0).T)
+                part = x[a : a + SLICE_BYTES // WINDOW].T
+                p = self.forward(np.ascontiguousarray(part))[0][WARM : WARM + WINDOW]
+                p *= (part[WARM : WARM + WINDOW] < 256)[:, None, :]
+                np.add.at(out[lo:hi], owner[a : a + part.shape[1]], p.sum(0).T)
         return out / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts cut into windows (padded with 256), and the text of each window."""
-    n = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
-    x = np.full((int(n.sum()), WINDOW), 256, np.int16)
-    flat, start = x.reshape(-1), (np.cumsum(n) - n) * WINDOW
+def windows(texts: list[bytes], size: int, around: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All texts cut into windows, with so many bytes around each (256 beyond the text), and the text of each."""
+    n = np.array([-(-len(t) // size) for t in texts], np.int64)
+    flat = np.full(int(n.sum()) * size + 2 * around * len(texts), 256, np.int16)
+    start = (np.cumsum(n) - n) * size + 2 * around * np.arange(len(texts))
     for t, s in zip(texts, start.tolist(), strict=True):
-        flat[s : s + len(t)] = np.frombuffer(t, np.uint8)
-    return x, np.repeat(np.arange(len(texts)), n)
+        flat[s + around : s + around + len(t)] = np.frombuffer(t, np.uint8)
+    owner = np.repeat(np.arange(len(texts)), n)
+    at = start[owner] + (np.arange(len(owner)) - (np.cumsum(n) - n)[owner]) * size
+    return flat[at[:, None] + np.arange(size + 2 * around)] if len(at) else np.zeros((0, size + 2 * around), np.int16), owner
 
 
 def held_out() -> F.Column:
@@ -173,10 +180,10 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, steps: int = STEPS) -> Network | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> Network | None:
     """Fits a network on a bounded sample of the labelled documents that are not held out: for each language about
-    sample_docs documents chosen by a hash of the id, and of each sample_windows windows spread over its whole
-    text. None if nothing is labelled."""
+    sample_docs different documents (id and text) chosen by a hash, with their whole texts. The languages are the
+    classes; they and their counts come to the driver. None if nothing is labelled."""
     taught = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
@@ -184,23 +191,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * sample_docs / n))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for i, lang, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                raw = text.encode()
-                n = -(-len(raw) // WINDOW)
-                for w in sorted({k * n // sample_windows for k in range(sample_windows)}) if n else ():
-                    for o, v in zip(out, (i, lang, raw[w * WINDOW : (w + 1) * WINDOW]), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], ["doc_id", "lang", "window"])
-
-    chosen = in_small_batches(taught).where(u < share).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(tidy_stream(cut), "doc_id long, lang string, window binary")
-    got = sorted((r["lang"], r["doc_id"], bytes(r["window"])) for r in chosen.collect())
+    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = taught.where(u < share).select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").distinct()
+    got = sorted((r["lang"], r["doc_id"], r["text"].encode()) for r in chosen.collect())
     languages = sorted(counts)
-    x, owner = windows([w for _, _, w in got])
+    x, owner = windows([t for _, _, t in got], TAUGHT)
     y = np.array([languages.index(lang) for lang, _, _ in got], np.int64)[owner]
     network = Network(languages)
     network.fit(x, y, steps)
@@ -219,7 +214,7 @@ def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("
             texts = [t or "" for t in batch.column(0).to_pylist()]
             lettered = [network is not None and _LETTER.search(t) is not None for t in texts]
             labels, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            at = [i for i, on in enumerate(lettered) if on]
+            at = sorted((i for i, on in enumerate(lettered) if on), key=lambda i: len(texts[i]))
             if network is not None and at:
                 p = network.pooled([texts[i].encode() for i in at])
                 for i, k, s in zip(at, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):

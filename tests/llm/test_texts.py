@@ -236,6 +236,50 @@ def test_language_id_without_labels(spark):
     assert langid.identify(df.where("false")).count() == 0
 
 
+def plain_states(net, raw, way):
+    """The recurrence, byte by byte and unit by unit."""
+    squash = lambda v: v / (1 + abs(v))
+    w, u, c, h = net.p["w" + way], net.p["u" + way], net.p["c" + way], net.h
+    state, out = [0.0] * h, []
+    for byte in raw if way == "f" else raw[::-1]:
+        gate = lambda k: 0.5 + 0.5 * squash(float(w[k, byte]) + sum(float(u[k, j]) * state[j] for j in range(h)))  # noqa: E731,B023
+        new = []
+        for k in range(h):
+            z, r = gate(k), gate(h + k)
+            memory = sum(float(u[2 * h + k, j]) * state[j] for j in range(h)) + float(c[k, 0])
+            new.append(z * state[k] + (1 - z) * squash(float(w[2 * h + k, byte]) + r * memory))
+        state = new
+        out.append(state)
+    return out if way == "f" else out[::-1]
+
+
+def plain_pooled(net, raw):
+    total = np.zeros(len(net.languages))
+    f, b = (plain_states(net, raw, way) for way in "fb")
+    for x, y in zip(f, b):
+        e = np.exp(net.p["v"].astype(float) @ np.array(x + y) + net.p["d"][:, 0])
+        total += e / e.sum()
+    return total / len(raw)
+
+
+def test_network_equals_the_plain_recurrence():
+    net = langid.Network(["a", "b", "c"], hidden=4)
+    rnd = random.Random(9)
+    texts = [bytes(rnd.randrange(256) for _ in range(n)) for n in (1, 5, 200, 256)]
+    for raw, p in zip(texts, net.pooled(texts)):
+        assert np.allclose(p, plain_pooled(net, raw), atol=1e-5)
+
+
+def test_state_runs_on_across_windows():
+    """A text of several windows, and a very long one, come out as if read in one go."""
+    net = langid.Network(["a", "b", "c"], hidden=4)
+    rnd = random.Random(10)
+    raw = " ".join(rnd.choice(["zart", "brkt", "oué", "lilo"]) for _ in range(600)).encode()
+    assert len(raw) > 5 * langid.WINDOW
+    assert np.allclose(net.pooled([raw])[0], plain_pooled(net, raw), atol=1e-3)
+    assert np.allclose(net.pooled([raw * 300])[0], net.pooled([raw])[0], atol=1e-2)
+
+
 def test_pooling_ignores_how_texts_are_batched():
     net = langid.Network(["a", "b"])
     texts = [b"x" * 500, b"", "é".encode() * 40, b"q"]
