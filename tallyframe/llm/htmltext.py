@@ -21,18 +21,23 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import in_small_batches, tidy_stream
 
-# Fixed values of HTML: elements without content, with raw content, and inline ones.
+# Fixed values of HTML: elements without content; with raw content, which is no markup and is never shown, or is (xmp);
+# inline ones, those of formulas and drawings among them; and the transparent object.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select noembed noframes xmp".split())
+RAW = frozenset("script style template iframe textarea title noembed noframes xmp".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var nobr center".split()
+    (
+        "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var nobr object "
+        "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml "
+        "svg circle defs desc ellipse g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use"
+    ).split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # Kinds of tags and of attribute tokens that the trees can ask for.
-TAG_KINDS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu", "nav", "header", "footer", "aside", "form fieldset button input dialog", "table tbody tr td th", "blockquote pre", "figure figcaption", "body html"]
+TAG_KINDS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu", "nav", "header", "footer", "aside", "form fieldset button input dialog select option optgroup", "table tbody tr td th", "blockquote pre", "figure figcaption", "noscript", "body html"]
 TOKEN_KINDS = [
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc skip",
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner affiliate",
@@ -86,6 +91,9 @@ class Page:
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                if name == "xmp":
+                    block, fresh = block + 1, True
+                    self.runs.append((stack[-1][1], block, source[at : end.start() if end else len(source)], links > 0))
                 at = end.end() if end else len(source)
                 continue
             if name in VOID:
@@ -353,6 +361,16 @@ def made_up_page(rng: random.Random) -> str:
         one = lambda: wrap(rng.choice(["div", "li", "article"]), attrs(5, 0.7), rng.choice([wrap("b", "", words(1)), ""]) + text_blocks(rng.randint(1, 2), (3, 40)))
         return wrap(rng.choice(["section", "div", "ol", "ul"]), attrs(5, 1), rng.choice(["", wrap("h3", "", words(2))]) + "".join(one() for _ in range(rng.randint(1, 5))))
 
+    def unseen() -> str:
+        how = rng.choice([" hidden", ' style="display:none"', ' style="display: none;"', ' aria-hidden="true"'])
+        return wrap(rng.choice(["div", "div", "p", "section"]), how + rng.choice(["", attrs(8), f' class="{word()}"']), rng.choice([words(rng.randint(2, 60)), text_blocks(rng.randint(1, 3))]))
+
+    def scriptless() -> str:
+        return wrap("noscript", "", rng.choice([words(rng.randint(3, 12)), wrap("p", "", words(8)), wrap("div", attrs(6), words(6))]))
+
+    def chooser() -> str:
+        return wrap("select", "", "".join(wrap("option", "", words(1)) for _ in range(rng.randint(2, 6))))
+
     def share() -> str:
         return wrap("div", attrs(7, 1), " ".join(link() for _ in range(rng.randint(2, 5))))
 
@@ -373,20 +391,26 @@ def made_up_page(rng: random.Random) -> str:
             return wrap("table", "", "".join(wrap("tr", "", wrap("td", "", q(2)) + wrap("td", "", q(3))) for _ in range(3)))
         if kind < 0.96:
             return wrap("section", "", wrap("h2", "", q(3)) + wrap("p", "", q(30)))
-        return rng.choice([advert, share, sidebar, notice, form])()
+        if kind < 0.965:
+            return rng.choice([wrap("div", "", q(25)), wrap("pre", "", q(12))])
+        return rng.choice([advert, share, sidebar, notice, form, unseen, unseen, chooser, scriptless])()
 
     body = "".join(article_part() for _ in range(rng.choice([1, 2, 4, 8, 14])))
     if rng.random() < 0.8:
         body = wrap(rng.choice(["h1", "h1", "h2"]), "", q(rng.randint(2, 12))) + body
     if rng.random() < 0.15:
         body += comments()
+    bare = rng.random() < 0.25  # an article without an element of its own
+    if bare and rng.random() < 0.4:  # with text outside of all elements
+        body = rng.choice([q(rng.randint(4, 60)), q(20) + body, body + q(15), q(9) + body + q(12), "<br><br>".join(q(15) for _ in range(4))])
     holder = rng.choice([("article", ""), ("article", ""), ("article", attrs(8)), ("main", ""), ("div", attrs(8, 1)), ("div", attrs(8, 1)), ("section", attrs(8, 1))])
-    core = wrap(*holder, body)
-    for _ in range(rng.randint(0, 2)):
+    core = body if bare else wrap(*holder, body)
+    for _ in range(0 if bare else rng.randint(0, 2)):
         core = wrap(rng.choice(["div", "main", "section"]), rng.choice(["", attrs(8), attrs(8)]), core + (sidebar() if rng.random() < 0.2 else ""))
-    before = "".join(f() for f in (header, nav, notice, advert, share, form) if rng.random() < 0.4)
-    after = "".join(f() for f in (sidebar, comments, advert, share, form, notice, footer) if rng.random() < (0.75 if f is footer else 0.3))
-    if rng.random() < 0.15:
+    alone = rng.random() < (0.5 if bare else 0.05)  # nothing but the article
+    before = "" if alone else "".join(f() for f in (header, nav, notice, advert, share, form, unseen, scriptless, chooser) if rng.random() < (0.4 if f in (header, nav, notice, advert, share, form) else 0.1))
+    after = "" if alone else "".join(f() for f in (sidebar, comments, advert, share, form, notice, unseen, footer) if rng.random() < (0.75 if f is footer else 0.3))
+    if not alone and rng.random() < 0.15:
         before += sidebar()
     page = f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style></head><body>{before}{'<!-- x -->' if rng.random() < 0.3 else ''}{core}{after}</body></html>"
     return page
@@ -421,7 +445,6 @@ def extract(sources: list[str], trees: BoostedTrees) -> list[str]:
         return []
     x, parent, first = features(pages)
     margin = trees.margin(x)
-    margin[x[:, FEATURES.index("hidden")] > 0] = -30.0
     keep = decode(margin, parent)
     cuts = np.append(first, len(parent)).tolist()
     return [p.main_text(keep[a:b]) for p, a, b in zip(pages, cuts[:-1], cuts[1:], strict=True)]

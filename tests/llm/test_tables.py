@@ -372,6 +372,37 @@ def test_html_page(trees):
     assert htmltext.extract([PAGE], trees) == ["The title & more\nFirst paragraph with some text, and a link.\nSecond paragraph <unclosed>, long enough to be text. After a break.\npoint one of the article\npoint two of it"]
 
 
+PROSE = "A paragraph of plain prose, which says a few things and ends here."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<p>{PROSE}</p>" * 5, [PROSE] * 5),
+        (f"<html><body>{f'<p>{PROSE}' * 3}</body></html>", [PROSE] * 3),
+        (PROSE, [PROSE]),
+        (f"<article><p>{PROSE}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given, and so on it goes.</p></article>", [PROSE, "Let x=2 be given, and so on it goes."]),
+        (f"<article><p>{PROSE}</p><object data=z><p>{PROSE} Fallback.</p></object><p>{PROSE}</p></article>", [PROSE, PROSE + " Fallback.", PROSE]),
+        (f"<article><p>{PROSE}</p><div hidden>{PROSE}</div><div style='display: none'><p>{PROSE}</p></div><p>{PROSE}</p></article>", [PROSE] * 2),
+        (f"<article><p>{PROSE}</p><noscript>Please enable scripts here.</noscript><select><option>one<option>two</select><p>{PROSE}</p></article>", [PROSE] * 2),
+        (f"{'<div>' * 3000}<p>{PROSE}</p><p>{PROSE}</p>{'</div>' * 3000}", [PROSE] * 2),
+    ],
+)
+def test_html_cases(trees, page, want):
+    assert htmltext.extract([page], trees) == ["\n".join(want)]
+
+
+def test_html_equals_the_articles_of_the_pages_table(trees):
+    """Each page of the table has one article element; its blocks by plain string work."""
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()]
+    for page, got in zip(pages, htmltext.extract(pages, trees), strict=True):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        lines = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|h2|li)\b[^>]*>", "\n", inner.replace("<br>", " "))).split("\n")
+        assert got == "\n".join(x for x in (" ".join(html.unescape(line).split()) for line in lines) if x)
+
+
 def test_html_made_up_pages(trees):
     rng = random.Random(4242)  # another seed than the training pages'
     pages = [htmltext.made_up_page(rng) for _ in range(150)]
