@@ -12,16 +12,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import documents, in_small_batches, lower_ascii, mix, pack_texts, shingle_table, slices, tidy_group, tidy_stream, word_table
+from tallyframe.storage import materialize
 
 SHINGLE_WORDS = 5
-#: Bytes of text fingerprinted at once, and texts sent on in one compressed message.
+#: Bytes of text fingerprinted at once.
 SLICE_BYTES = 1 << 20
-#: Rows in a range of doc_ids, on average.
-RANGE_ROWS = 4096
 
 
 def fingerprints(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -63,6 +63,61 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(tidy_stream(run), "doc_id long, fingerprint long")
 
 
+def _tables(radius: int, blocks: int) -> list[int]:
+    """The masks of the block tables: each keeps blocks - radius of the blocks that the 64 bits are cut into."""
+    if not 0 <= radius < blocks <= 64:
+        raise ValueError("0 <= radius < blocks <= 64 is needed")
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+    return [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def _meetings(values: np.ndarray, table: np.ndarray, masks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (places i < j) of values that meet in a table within the radius, and their distances, part by part. A pair
+    that meets in several tables is told by the first."""
+    key = values & masks[table]
+    order = np.lexsort((values, key, table))
+    v, t, k = values[order], table[order], key[order]
+    cut = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]), [True])))
+    last = np.repeat(cut[1:], np.diff(cut))  # where the group of each place ends
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+
+    def told() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = np.concatenate(left), np.concatenate(right)
+        apart = v[i] ^ v[j]
+        near = np.bitwise_count(apart).astype(np.int64)
+        ok = np.flatnonzero(near <= radius)
+        i, j, apart, near = i[ok], j[ok], apart[ok], near[ok]
+        first = ((apart[:, None] & masks) == 0).argmax(1) == t[i]
+        left.clear()
+        right.clear()
+        return order[i[first]], order[j[first]], near[first]
+
+    waiting, step, at = 0, 1, np.arange(len(v))
+    while len(at := at[at + step < last[at]]):  # all pairs of neighbours at a distance in the groups' order
+        for lo in range(0, len(at), 1 << 18):
+            left.append(at[lo : lo + (1 << 18)])
+            right.append(left[-1] + step)
+            waiting += len(left[-1])
+            if waiting >= 1 << 18:
+                yield told()
+                waiting = 0
+        step += 1
+    if left:
+        yield told()
+
+
+def _dealt(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """task, t, fingerprint: the distinct values in each block table, dealt by table and key."""
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    masks = F.array(*[F.lit(signed(m)).cast("long") for m in _tables(radius, blocks)])
+    values = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    keyed = values.select("fingerprint", F.posexplode(masks).alias("t", "m"))
+    tasks = 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.select(F.pmod(F.xxhash64("t", F.col("fingerprint").bitwiseAND(F.col("m"))), F.lit(tasks)).alias("task"), F.col("t").cast("short"), "fingerprint")
+
+
 def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """(a, b, distance): every pair of distinct fingerprint values, a < b, at most radius bits apart.
 
@@ -71,36 +126,53 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 6) -> Da
     are verified by their popcount. Values, not rows, are paired: equal fingerprints are one value, and rows join
     back by it. A pair is reported by the first table in which it meets. Nothing is capped.
     """
-    if not 0 <= radius < blocks <= 64:
-        raise ValueError("0 <= radius < blocks <= 64 is needed")
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    tables = [signed(sum(masks[i] for i in chosen)) for chosen in combinations(range(blocks), blocks - radius)]
-    values = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    keyed = values.select("fingerprint", F.posexplode(F.array(*[F.lit(m).cast("long") for m in tables])).alias("t", "m")).select(
-        "fingerprint", "t", F.col("fingerprint").bitwiseAND(F.col("m")).alias("key")
-    )
-    a, b = keyed.alias("a"), keyed.alias("b")
-    both = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint")))
-    apart = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
-    first = F.lit(len(tables))
-    for t in range(len(tables) - 1, -1, -1):
-        first = F.when(apart.bitwiseAND(F.lit(tables[t]).cast("long")) == 0, F.lit(t)).otherwise(first)
-    return both.where((F.bit_count(apart) <= radius) & (F.col("a.t") == first)).select(
-        F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), F.bit_count(apart).cast("int").alias("distance")
-    )
+    masks = np.array(_tables(radius, blocks), np.uint64)
+
+    def run(table: pa.Table) -> pa.Table:
+        v = table.column("fingerprint").to_numpy()
+        found = [(np.minimum(v[i], v[j]), np.maximum(v[i], v[j]), d) for i, j, d in _meetings(v.view(np.uint64), table.column("t").to_numpy(), masks, radius)]
+        a, b, d = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
+        return pa.table({"a": a, "b": b, "distance": d.astype(np.int32)})
+
+    return _dealt(prints, radius, blocks).groupBy("task").applyInArrow(tidy_group(run), "a long, b long, distance int")
+
+
+def count_near(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(fingerprint, n_near): how many other values lie within the radius of each that has any. The pairs of the block
+    tables are counted where they meet; none leaves its task."""
+    masks = np.array(_tables(radius, blocks), np.uint64)
+
+    def run(table: pa.Table) -> pa.Table:
+        v, n = table.column("fingerprint").to_numpy(), np.zeros(table.num_rows, np.int64)
+        for i, j, _ in _meetings(v.view(np.uint64), table.column("t").to_numpy(), masks, radius):
+            np.add.at(n, i, 1)
+            np.add.at(n, j, 1)
+        own, at = np.unique(v[n > 0], return_inverse=True)
+        return pa.table({"fingerprint": own, "n": np.bincount(at, n[n > 0], len(own)).astype(np.int64)})
+
+    counted = _dealt(prints, radius, blocks).groupBy("task").applyInArrow(tidy_group(run), "fingerprint long, n long")
+    return counted.groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+
 
+# ---------------------------------------------------------------- edited texts
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary()), ("ghost", pa.bool_())])
+_TOLD = "doc_id long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, near_edited double, near_next double"
 
 
-def _message(ids: list, texts: list[bytes], ghosts: list[bool]) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary()), pa.array(ghosts, pa.bool_())], schema=_ROWS)
-    with pa.ipc.new_stream(sink, _ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _told(ids: list, texts: list[bytes], nexts: list[bytes], prints: np.ndarray, next_prints: np.ndarray) -> list[pa.Array]:
+    chars, edited = [], []
+    for t, nx in zip(texts, nexts, strict=True):
+        s = t.decode()
+        k = len(s) // 3
+        chars.append(len(s))
+        # 4 k bytes hold at least k code points
+        edited.append((s[: len(s) - k] + nx[: 4 * k].decode(errors="ignore")[:k]).encode())
+    e = fingerprints(edited)
+    sha = [hashlib.sha256(x).hexdigest() for x in edited]
+    return [
+        pa.array(ids, pa.int64()), pa.array(chars, pa.int64()), pa.array(sha, pa.string()), pa.array(prints.view(np.int64)), pa.array(e.view(np.int64)),
+        pa.array(likeness(prints, e), pa.float64()), pa.array(likeness(prints, next_prints), pa.float64()),
+    ]
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -108,83 +180,56 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n_chars / 3) code points replaced by as many first ones (or all) of the
     next document in descending doc_id; the last takes the first. Rows with one doc_id stand in order of their
-    text. A null doc_id stands before all others; null text counts as empty. A table of one row is its own next.
+    text. A null doc_id stands after all others; null text counts as empty. A table of one row is its own next.
 
-    Ranges of doc_id are cut at quantiles; each range's rows, in compressed messages, meet in one task, with the
-    last row of the range below ("ghost"), so neighbours are found without a global sort or a driver-side list.
+    Rows are ranged and sorted by doc_id (and text), and stream through one task for each range; only the first and
+    the last row of each range are kept to be compared across ranges. Nothing is gathered, however many rows a range
+    or a doc_id has.
     """
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(ids.alias("doc_id"), F.col("doc_id").isNull().alias("was_null"), "text")
-    n = rows.count()
-    parts = max(1, -(-n // RANGE_ROWS))
-    cuts = sorted({int(x) for x in rows.select(F.col("doc_id")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    least = rows.agg(F.min("doc_id")).first()[0]
-    cuts = np.array([c for c in cuts if c != least], np.int64)  # every range holds the row that it starts at
-    last = len(cuts)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ghosts: dict[int, tuple[int, bytes]] = {}
-
-        def out(items: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in items], pa.int32()), pa.array([m for _, m in items], pa.binary())], ["part", "message"])
-
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.substring("text", 1, 32).desc()]
+    sorted_ = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(order[0], F.col("text").desc())
+    names = [c.split()[0] for c in _TOLD.split(", ")]
+    none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+    edge = [("part", pa.int32()), ("first", pa.string()), ("last", pa.string())]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: str | None = None
+        ids: list = []
+        texts: list[bytes] = []
+        prints = np.zeros(0, np.uint64)
         for batch in batches:
-            doc, texts = batch.column(0).to_numpy(), [(t or "").encode() for t in batch.column(1).to_pylist()]
-            part = np.searchsorted(cuts, doc, side="right")
-            for lo, hi in slices([len(t) for t in texts], 4 * SLICE_BYTES):
-                own, items = part[lo:hi], []
-                for p in np.unique(own).tolist():
-                    at = lo + np.flatnonzero(own == p)
-                    items.append((p, _message(doc[at].tolist(), [texts[i] for i in at], [False] * len(at))))
-                    top = max(((int(doc[i]), texts[i]) for i in at))
-                    ghosts[p] = max(ghosts.get(p, top), top)
-                yield out(items)
-        if ghosts:
-            yield out([(p + 1 if p < last else 0, _message([d], [t], [True])) for p, (d, t) in ghosts.items()])
-
-    def compare(table: pa.Table) -> pa.Table:
-        own: list[tuple[int, bytes]] = []
-        below: tuple[int, bytes] | None = None
-        for m in table.column("message"):
-            for b in pa.ipc.open_stream(pa.BufferReader(m.as_buffer())):
-                got = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-                if b.num_rows and b.column(2)[0].as_py():
-                    below = max(below or got[0], got[0])
-                else:
-                    own += got
-        own.sort()
-        texts = [t for _, t in own]
-        nexts = [below[1] if below else texts[-1], *texts[:-1]] if own else []
-        chars, edited = [], []
-        for t, nx in zip(texts, nexts, strict=True):
-            s = t.decode()
-            k = len(s) // 3
-            chars.append(len(s))
-            # 4 k bytes hold at least k code points
-            edited.append((s[: len(s) - k] + nx[: 4 * k].decode(errors="ignore")[:k]).encode())
-        f = fingerprints([*texts, *nexts[:1]])
-        e, nf = fingerprints(edited), np.concatenate((f[-1:], f[: len(own) - 1])) if own else f[:0]
-        f = f[: len(own)]
-        hexed = lambda x: [f"{int(v):016x}" for v in x]
-        return pa.table(
-            {
-                "doc_id": pa.array([None if d == -(1 << 63) else d for d, _ in own], pa.int64()),
-                "n_chars": pa.array(chars, pa.int64()),
-                "edited_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in edited], pa.string()),
-                "fingerprint": pa.array(hexed(f), pa.string()),
-                "edited_fingerprint": pa.array(hexed(e), pa.string()),
-                "near_edited": pa.array(likeness(f, e), pa.float64()),
-                "near_next": pa.array(likeness(f, nf), pa.float64()),
-            }
-        )
-
-    return (
-        in_small_batches(rows.select("doc_id", "text"))
-        .mapInArrow(tidy_stream(deal), "part int, message binary")
-        .groupBy("part")
-        .applyInArrow(tidy_group(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    )
+            if not batch.num_rows:
+                continue
+            new = [t.encode() for t in batch.column(1).to_pylist()]
+            top = batch.column(1)[0].as_py() if top is None else top
+            ids, texts, prints = ids[-1:] + batch.column(0).to_pylist(), texts[-1:] + new, np.concatenate((prints[-1:], fingerprints(new)))
+            if len(ids) > 1:
+                told = _told(ids[:-1], texts[:-1], texts[1:], prints[:-1], prints[1:])
+                yield pa.RecordBatch.from_arrays(told + [pa.nulls(len(ids) - 1, t) for _, t in edge], names + [n for n, _ in edge])
+        if ids:
+            part = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([top], pa.string()), pa.array([texts[-1].decode()], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[-1:], pa.int64()), *none[1:], *part], names + [n for n, _ in edge])
+
+    told = materialize(in_small_batches(sorted_).mapInArrow(tidy_stream(stream), _TOLD + ", part int, first string, last string"), "simhash-told")
+    edges = told.where("part is not null")  # a row for each range
+    w = Window.orderBy("part")
+    across = edges.select("doc_id", "last", F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, nexts = ([t.encode() for t in batch.column(c).to_pylist()] for c in (1, 2))
+            yield pa.RecordBatch.from_arrays(_told(batch.column(0).to_pylist(), texts, nexts, fingerprints(texts), fingerprints(nexts)), names)
+
+    return told.where("part is null").select(*names).unionByName(in_small_batches(across).mapInArrow(tidy_stream(last), _TOLD))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edited(documents(spark, sf_dir, "doc_id", "text"))
+    """compare_edited with fingerprints in hexadecimal, and n_near: how many other fingerprints of the table lie within
+    three bits of a row's, found by the block tables."""
+    told = materialize(compare_edited(documents(spark, sf_dir, "doc_id", "text")), "simhash-compared")
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
+    return told.join(count_near(told), "fingerprint", "left").select(
+        "doc_id", "n_chars", "edited_sha256", hexed("fingerprint"), hexed("edited_fingerprint"), "near_edited", "near_next", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")
+    )

@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from tallyframe.llm import bpe, langid, simhash, tokencount
+from tallyframe.llm import bpe, common, langid, simhash, tokencount
 
 ODD = ["", " ", "\n\n  x", "a" * 3000, "ab" * 400, "日本語テキスト" * 20, "<|endoftext|>", "naïve café — x²", "\x00\x01", "$$$%%%" * 60, "Ab" * 129, " x" * 300, "🙂🙂 é"]
 CLASH = "doc_id long, text string, n_tokens string, score string, lang string, fingerprint string, ids string"
@@ -132,35 +132,50 @@ def test_votes_equal_a_plain_count():
     assert int(simhash.fingerprints([text])[0]) == bits
 
 
+def plain_fingerprint(text):
+    """Votes bit by bit, over the terms' hashes (the only part shared with the kernel)."""
+    blob, ends = common.pack_texts([text.encode()])
+    words, doc = common.word_table(common.lower_ascii(blob), ends)
+    terms = [int(x) for x in common.mix(common.shingle_table(words, doc, 1, 5)[0])]
+    return sum(1 << bit for bit in range(64) if sum(1 if t >> bit & 1 else -1 for t in terms) > 0)
+
+
 def brute_edited(rows):
-    order = sorted(rows, key=lambda r: (r[0], (r[1] or "").encode()), reverse=True)
-    out = {}
-    for i, (d, t) in enumerate(order):
-        t, nx = t or "", order[(i + 1) % len(order)][1] or ""
-        k = len(t) // 3
-        out[d] = (len(t), hashlib.sha256((t[: len(t) - k] + nx[:k]).encode()).hexdigest(), simhash.fingerprints([(t[: len(t) - k] + nx[:k]).encode()])[0], simhash.fingerprints([nx.encode()])[0])
-    return out
-
-
-@pytest.mark.parametrize("n,per_range", [(1, 4096), (40, 4096), (300, 20)])
-def test_edited_texts(spark, monkeypatch, n, per_range):
-    monkeypatch.setattr(simhash, "RANGE_ROWS", per_range)
+    order = sorted(((-1 << 63 if d is None else d, (t or "").encode(), t or "") for d, t in rows), reverse=True)
+    for i, (d, _, t) in enumerate(order):
+        nx, k = order[(i + 1) % len(order)][2], len(t) // 3
+        edited = t[: len(t) - k] + nx[:k]
+        own, other, nxt = (plain_fingerprint(x) for x in (t, edited, nx))
+        same = lambda a, b: 1 - bin(a ^ b).count("1") / 64
+        yield (None if d == -1 << 63 else d, len(t), hashlib.sha256(edited.encode()).hexdigest(), own, other, same(own, other), same(own, nxt))
+
+
+@pytest.mark.parametrize("n", [1, 2, 40, 300])
+def test_edited_texts(spark, n):
     rnd = random.Random(n)
-    rows = [(i * 3, rnd.choice([None, "", "é" * rnd.randint(1, 50), " ".join(rnd.choice(["alpha", "béta", "gamma", "δ"]) for _ in range(rnd.randint(1, 60)))])) for i in range(n)]
+    rows = [(i // 2 * 3, rnd.choice([None, "", "é" * rnd.randint(1, 50), " ".join(rnd.choice(["alpha", "béta", "gamma", "δ"]) for _ in range(rnd.randint(1, 60)))])) for i in range(n)]
+    rows += [(None, "no id at all"), rows[0]] if n > 2 else []
     rnd.shuffle(rows)
-    want = brute_edited(rows)
     out = simhash.compare_edited(clashing(spark, rows).repartition(3)).collect()
-    assert len(out) == n
-    for r in out:
-        chars, sha, edited, nxt = want[r.doc_id]
-        assert (r.n_chars, r.edited_sha256, r.edited_fingerprint) == (chars, sha, f"{int(edited):016x}")
-        assert r.near_next == pytest.approx(1 - bin(int(r.fingerprint, 16) ^ int(nxt)).count("1") / 64)
-        assert r.near_edited == pytest.approx(1 - bin(int(r.fingerprint, 16) ^ int(edited)).count("1") / 64)
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint % (1 << 64), r.edited_fingerprint % (1 << 64), r.near_edited, r.near_next) for r in out]
+    assert sorted(map(str, got)) == sorted(map(str, brute_edited(rows)))
 
 
-def test_edited_empty_and_repeated_ids(spark):
+def test_edited_empty(spark):
     assert simhash.compare_edited(clashing(spark, [])).count() == 0
-    assert simhash.compare_edited(clashing(spark, [(5, "a b"), (5, "c d"), (None, "e")])).count() == 3
+
+
+def test_simhash_query_counts_near_fingerprints(spark, tmp_path):
+    rnd = random.Random(3)
+    base = " ".join(rnd.choice("abcdefgh") for _ in range(300))
+    rows = [(i, base + " " + rnd.choice("xyz") * (i % 4)) for i in range(12)] + [(20, "apart"), (21, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = simhash.op6_simhash(spark, str(tmp_path)).collect()
+    prints = {int(r.fingerprint, 16) for r in out}
+    assert len(out) == len(rows)
+    for r in out:
+        own = int(r.fingerprint, 16)
+        assert r.n_near == sum(0 < bin(own ^ x).count("1") <= 3 for x in prints) and own == plain_fingerprint(dict(rows)[r.doc_id] or "")
 
 
 def test_block_tables_lose_no_pair(spark):
