@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import documents
+from tallyframe.storage import materialize
 
 #: A rate above this is drawn as a sum of equal independent parts, so exp(-rate) never underflows.
 PART_RATE = 256.0
-#: Up to so many sources the table of rates is broadcast; beyond, it is joined by shuffle.
+#: Up to so many sources the table of rates is broadcast; beyond, it is joined by shuffle, each source in so many parts.
 BROADCAST_SOURCES = 10_000
+SALTS = 64
 
 
 def _uniform(*parts: Column) -> Column:
@@ -69,21 +71,29 @@ def mix_sources(
     Columns mix_copy (from 1), mix_count and mix_rate follow; columns of docs with those names are replaced.
     Rows with equal doc_id and source draw the same count. Null doc_id counts as the text "null". An empty table
     gives an empty one. A source's many rows stay where they were read until the one shuffle, which deals by the
-    hash of (seed, doc_id, copy), so a hot source or a much repeated document spreads over all tasks.
+    hash of (seed, doc_id, copy), so a hot source or a much repeated document spreads over all tasks. With very many
+    sources the rates are joined by shuffle, on source and a salt from the doc_id.
     """
     own = [c for c in docs.columns if c not in ("mix_copy", "mix_count", "mix_rate")]
-    rates = source_rates(docs.select("source"), weights, target_rows).select(
-        F.struct("source").alias("_s"), F.col("rate").alias("mix_rate"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")
+    rates = materialize(
+        source_rates(docs.select("source"), weights, target_rows).select(F.struct("source").alias("_s"), F.col("rate").alias("mix_rate"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf")),
+        "mixing-rates",
     )
-    small = len(rates.select("mix_rate").head(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES
+    small = rates.count() <= BROADCAST_SOURCES
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = lambda i: _uniform(F.lit(str(seed)), key, i.cast("string"))
-    draw = lambda i: F.size(F.filter(F.col("_cdf"), lambda c: c <= u(i)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, i: a + draw(i))
+    # the uniform numbers stand outside the search in the distribution, so each is hashed once
+    uniforms = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: _uniform(F.lit(str(seed)), key, i.cast("string")))
+    count = F.aggregate(uniforms, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
     keyed = docs.select(*own)
     # null-safe equality on the source, written on a hashable pair so that both join kinds can serve
     on = [F.coalesce(keyed["source"], F.lit("")) == F.coalesce(F.col("_s.source"), F.lit("")), keyed["source"].isNull() == F.col("_s.source").isNull()]
-    drawn = keyed.join(F.broadcast(rates) if small else rates, on).withColumn("mix_count", count).where("mix_count > 0")
+    if small:
+        joined = keyed.join(F.broadcast(rates), on)
+    else:
+        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        salted = rates.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = keyed.join(salted, [*on, keyed["_salt"] == F.col("_part")])
+    drawn = joined.withColumn("mix_count", count).where("mix_count > 0")
     copies = drawn.select(*own, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("mix_copy"), "mix_count", "mix_rate")
     order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
