@@ -19,7 +19,7 @@ _RESULT = "query_id long, vec_id long, score long"
 
 
 def quantized(embedding: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component, taken as a double."""
+    """floor(scale * x) of every component, taken as a double; beyond 64 bits, the nearest 64-bit number."""
     return F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
@@ -37,10 +37,14 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of one block for each query; ids must rise, so that ties go to the smaller id."""
-    # a score's bound decides the width of the accumulator
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
-    kind = np.int32 if bound < 2**31 else np.int64
+    """The k best candidates of one block for each query; ids must be sorted, so that ties go to the smaller id. Rows of
+    one id count once, at their best score."""
+    # a score's bound decides the width of the accumulator; beyond 64 bits whole numbers of any size are added
+    most = lambda m: max(abs(int(m.min(initial=0))), abs(int(m.max(initial=0))))
+    bound = most(queries) * most(rows) * max(1, rows.shape[1])
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    repeated, ids = len(first) < len(ids), ids[first]
     queries, rows = queries.astype(kind), rows.astype(kind)
     postings = []
     for t in range(rows.shape[1]):
@@ -48,15 +52,19 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, row
         postings.append((slice(None) if len(where) == len(rows) else where, np.ascontiguousarray(rows[where, t])))
     found = []
     for q, query in zip(query_ids, queries, strict=True):
-        score = np.zeros(len(ids), kind)
+        score = np.zeros(len(rows), kind)
         for t in np.flatnonzero(query):
             where, weight = postings[t]
             score[where] += query[t] * weight
+        if repeated:
+            score = np.maximum.reduceat(score, first)
         keep = np.flatnonzero(ids != q)
         if len(keep) > k:
             own = score[keep]
             least = np.partition(own, len(own) - k)[len(own) - k]
             keep = keep[own >= least]
+        if kind is object and any(abs(x) >= 2**63 for x in score[keep]):
+            raise OverflowError("a score among the best does not fit 64 bits")
         keep = keep[np.lexsort((ids[keep], -score[keep].astype(np.int64)))][:k]
         found.append((np.full(len(keep), q), ids[keep], score[keep].astype(np.int64)))
     if not found:
@@ -69,8 +77,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     vectors: vec_id long and vector array<long>. A query's own vec_id is no candidate for it. Ties go to the
     smaller vec_id; fewer candidates give fewer rows. Vectors of unlike length meet as if padded with zeros. A
-    repeated vec_id counts once, at its best score. Rows with a null vec_id or vector are left out; scores must
-    fit 64 bits. An empty table gives an empty result.
+    repeated vec_id counts once, at its best score. Rows with a null vec_id or vector are left out. A score among
+    the best that does not fit 64 bits is an error. An empty table gives an empty result.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select("vec_id", "vector", is_query.alias("q"))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
@@ -86,14 +94,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         width = max([0, *(len(v) for v in left["vector"]), *(len(v) for v in right["vector"])])
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids = right["vec_id"].to_numpy(np.int64)
-        rows_ = _matrix(right["vector"], width)
-        out, at = [], np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        extra = np.setdiff1d(np.arange(len(ids)), at)  # repeated ids: scored apart, so that none hides another
-        out.append(block_top_k(left["vec_id"].to_numpy(np.int64), _matrix(left["vector"], width), ids[at], rows_[at], k))
-        for i in extra:
-            out.append(block_top_k(left["vec_id"].to_numpy(np.int64), _matrix(left["vector"], width), ids[i : i + 1], rows_[i : i + 1], k))
-        return pd.concat(out)
+        return block_top_k(left["vec_id"].to_numpy(np.int64), _matrix(left["vector"], width), right["vec_id"].to_numpy(np.int64), _matrix(right["vector"], width), k)
 
     scored = queries.groupBy("c", "b").cogroup(candidates.groupBy("c", "b")).applyInPandas(block, _RESULT)
     best = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -55,6 +55,16 @@ def test_topk_empty_and_repeated(spark):
     assert got == [(1, 1, 15), (2, 2, 3)]
 
 
+def test_topk_large_scores(spark):
+    big = 3_000_000_000
+    rows = [(0, [big, big]), (1, [big, 1 - big]), (2, [big, -big]), (3, [1, 1])] + [(4, [5, i]) for i in range(-20, 20)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, vector array<long>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(4, 24 * big), (3, 2 * big), (1, big), (2, 0)]
+    too_big = spark.createDataFrame([(0, [big * 4]), (1, [big * 4])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(too_big, F.col("vec_id") == 0).collect()
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
@@ -98,6 +108,14 @@ def test_mixing_weights_empty_and_joined(spark, monkeypatch):
     assert mixing.mix_sources(df, {"nowhere": 1.0}).count() == 0
 
 
+def test_mixing_equal_ids_and_no_target(spark):
+    df = docs(spark, [(1, "x", "en", "a", 1), (1, "y", "en", "b", 1), (1, "y", "en", "b", 1)])
+    out = mixing.mix_sources(df, target_rows=3000).collect()
+    n = Counter(r.text for r in out)
+    assert 1200 < n["x"] < 1800 and 1200 < n["y"] < 1800 and len({r.mix_count for r in out if r.source == "b"}) == 1
+    assert mixing.mix_sources(df, target_rows=0).count() == 0
+
+
 def test_mixing_runs_no_python(spark):
     plan = mixing.mix_sources(docs(spark, [(1, "x", "en", "a", 1)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
