@@ -2,13 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-_paths: list[str] = []
-_tables: list[str] = []
+
+@dataclass
+class Tables:
+    """The intermediate tables of one query. They live until the query's owner releases them, as its result is computed
+    only when it is used; what nobody owns goes when the application ends."""
+
+    paths: list[str] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
+
+    def release(self, spark: SparkSession) -> None:
+        """Deletes the tables. To be called once the results that read them are written."""
+        while self.paths:
+            _delete(spark, self.paths.pop())
+        while self.names:
+            spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()} PURGE")
+
+
+_unowned = Tables()
+_owners = [_unowned]
+
+
+@contextmanager
+def owned() -> Iterator[Tables]:
+    """Tables made inside belong to the owner that this gives."""
+    _owners.append(Tables())
+    try:
+        yield _owners[-1]
+    finally:
+        _owners.pop()
+
+
+@atexit.register
+def _leave() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        _unowned.release(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,14 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor
-    costs a re-read instead of a recomputation. Unless kept, release() deletes it."""
+    costs a re-read instead of a recomputation. Unless kept, it belongs to the current owner."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tallyframe_path = path
     if not kept:
-        _paths.append(path)
+        _owners[-1].paths.append(path)
     return out
 
 
@@ -42,8 +80,9 @@ def discard(*dfs: DataFrame) -> None:
     """Deletes materialized tables that nothing still to be run reads."""
     for df in dfs:
         path = df.tallyframe_path
-        if path in _paths:
-            _paths.remove(path)
+        for tables in _owners:
+            if path in tables.paths:
+                tables.paths.remove(path)
         _delete(df.sparkSession, path)
 
 
@@ -56,13 +95,6 @@ def bucketed(df: DataFrame, name: str, buckets: int, *columns: str) -> DataFrame
     """Writes df as a bucketed table in the warehouse, so that later groupings by the columns read it in place."""
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "none").bucketBy(buckets, *columns).saveAsTable(table)
-    _tables.append(table)
+    _owners[-1].names.append(table)
     return df.sparkSession.table(table)
 
-
-def release(spark: SparkSession) -> None:
-    """Deletes the intermediate tables made so far. To be called once the results that read them are written."""
-    while _paths:
-        _delete(spark, _paths.pop())
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()} PURGE")
