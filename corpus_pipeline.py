@@ -13,7 +13,7 @@ from tallyframe.llm.jaccard import BROADCAST_IDS, jaccard_components
 from tallyframe.llm.langid import UNDETERMINED, predict, train
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.suffixdedup import dedup_substrings
-from tallyframe.storage import materialize, release
+from tallyframe.storage import Tables, materialize, owned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if no language gets this share of its positions' probability.
@@ -72,12 +72,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+_before = Tables()
+
+
 def _stage(f):
-    """Drops the working tables of the stage before, whose result is written by now."""
+    """Drops the working tables of the stage before, whose result is written by now, and owns those of this one."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark)
-        return f(spark, docs, sf_dir)
+        global _before
+        _before.release(spark)
+        with owned() as _before:
+            return f(spark, docs, sf_dir)
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     return run
