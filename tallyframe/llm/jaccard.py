@@ -39,6 +39,8 @@ BUCKET_SIGNATURES = 1 << 21
 MAX_BUCKETS = 1 << 16
 #: Members of one row of a group, and of one of the parts into which a larger group is cut to be compared.
 CHUNK = 1024
+#: Parts in which the rows of one set meet their class.
+SALTS = 16
 #: Pairs whose sketches are compared at once.
 PAIRS = 1 << 13
 #: The largest count that a sketch holds.
@@ -348,54 +350,65 @@ def _filtered(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     return in_small_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "sa", "nb", "sb")).mapInArrow(tidy_stream(run), "a long, b long").distinct()
 
 
+def _candidates(group: np.ndarray, row: np.ndarray, comp: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The distinct pairs of rows (a < b, as a * rows + b) that share a group and lie in unlike components. group: of
+    each membership, sorted; row: its row. own, other: a row's part, and that which the unit compares it with; where
+    these differ, only rows of unlike parts meet."""
+    cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    last = np.repeat(cut[1:], np.diff(cut))
+    found, waiting, size = np.zeros(0, np.int64), [], 0
+    step, at = 1, np.arange(len(group))
+    while len(at := at[at + step < last[at]]):  # all pairs at a distance in the groups' order
+        for lo in range(0, len(at), 1 << 18):
+            x, y = row[at[lo : lo + (1 << 18)]], row[at[lo : lo + (1 << 18)] + step]
+            ok = (comp[x] != comp[y]) & ((own[x] == other[x]) | (own[x] != own[y]))
+            waiting.append(np.minimum(x, y)[ok] * len(comp) + np.maximum(x, y)[ok])
+            size += len(waiting[-1])
+            if size > 1 << 20:
+                found, waiting, size = np.unique(np.concatenate([found, *waiting])), [], 0
+        step += 1
+    return np.unique(np.concatenate([found, *waiting]))
+
+
 def _still_open(groups: DataFrame, features: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of unlike components within the groups, as far as size and sketch allow. A group of more than CHUNK
-    members is cut into parts, and its pairs of parts are compared apart."""
-    members = groups.select("g", F.explode("members").alias("doc_id")).join(components, F.col("doc_id") == F.col("node"), "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    """Pairs (a, b) of unlike components within the groups, as far as size and sketch allow. Groups with the same least
+    member are judged together, so a pair that shares many groups is compared once; more than CHUNK members are cut into
+    parts, and pairs of parts are compared apart."""
+    members = groups.select("g", "m", F.explode("members").alias("doc_id")).join(components, F.col("doc_id") == F.col("node"), "left").select("g", "m", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     # where all members are in one component nothing is left to find
-    open_ = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("g", F.expr(f"int(ceil(c / {CHUNK}))").alias("parts"))
-    own = F.expr("int(pmod(xxhash64(doc_id), parts))")
+    open_ = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
+    # the part of a group that each bucket found lists the same members, so its rows fall together
+    left = members.join(open_, "g", "left_semi").groupBy("m", "doc_id").agg(F.first("comp").alias("comp"), F.collect_set("g").alias("gs"))
+    left = materialize(left, "jaccard-open")
+    parts = left.groupBy("m").agg(F.expr(f"int(ceil(count(*) / {CHUNK}))").alias("parts"))
     dealt = (
-        members.join(open_, "g")
-        .withColumn("own", own)
+        left.join(parts, "m")
+        .withColumn("own", F.expr("int(pmod(xxhash64(doc_id), parts))"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .withColumn("k", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("k", F.xxhash64("m", F.least("own", "other"), F.greatest("own", "other")))
         .join(features, "doc_id")
-        .select("k", "own", "other", "doc_id", "comp", "n", "sketch")
+        .select("k", "own", "other", "doc_id", "comp", "gs", "n", "sketch")
     )
-    tasks = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.count() // 20_000)
+    tasks = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.count() // 5_000)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by("k")
         k, own, other, ids, comp, n = (table.column(c).to_numpy() for c in ("k", "own", "other", "doc_id", "comp", "n"))
-        sketches = Sketches(n, table.column("sketch").to_pylist())
+        gs = table.column("gs").combine_chunks()
+        group, reach = gs.flatten().to_numpy(), np.append(0, np.cumsum(gs.value_lengths().to_numpy()))
         cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+        sketches = table.column("sketch")
         out = [np.zeros((2, 0), np.int64)]
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
-        waiting = 0
-
-        def flush() -> None:
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                fits = sketches.possible(a, b, percent)
-                out.append(np.stack((ids[a[fits]], ids[b[fits]])))
-                left.clear()
-                right.clear()
-
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, hi)
-                # in a pair of unlike parts, only members of unlike parts meet
-                j = j[(comp[j] != comp[i]) & ((own[i] == other[i]) | (own[j] != own[i]))]
-                left.append(np.full(len(j), i))
-                right.append(j)
-                waiting += len(j)
-            if waiting > 1 << 18:
-                flush()
-                waiting = 0
-        flush()
-        a, b = np.concatenate(out, axis=1)
+            g, row = group[reach[lo] : reach[hi]], np.repeat(np.arange(hi - lo), np.diff(reach[lo : hi + 1]))
+            order = np.argsort(g, kind="stable")
+            pairs = _candidates(g[order], row[order], comp[lo:hi], own[lo:hi], other[lo:hi])
+            if len(pairs):
+                a, b = np.divmod(pairs, hi - lo)
+                fits = Sketches(n[lo:hi], sketches.slice(lo, hi - lo).to_pylist()).possible(a, b, percent)
+                x, y = ids[lo:hi][a[fits]], ids[lo:hi][b[fits]]
+                out.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.table({"a": a, "b": b})
 
     return dealt.groupBy(F.pmod("k", F.lit(tasks)).alias("task")).applyInArrow(tidy_group(run), "a long, b long").distinct()
@@ -454,9 +467,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, secon
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets = materialize(described_sets(docs, words), "jaccard-sets")
     filled = sets.where("n > 0")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    # a class of several rows is represented by its first; the others are not signed
-    named = filled.where("doc_id is not null").join(classes.where("rows > 1").select("set_key", "rep"), "set_key", "left")
+    # a class of several rows is represented by its first; the others are not signed. Copies meet their class by parts
+    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").select("set_key", "rep")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("part")
+    salted = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = filled.where("doc_id is not null").select("doc_id", "set_key", part).join(salted(classes), ["set_key", "part"], "left")
     ids = materialize(named.groupBy("doc_id").agg(F.min(F.coalesce(F.col("rep") != F.col("doc_id"), F.lit(False))).alias("copy"), F.count("*").alias("rows")), "jaccard-ids")
     copies = ids.where("copy").select("doc_id")
     signed = _only(docs.where("doc_id is not null"), copies, "left_anti")
@@ -473,12 +488,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, secon
     repeated = named.where("rep <> doc_id").join(ids.where("rows > 1").select("doc_id"), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     components = connected_components(links.unionByName(rest).unionByName(repeated))
     discard(groups, links, rest, ids)
+    shared = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("shared"))
     return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"), "set_key")
-        .join(classes.select("set_key", "rep"), "set_key", "left")
-        .withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        sets.select("doc_id", F.col("n").alias("n_shingles"), "set_key", part)
+        .join(salted(shared), ["set_key", "part"], "left")
+        .join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("shared", "component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
