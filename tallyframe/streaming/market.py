@@ -18,8 +18,10 @@ from tallyframe.operators.relations import append_new
 
 PREDICTIONS = "ingest_seq long, msg_id string, created_at string, status string, label string, confidence double, model string, result_json string, estimated int"
 REJECTS = "payload string, reason string"
-STATE = "light long, medium long, dark long, estimated long, results long, n_rows long"
-TOP = "created_at string, ingest_seq long, light long, medium long, dark long, estimated boolean"
+STATE = "light long, medium long, dark long, estimated long, visible_only long, results long, n_rows long"
+TOP = "created_at string, ingest_seq long, light long, medium long, dark long, estimated boolean, visible_only boolean"
+BEANS = "created_at string, ingest_seq long, index int, label string, confidence double"
+OFFSETS = "next_seq long, n_rows long"
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -39,24 +41,67 @@ def project(valid: DataFrame) -> DataFrame:
     )
 
 
+def _next_seq(spark: SparkSession, folder: str, batch_id: int) -> tuple[int, int]:
+    """Where the numbers of a batch start, and how many predictions are stored, by what the batch before noted."""
+    noted = _table(spark, f"{folder}/offsets", OFFSETS)
+    if "batch" not in noted.columns:
+        return 0, 0
+    last = noted.where(F.col("batch") < batch_id).agg(F.max_by(F.struct("next_seq", "n_rows"), "batch")).first()[0]
+    return (last["next_seq"], last["n_rows"]) if last else (0, 0)
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Validates a batch of texts (column value), appends new events to predictions and refused ones to rejects.
 
-    ingest_seq is batch_id * 2^40 plus the place in the batch, so it rises with arrival.
+    ingest_seq goes on from the batch before without gaps: where each partition of the batch starts follows from the
+    partitions' counts, so no rows are gathered. Only stored ids that occur in the batch are looked at.
     """
     spark = batch.sparkSession
-    place = F.monotonically_increasing_id()
-    rows = batch.select(F.col("value").alias("payload"), (F.lit(batch_id).cast("long") * (1 << 40) + F.shiftright(place, 33) * (1 << 24) + place.bitwiseAND((1 << 33) - 1)).alias("ingest_seq"))
-    told = E.validated(rows, "payload").persist()
+    seq, stored = _next_seq(spark, folder, batch_id)
+    rows = batch.select(F.col("value").alias("payload")).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
     try:
+        starts, n = {}, 0
+        for r in sorted(rows.groupBy("_p").count().collect()):  # a row for each partition
+            starts[r["_p"]] = seq + n
+            n += r["count"]
+        start = F.coalesce(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("_p")], F.lit(0)) if starts else F.lit(0)
+        told = E.validated(rows.select("payload", (start.cast("long") + F.col("_i")).alias("ingest_seq")), "payload").persist()
         told.where("error is not null").select("payload", F.col("error").alias("reason")).write.mode("overwrite").parquet(f"{folder}/rejects/batch={batch_id}")
         target = _table(spark, f"{folder}/predictions", PREDICTIONS)
         if "batch" in target.columns:
-            target = target.where(F.col("batch") != batch_id)  # a repeated batch writes the same part again
+            target = target.where(F.col("batch") < batch_id)  # a repeated batch writes the same part again
         fresh = append_new(target.select("msg_id"), project(told.where("error is null")), "msg_id", [F.col("ingest_seq")])
-        fresh.select(*[c.split()[0] for c in PREDICTIONS.split(", ")]).write.mode("overwrite").parquet(f"{folder}/predictions/batch={batch_id}")
-    finally:
+        part = f"{folder}/predictions/batch={batch_id}"
+        fresh.select(*[c.split()[0] for c in PREDICTIONS.split(", ")]).write.mode("overwrite").parquet(part)
+        new = spark.read.parquet(part).count()
+        spark.createDataFrame([(seq + n, stored + new)], OFFSETS).write.mode("overwrite").parquet(f"{folder}/offsets/batch={batch_id}")
         told.unpersist()
+    finally:
+        rows.unpersist()
+
+
+def text_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Lines of the files that arrive in a folder; back-pressure by files in a batch."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+
+
+def kafka_stream(spark: SparkSession, servers: str, topic: str, rows_per_batch: int = 1_000_000) -> DataFrame:
+    """Messages of a Kafka topic as column value (the connector must be on the class path); back-pressure by offsets in
+    a batch."""
+    read = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    return read.option("maxOffsetsPerTrigger", rows_per_batch).load().select(F.col("value").cast("string").alias("value"))
+
+
+def publishable(predictions: DataFrame, most: int, compact: bool = True) -> DataFrame:
+    """(value): the messages of a batch as they are published, without beans; of more than `most` the first to arrive,
+    as a full queue drops the newest."""
+    v = F.to_json(F.struct("msg_id", "created_at", F.parse_json(E.published(F.col("result_json"), compact)).alias("result")))
+    return predictions.orderBy("ingest_seq").limit(most).select(v.alias("value"))
+
+
+def publish(predictions: DataFrame, folder: str, batch_id: int, most: int = 1000, compact: bool = True) -> None:
+    """Writes a batch's messages as lines to the folder's part of that batch, so a batch run again replaces them."""
+    publishable(predictions, most, compact).write.mode("overwrite").text(f"{folder}/batch={batch_id}")
 
 
 def start_ingest(lines: DataFrame, folder: str, checkpoint: str, then: Callable[[SparkSession, int], None] | None = None, **trigger: object) -> StreamingQuery:
@@ -75,27 +120,35 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def counted(predictions: DataFrame) -> DataFrame:
-    """Stored results of usable status that add counts, with what they add."""
-    return E.contributions(predictions.where(F.col("status").isin("ok", "low_confidence")), "result_json").where("added is not null")
+    """Stored results of usable status that add counts, with what they add and whether only visible ones were counted."""
+    told = E.contributions(predictions.where(F.col("status").isin("ok", "low_confidence")), "result_json").where("added is not null")
+    return told.withColumn("visible_only", F.array_contains(E.warnings(E.variant(F.col("result_json")), "$"), "count_visible_only"))
 
 
 def totals(predictions: DataFrame) -> DataFrame:
-    """One row: sums by class, estimated results, results counted, rows seen."""
-    c = counted(predictions).agg(*[F.coalesce(F.sum(f"added.{x}"), F.lit(0)).alias(x) for x in E.LABELS], F.coalesce(F.sum("estimated"), F.lit(0)).alias("estimated"), F.count("*").alias("results"))
+    """One row: sums by class, estimated and visible-only results, results counted, rows seen."""
+    some = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    c = counted(predictions).agg(*[some(F.col(f"added.{x}")).alias(x) for x in E.LABELS], some(F.col("estimated")).alias("estimated"), some(F.col("visible_only")).alias("visible_only"), F.count("*").alias("results"))
     return c.join(F.broadcast(predictions.agg(F.count("*").alias("n_rows"))))  # one row each
 
 
+def _newest_first() -> list:
+    return [F.desc(c) for c in ("created_at", "ingest_seq")]
+
+
 def newest(predictions: DataFrame, limit: int) -> DataFrame:
     """The results that come last by the text of created_at, ties by arrival."""
-    return counted(predictions).select("created_at", "ingest_seq", *[F.col(f"added.{x}").alias(x) for x in E.LABELS], (F.col("estimated") == 1).alias("estimated")).orderBy(F.desc("created_at"), F.desc("ingest_seq")).limit(limit)
+    own = [F.col(f"added.{x}").alias(x) for x in E.LABELS]
+    return counted(predictions).select("created_at", "ingest_seq", *own, (F.col("estimated") == 1).alias("estimated"), "visible_only").orderBy(*_newest_first()).limit(limit)
 
 
 def newest_beans(predictions: DataFrame, limit: int) -> DataFrame:
     """The first `limit` detections over the newest results, each with its place from 1 in its result."""
     v = E.variant(F.col("result_json"))
-    rows = counted(predictions).select("created_at", "ingest_seq", E.labelled_beans(v, "$").alias("b")).where(F.size("b") > 0).orderBy(F.desc("created_at"), F.desc("ingest_seq")).limit(limit)
+    rows = counted(predictions).select("created_at", "ingest_seq", E.labelled_beans(v, "$").alias("b")).where(F.size("b") > 0).orderBy(*_newest_first()).limit(limit)
     each = rows.select("created_at", "ingest_seq", F.posexplode(F.slice("b", 1, limit)).alias("i", "b"))
-    return each.select("created_at", "ingest_seq", (F.col("i") + 1).alias("index"), E.text(F.col("b"), "$.label").alias("label")).orderBy(F.desc("created_at"), F.desc("ingest_seq"), "index").limit(limit)
+    told = each.select("created_at", "ingest_seq", (F.col("i") + 1).alias("index"), E.text(F.col("b"), "$.label").alias("label"), F.try_variant_get(F.col("b"), "$.conf", "double").alias("confidence"))
+    return told.orderBy(*_newest_first(), "index").limit(limit)
 
 
 class Snapshot:
@@ -105,39 +158,38 @@ class Snapshot:
     def __init__(self, folder: str, limit: int = 50):
         self.folder, self.limit = folder, limit
 
-    def _paths(self, batch_id: int) -> tuple[str, str]:
-        return f"{self.folder}/state/batch={batch_id}", f"{self.folder}/top/batch={batch_id}"
-
-    def _last(self, spark: SparkSession, before: int) -> tuple[DataFrame, DataFrame] | None:
-        s, t = _table(spark, f"{self.folder}/state", STATE), _table(spark, f"{self.folder}/top", TOP)
-        if "batch" not in s.columns:
+    def _last(self, spark: SparkSession, before: int) -> list[DataFrame] | None:
+        """State, newest results and newest beans after the last batch before the given one."""
+        tables = [_table(spark, f"{self.folder}/{name}", schema) for name, schema in (("state", STATE), ("top", TOP), ("beans", BEANS))]
+        if "batch" not in tables[0].columns:
             return None
-        last = s.where(F.col("batch") < before).agg(F.max("batch")).first()[0]
-        return None if last is None else (s.where(F.col("batch") == last).drop("batch"), t.where(F.col("batch") == last).drop("batch") if "batch" in t.columns else t)
+        last = tables[0].where(F.col("batch") < before).agg(F.max("batch")).first()[0]
+        return None if last is None else [t.where(F.col("batch") == last).drop("batch") if "batch" in t.columns else t for t in tables]
 
     def fold(self, spark: SparkSession, batch_id: int) -> None:
-        """Adds what a batch appended; the new state goes to the batch's own part."""
+        """Adds what a batch appended; the new state goes to the batch's own part. Counts of rows come from the state
+        and from what ingest noted, so only the batch's own rows are read unless a rebuild is due."""
         all_rows = read_predictions(spark, self.folder)
         last = self._last(spark, batch_id)
         new = all_rows.where(F.col("batch") == batch_id) if "batch" in all_rows.columns else all_rows
-        old_n = last[0].first()["n_rows"] if last else 0
-        grown = last is not None and old_n + new.count() == all_rows.count()
-        if grown:
+        stored = _next_seq(spark, self.folder, batch_id + 1)[1]
+        first = _newest_first()
+        if last is not None and last[0].first()["n_rows"] + new.count() == stored:
             both = last[0].unionByName(totals(new))
             state = both.agg(*[F.sum(c.split()[0]).alias(c.split()[0]) for c in STATE.split(", ")])
-            top = last[1].unionByName(newest(new, self.limit)).orderBy(F.desc("created_at"), F.desc("ingest_seq")).limit(self.limit)
+            top = last[1].unionByName(newest(new, self.limit)).orderBy(*first).limit(self.limit)
+            beans = last[2].unionByName(newest_beans(new, self.limit)).orderBy(*first, "index").limit(self.limit)
         else:
-            state, top = totals(all_rows), newest(all_rows, self.limit)
-        s, t = self._paths(batch_id)
-        state.write.mode("overwrite").parquet(s)
-        top.write.mode("overwrite").parquet(t)
+            state, top, beans = totals(all_rows), newest(all_rows, self.limit), newest_beans(all_rows, self.limit)
+        for name, table in (("state", state), ("top", top), ("beans", beans)):
+            table.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
 
-    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        """(totals, newest results) after the last batch."""
+    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(totals, newest results, newest beans) after the last batch."""
         found = self._last(spark, 1 << 62)
         if found is None:
             raise ValueError("no batch was folded yet")
-        return found[0], found[1].orderBy(F.desc("created_at"), F.desc("ingest_seq"))
+        return found[0], found[1].orderBy(*_newest_first()), found[2].orderBy(*_newest_first(), "index")
 
 
 def bounded_dedup(events: DataFrame, key: str, time: str, delay: str) -> DataFrame:
