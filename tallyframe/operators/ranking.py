@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.storage import materialize
+
 
 def shuffled(seed: int, *keys: str) -> Column:
     """An order that looks random and depends on seed and keys alone."""
@@ -21,11 +23,12 @@ def priority_dedup(df: DataFrame, key: str, label: str, order: list[Column]) ->
     """(kept, dropped with a reason): of rows with equal key the first in order; all of them where labels conflict.
     A null key is a key like others.
 
-    One aggregation finds the first row's order and the number of labels of each key; it is joined back, so a
-    hot key's rows are never gathered.
+    Rows of equal order go by a hash of all their columns; of rows equal in all columns one is kept. One aggregation
+    finds the first row's order and the number of labels of each key; it is joined back, so a hot key's rows are never
+    gathered.
     """
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    ranked = df.withColumn("_o", rank)
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.xxhash64(*df.columns).alias("h"), F.monotonically_increasing_id().alias("row"))
+    ranked = materialize(df.withColumn("_o", rank), "priority-ranked")  # row numbers must not change between the two reads
     k = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
     per = ranked.groupBy(k.alias("_k")).agg(F.min("_o").alias("_first"), F.min(F.struct(label)).alias("_lo"), F.max(F.struct(label)).alias("_hi"))
     both = ranked.withColumn("_k", k).join(per, "_k")
@@ -58,17 +61,30 @@ def spaced(df: DataFrame, by: list[str], order: list[Column], k: int, offset: in
     return rows.where((at >= 0) & (F.pmod(at, step) == 0) & (at < step * k)).drop("_r", "_n")
 
 
+def hashed(seed: int, group: str) -> Column:
+    """The hexadecimal md5 of seed and group: an order that other engines can compute too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))
+
+
 def half_split(df: DataFrame, group: str, seed: int) -> DataFrame:
-    """group, half: half of the distinct groups "dev", the others "frozen", by hash order. The rank is counted per
-    range of hashes, so groups are not gathered in one task."""
-    groups = df.select(group).distinct().withColumn("_h", shuffled(seed, group))
-    cut = groups.agg(F.percentile("_h", F.lit(0.5)).alias("_c"))
-    return groups.join(F.broadcast(cut)).select(group, F.when(F.col("_h") <= F.col("_c"), "dev").otherwise("frozen").alias("half"))
+    """group, half: half of the distinct groups (the larger one, if they are odd) "dev", the others "frozen", by hash
+    order. Null groups are left out. Groups are counted by ranges of hashes (65,536 counts come to the driver), and only
+    the range that holds the middle is ordered, so groups are not gathered in one task."""
+    groups = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("_h", hashed(seed, group))
+    groups = materialize(groups, "half-groups")
+    counts = {r["b"]: r["count"] for r in groups.groupBy(F.substring("_h", 1, 4).alias("b")).count().collect()}
+    left, cut = (sum(counts.values()) + 1) // 2, ""
+    for b in sorted(counts):
+        if left <= counts[b]:
+            cut = groups.where(F.col("_h").startswith(b)).orderBy("_h").limit(left).agg(F.max("_h")).first()[0]
+            break
+        left -= counts[b]
+    return groups.select(group, F.when(F.col("_h") <= cut, "dev").otherwise("frozen").alias("half"))
 
 
 def holdout(df: DataFrame, group: str, seed: int, k: int) -> DataFrame:
     """The k distinct groups that come first in hash order."""
-    return df.select(group).distinct().orderBy(shuffled(seed, group), group).limit(k)
+    return df.where(F.col(group).isNotNull()).select(group).distinct().orderBy(hashed(seed, group), group).limit(k)
 
 
 def relabel(df: DataFrame, value: str) -> DataFrame:

@@ -152,16 +152,17 @@ def box_clean(t, spark):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", E.clean_boxes(b, F.lit(50), F.lit(50)).isNotNull().alias("good"))
 
 
-@query("q_publish_projection", "SELECT event_id, 'a' AS keys FROM events")
+@query("q_publish_projection", """SELECT event_id, '{"label":"' || event_type || '","n_beans":' || CAST(event_id % 7 AS VARCHAR) || ',"probs":{"light":0.5},"warnings":["' || event_type || '"]}' AS compact, '{"beans":[],"label":"' || event_type || '","n_beans":' || CAST(event_id % 7 AS VARCHAR) || ',"probs":{"light":0.5},"warnings":["' || event_type || '"]}' AS older FROM events""")
 def publish(t, spark):
-    """Beans stay behind."""
-    j = F.concat(F.lit('{"a":'), F.col("event_id"), F.lit(',"beans":[1,2]}'))
-    return t("events").select("event_id", F.array_join(F.json_object_keys(E.published(j)), ",").alias("keys"))
+    """Beans stay behind (or are emptied, in the older form); all other values keep their JSON types."""
+    kind = F.col("event_type")
+    j = F.concat(F.lit('{"beans":[{"label":"x"}],"label":"'), kind, F.lit('","n_beans":'), F.col("event_id") % 7, F.lit(',"probs":{"light":0.5},"warnings":["'), kind, F.lit('"]}'))
+    return t("events").select("event_id", E.published(j).alias("compact"), E.published(j, compact=False).alias("older"))
 
 
 @query("q_invariants", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice < 1000 THEN 'price_low' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status_open' END, CASE WHEN o_orderpriority IS NULL THEN 'no_priority' END], lambda x: x IS NOT NULL), ',') AS violations FROM orders""")
 def invariants(t, spark):
-    """The violations of each row as a list."""
+    """The violations of each row as a list."""
     from tallyframe.functions.paths import flags
 
     f = flags(price_low=F.col("o_totalprice") < 1000, status_open=~F.col("o_orderstatus").isin("F", "O"), no_priority=F.col("o_orderpriority").isNull())

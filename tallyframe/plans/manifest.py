@@ -76,13 +76,13 @@ def spaced(t, spark):
     return R.spaced(t("documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], 4)
 
 
-@query("q_half_split")
+@query("q_half_split", "WITH g AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), r AS (SELECT source, row_number() OVER (ORDER BY md5('11:' || source)) AS rn, count(*) OVER () AS n FROM g) SELECT source, CASE WHEN rn <= (n + 1) // 2 THEN 'dev' ELSE 'frozen' END AS half FROM r")
 def half_split(t, spark):
-    """Hash order, so no SQL twin; the tests check sizes and disjointness."""
+    """By hash order."""
     return R.half_split(t("documents").select("source"), "source", 11)
 
 
-@query("q_holdout")
+@query("q_holdout", "SELECT source FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) ORDER BY md5('11:' || source) LIMIT 2")
 def holdout(t, spark):
     """Two groups by hash order."""
     return R.holdout(t("documents").select("source"), "source", 11, 2)

@@ -155,7 +155,7 @@ def calibration(t, spark):
 @query("q_ece", f"""WITH {_CAL}, b AS (SELECT least(floor(conf * 10), 9)::INT AS bin, count(*) AS n, avg(correct::INT) AS accuracy, avg(conf) AS confidence FROM p GROUP BY 1)
 SELECT round(sum(n * abs(accuracy - confidence)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b""")
 def ece(t, spark):
-    """A15, A16."""
+    """A15."""
     b = M.calibration_bins(t("lineitem").withColumn("conf", F.col("l_discount") * 10), F.col("l_returnflag") == "N", F.col("conf"))
     return M.expected_calibration_error(b).select(F.round("ece", 6).alias("ece"), "n")
 

@@ -26,12 +26,13 @@ def left_lookup(t, spark):
     return J.lookup(t("supplier").select("s_suppkey", "s_nationkey"), dim, "s_nationkey", "n_name", "?").select("s_suppkey", "n_name")
 
 
-@query("q_same_population", "SELECT round(avg(abs(a.o_totalprice - b.o_totalprice)), 6) AS diff, count(*) AS n FROM orders a JOIN orders b USING (o_orderkey)")
+@query("q_same_population", "SELECT round(avg(abs(o_totalprice - total)), 4) AS diff, count(*) AS n FROM orders JOIN (SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS total FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey")
 def same_population(t, spark):
-    """Two prediction sets that must cover the same keys."""
-    a = t("orders").select("o_orderkey", F.col("o_totalprice").alias("x"))
-    both = J.same_population(a, t("orders").select("o_orderkey", F.col("o_totalprice").alias("y")), "o_orderkey")
-    return both.agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 6).alias("diff"), F.count("*").alias("n"))
+    """Two sets of figures that must cover the same keys: orders that have lines, and the lines' sums."""
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("y"))
+    a = t("orders").select("o_orderkey", F.col("o_totalprice").alias("x")).join(lines.select("o_orderkey"), "o_orderkey", "left_semi")
+    both = J.same_population(a, lines, "o_orderkey")
+    return both.agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("diff"), F.count("*").alias("n"))
 
 
 @query("q_population_diff", """SELECT c_custkey, 'a' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'b' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
@@ -164,19 +165,7 @@ def inversions(t, spark):
     return a.join(b, F.col("a.med") > F.col("b.med")).select(F.col("a.source").alias("source_a"), F.col("b.source").alias("source_b"))
 
 
-@query("q_leakage", "SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON md5(substr(d.text, 1, 60)) = md5(substr(b.text, 1, 60)) UNION SELECT d.doc_id FROM documents d JOIN documents e ON md5(d.text) = md5(e.text) AND d.doc_id % 5 = 0 AND e.doc_id % 5 <> 0")
-def leakage(t, spark):
-    """J18, partly, as the SQL beside it has it: the benchmark is matched by the first 60 characters and the Hamming leg is
-    left out. q_leakage_whole does all of it."""
-    d = t("documents").select("doc_id", F.md5("text").alias("m"), F.md5(F.substring("text", 1, 60)).alias("g"))
-    bench = t("benchmark").select(F.md5(F.substring("text", 1, 60)).alias("g")).distinct()
-    by_group = d.join(bench, "g", "left_semi").select("doc_id")
-    train = d.where("doc_id % 5 <> 0").select("m").distinct()
-    by_bytes = d.where("doc_id % 5 = 0").join(train, "m", "left_semi").select("doc_id")
-    return by_group.unionByName(by_bytes).distinct()
-
-
-@query("q_leakage_whole", f"""WITH {_BITS} SELECT DISTINCT 'passage' AS leg, d.doc_id AS id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)
+@query("q_leakage", f"""WITH {_BITS} SELECT DISTINCT 'passage' AS leg, d.doc_id AS id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)
 UNION SELECT 'bytes', doc_id FROM documents WHERE doc_id % 5 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 5 <> 0)
 UNION SELECT 'phash', a.vec_id FROM h a JOIN h b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 WHERE list_sum(list_transform(list_zip(a.b, b.b), lambda p: (p[1] <> p[2])::INT)) <= 6""")
 def leakage_whole(t, spark):

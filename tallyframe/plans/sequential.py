@@ -20,7 +20,7 @@ def suppress(t, spark):
 @query("q_label_groups")
 def label_groups(t, spark):
     """Lightness groups of each image and their classes."""
-    li = t("lineitem").select("l_orderkey", F.monotonically_increasing_id().alias("bean"), F.col("l_quantity").alias("value"), (0.2 + F.col("l_discount") * 4).alias("p0"), (0.2 + F.col("l_tax") * 4).alias("p1"), F.lit(0.3).alias("p2"))
+    li = t("lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("bean"), F.col("l_quantity").alias("value"), (0.2 + F.col("l_discount") * 4).alias("p0"), (0.2 + F.col("l_tax") * 4).alias("p1"), F.lit(0.3).alias("p2"))
     return S.label_groups(li, "l_orderkey", "bean", "value", ["p0", "p1", "p2"])
 
 
@@ -42,7 +42,7 @@ def group_split(t, spark):
 
 @query("q_stratified_folds")
 def stratified_folds(t, spark):
-    """L11, M12."""
+    """L11."""
     return S.stratified_folds(t("documents").select("source", "lang"), "source", "lang", 5)
 
 
@@ -61,13 +61,13 @@ def stored(t):
 
 
 #: Of every 18 events those with remainder 0 and 15 add light 2, medium 1; remainder 16 has no counts.
-@query("q_market_snapshot", "SELECT CAST(2 * sum((event_id % 18 IN (0, 15))::INT) AS BIGINT) AS light, CAST(sum((event_id % 18 IN (0, 15))::INT) AS BIGINT) AS medium, 0::BIGINT AS dark, 0::BIGINT AS estimated, CAST(sum((event_id % 18 IN (0, 15))::INT) AS BIGINT) AS results, count(*) FILTER (WHERE event_id % 18 IN (0, 15, 16)) AS n_rows FROM events")
+@query("q_market_snapshot", "SELECT CAST(2 * sum((event_id % 18 IN (0, 15))::INT) AS BIGINT) AS light, CAST(sum((event_id % 18 IN (0, 15))::INT) AS BIGINT) AS medium, 0::BIGINT AS dark, 0::BIGINT AS estimated, 0::BIGINT AS visible_only, CAST(sum((event_id % 18 IN (0, 15))::INT) AS BIGINT) AS results, count(*) FILTER (WHERE event_id % 18 IN (0, 15, 16)) AS n_rows FROM events")
 def snapshot(t, spark):
     """Totals over stored predictions."""
     return market.totals(stored(t))
 
 
-@query("q_market_newest", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at, event_id AS ingest_seq, 2::BIGINT AS light, 1::BIGINT AS medium, 0::BIGINT AS dark, false AS estimated FROM events WHERE event_id % 18 IN (0, 15) ORDER BY created_at DESC, ingest_seq DESC LIMIT 50")
+@query("q_market_newest", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at, event_id AS ingest_seq, 2::BIGINT AS light, 1::BIGINT AS medium, 0::BIGINT AS dark, false AS estimated, false AS visible_only FROM events WHERE event_id % 18 IN (0, 15) ORDER BY created_at DESC, ingest_seq DESC LIMIT 50")
 def newest(t, spark):
     """The snapshot's list of results."""
     return market.newest(stored(t), 50)

@@ -159,6 +159,6 @@ def status_counts(t, spark):
 
 @query("q_latency_gate", """WITH g AS (SELECT event_type, quantile_cont(value, 0.95) AS p95, count(value) AS n FROM events GROUP BY ALL) SELECT event_type, CASE WHEN n = 0 THEN NULL ELSE p95 <= 190 END AS passed, n < 150 AS crossing FROM g""")
 def gates(t, spark):
-    """Value against threshold; unmeasured is null, not failed."""
+    """Value against threshold; unmeasured is null, not failed."""
     g = S.latency(t("events"), ["event_type"], "value")
     return g.select("event_type", F.when(F.col("n") > 0, F.col("p95") <= 190).alias("passed"), (F.col("n") < 150).alias("crossing"))

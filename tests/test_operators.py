@@ -1,5 +1,6 @@
 """The library's operators on small frames, and its queries against DuckDB."""
 
+import itertools
 import json
 import math
 import random
@@ -123,7 +124,7 @@ def test_leakage_on_whole_texts(spark, monkeypatch):
 
 
 def test_registered_leakage_finds_what_the_prefix_misses(spark):
-    rows = {(r.leg, r.id) for r in catalog.QUERIES["q_leakage_whole"](spark, "/root/testdata/sf0.01").collect()}
+    rows = {(r.leg, r.id) for r in catalog.QUERIES["q_leakage"](spark, "/root/testdata/sf0.01").collect()}
     assert len([x for x in rows if x[0] == "passage"]) == 26
 
 
@@ -200,10 +201,13 @@ def test_stream_ingest_and_snapshot_equal_a_rebuild(spark, tmp_path):
         q = market.start_ingest(spark.readStream.text(str(inbox)), folder, str(tmp_path / "cp"), snap.fold)
         q.awaitTermination()
         stored = market.read_predictions(spark, folder)
-        state, top = snap.read(spark)
+        state, top, beans = snap.read(spark)
         want = market.totals(stored).first()
         assert state.first().asDict() == want.asDict()
         assert [tuple(r) for r in top.collect()] == [tuple(r) for r in market.newest(stored, 3).collect()]
+        assert [tuple(r) for r in beans.collect()] == [tuple(r) for r in market.newest_beans(stored, 3).collect()]
+        seqs = sorted(r.ingest_seq for r in stored.collect())
+        assert seqs == sorted(set(seqs)) and seqs[-1] < 15  # numbers go on without gaps over all rows of all batches
     # the first event of an id wins: ids 1, 2 of the first batch, 3 to 5 of the second, 6 and 7 of the third
     assert {r.msg_id[-1]: r.created_at[-2:] for r in stored.collect()} == {"1": "05", "2": "01", "3": "09", "4": "01", "5": "07", "6": "02", "7": "02"}
     assert want.results == 6 and want.light == 12
@@ -215,6 +219,19 @@ def test_stream_ingest_and_snapshot_equal_a_rebuild(spark, tmp_path):
     assert market.totals(market.read_predictions(spark, folder)).first().asDict() == want.asDict()
 
 
+def test_publish_and_visible_only(spark, tmp_path):
+    rows = [json.dumps(good_event(warnings=["mixed_roast", "count_visible_only"]) | {"msg_id": str(uuid.UUID(int=i + 1))}) for i in range(5)]
+    market.ingest_batch(spark.createDataFrame([(r,) for r in rows], "value string"), 0, str(tmp_path / "s"))
+    stored = market.read_predictions(spark, str(tmp_path / "s"))
+    assert market.totals(stored).first().visible_only == 5
+    for _ in range(2):  # a batch run again replaces its part
+        market.publish(stored, str(tmp_path / "out"), 0, most=3)
+    sent = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    want = json.loads(rows[0])["result"]
+    assert len(sent) == 3 and all(x["result"] == {k: v for k, v in want.items() if k != "beans"} for x in sent)
+    assert json.loads(market.publishable(stored, 1, compact=False).first().value)["result"] == want | {"beans": []}
+
+
 def test_bounded_dedup_streams(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").limit(40).write.parquet(str(tmp_path / "e"))
     s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "e")).schema).parquet(str(tmp_path / "e"))
@@ -230,6 +247,8 @@ def test_bounded_dedup_streams(spark, tmp_path):
 def test_priority_dedup(spark):
     rows = [(1, "m", "x", 2), (2, "m", "x", 1), (3, "n", "x", 1), (4, "n", "y", 1), (5, None, "z", 1), (6, None, "z", 1)]
     df = spark.createDataFrame(rows, "id long, md5 string, label string, rank int")
+    twice, gone = R.priority_dedup(spark.createDataFrame([(1, "m", "x"), (1, "m", "x"), (2, "m", "x"), (3, "n", "x"), (4, "n", "x")], "id long, md5 string, label string"), "md5", "label", [F.lit(0)])
+    assert twice.count() == 2 and gone.count() == 3 and {r.md5 for r in twice.collect()} == {"m", "n"}  # rows of equal order
     kept, dropped = R.priority_dedup(df, "md5", "label", [F.col("rank"), F.col("id")])
     assert sorted(r.id for r in kept.collect()) == [2, 5]
     assert {(r.id, r.reason) for r in dropped.collect()} == {(1, "duplicate"), (3, "label_conflict"), (4, "label_conflict"), (6, "duplicate")}
@@ -310,9 +329,14 @@ def test_boxes(spark):
 
 def test_clusters_and_ordered_labels():
     values = np.array([10.0, 11, 12, 50, 51, 52, 90, 91])
-    own, centres = Q.line_clusters(values, 3)
-    assert own.tolist() == [0, 0, 0, 1, 1, 1, 2, 2] and centres.tolist() == [11, 51, 90.5]
-    assert Q.line_clusters(np.ones(4), 2) is None
+    borders, centres = Q.Line(values[::-1]).cut(3)
+    assert borders.tolist() == [0, 3, 6, 8] and centres.tolist() == [11, 51, 90.5]
+    assert Q.Line(np.ones(4)).cut(2) is None
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        gain = rng.integers(0, 4, (rng.integers(1, 4), 4)).astype(float)
+        best = max(itertools.combinations(range(4), len(gain)), key=lambda c: sum(gain[j, x] for j, x in enumerate(c)))
+        assert Q.rising_choice(gain) == list(best)
     probs = np.tile([0.2, 0.3, 0.5], (8, 1))
     label, k = Q.ordered_labels(values, probs, [2, 1, 0], 12.0)
     assert k == 3 and label.tolist() == [2, 2, 2, 1, 1, 1, 0, 0]
@@ -326,6 +350,14 @@ def test_splits():
         Q.fill_split([("a", 3)], 2)
 
 
+def test_folds_take_every_class_of_every_group(spark):
+    rows = [(f"g{i % 3}", f"c{i % 40}") for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, y string")
+    assert Q.stratified_folds(df, "g", "y", 3, most_groups=3).count() == 3
+    with pytest.raises(ValueError):
+        Q.stratified_folds(df, "g", "y", 2, most_groups=2)
+
+
 def test_folds_keep_groups_whole(spark):
     rnd = random.Random(5)
     df = spark.createDataFrame([(f"g{rnd.randrange(60)}", rnd.choice(["x", "y", "z"])) for _ in range(600)], "g string, y string")
