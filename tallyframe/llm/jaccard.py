@@ -295,7 +295,8 @@ def _sent(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> DataFr
 
 def _group(table: pa.Table) -> pa.Table:
     """Of one bucket: the groups of two and more ids with one signature, one of them at least in its band. g: the
-    hash of the members; m: the least; members: CHUNK in a row at most. Groups of the same members are one."""
+    hash of the members; m: the least; parts: a power of two, for CHUNK members in each on average; members: CHUNK in a
+    row at most. Groups of the same members are one."""
     parts = [_open_message(x.as_py()) for x in table.column("message")]
     # the signatures alone are sorted first: few occur again, and only these carry their ids on
     every = np.sort(np.concatenate([p[0] for p in parts]))
@@ -311,7 +312,7 @@ def _group(table: pa.Table) -> pa.Table:
     at, doc, native = at[order], doc[order], native[order]
     fresh = np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))[: len(at)]
     start = np.flatnonzero(fresh)  # rows that repeat a doc_id count once
-    g, m, members = [], [], []
+    g, m, many, members = [], [], [], []
     if len(start):
         native = np.logical_or.reduceat(native, start)
         at, doc = at[start], doc[start]
@@ -324,13 +325,14 @@ def _group(table: pa.Table) -> pa.Table:
             for lo in range(0, len(own), CHUNK):
                 g.append(int(mine[j].view(np.int64)))
                 m.append(int(own[0]))
+                many.append(1 << (-(-len(own) // CHUNK) - 1).bit_length())
                 members.append(own[lo : lo + CHUNK])
-    return pa.table({"g": pa.array(g, pa.int64()), "m": pa.array(m, pa.int64()), "members": pa.array(members, pa.list_(pa.int64()))})
+    return pa.table({"g": pa.array(g, pa.int64()), "m": pa.array(m, pa.int64()), "parts": pa.array(many, pa.int32()), "members": pa.array(members, pa.list_(pa.int64()))})
 
 
 def signature_groups(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> DataFrame:
-    """g, m, members array<long>: the groups of ids that share a signature; some may come from several buckets."""
-    return _sent(docs, words, scheme, buckets).groupBy("bucket").applyInArrow(tidy_group(_group), "g long, m long, members array<long>")
+    """g, m, parts, members array<long>: the groups of ids that share a signature; some may come from several buckets."""
+    return _sent(docs, words, scheme, buckets).groupBy("bucket").applyInArrow(tidy_group(_group), "g long, m long, parts int, members array<long>")
 
 
 # ---------------------------------------------------------------- groups to links
@@ -372,20 +374,18 @@ def _candidates(group: np.ndarray, row: np.ndarray, comp: np.ndarray, own: np.nd
 
 def _still_open(groups: DataFrame, features: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of unlike components within the groups, as far as size and sketch allow. Groups with the same least
-    member are judged together, so a pair that shares many groups is compared once; more than CHUNK members are cut into
-    parts, and pairs of parts are compared apart."""
-    members = groups.select("g", "m", F.explode("members").alias("doc_id")).join(components, F.col("doc_id") == F.col("node"), "left").select("g", "m", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    member are judged together, so a pair that shares many groups is compared once; groups of more than CHUNK members are
+    cut into parts, and pairs of parts are compared apart."""
+    members = groups.select("g", "m", "parts", F.explode("members").alias("doc_id")).join(components, F.col("doc_id") == F.col("node"), "left").select("g", "m", "parts", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     # where all members are in one component nothing is left to find
     open_ = members.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
     # the part of a group that each bucket found lists the same members, so its rows fall together
-    left = members.join(open_, "g", "left_semi").groupBy("m", "doc_id").agg(F.first("comp").alias("comp"), F.collect_set("g").alias("gs"))
+    left = members.join(open_, "g", "left_semi").groupBy("m", "parts", "doc_id").agg(F.first("comp").alias("comp"), F.collect_set("g").alias("gs"))
     left = materialize(left, "jaccard-open")
-    parts = left.groupBy("m").agg(F.expr(f"int(ceil(count(*) / {CHUNK}))").alias("parts"))
     dealt = (
-        left.join(parts, "m")
-        .withColumn("own", F.expr("int(pmod(xxhash64(doc_id), parts))"))
+        left.withColumn("own", F.expr("int(pmod(xxhash64(doc_id), parts))"))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .withColumn("k", F.xxhash64("m", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("k", F.xxhash64("m", "parts", F.least("own", "other"), F.greatest("own", "other")))
         .join(features, "doc_id")
         .select("k", "own", "other", "doc_id", "comp", "gs", "n", "sketch")
     )
