@@ -33,6 +33,8 @@ SLICE_BYTES = 1 << 19
 BROADCAST_IDS = 1_000_000
 #: Sets of one band, for the cost formula at least: it weighs signatures against unrelated sets that share one.
 PEERS = 1_000_000
+#: What a signature costs, in comparisons of two sketches.
+WEIGHT = 4
 #: Signatures sorted and sent on at once, and those of one bucket on average.
 BLOCK_SIGNATURES = 1 << 20
 BUCKET_SIGNATURES = 1 << 21
@@ -90,7 +92,7 @@ class PartEnum:
 
         def cost(n2: int, k2: int) -> float:
             n1 = -(-(k + 1) // (k2 + 1))
-            return n1 * math.comb(n2, k2) * (2 + self.peers * math.exp(-2 * least / n1 * (n2 - k2) / n2))
+            return n1 * math.comb(n2, k2) * (WEIGHT + self.peers * math.exp(-2 * least / n1 * (n2 - k2) / n2))
 
         n2, k2 = min(((n2, k2) for k2 in range(1, min(8, k) + 1) for n2 in range(k2 + 2, 13)), key=lambda c: (cost(*c), c))
         return -(-(k + 1) // (k2 + 1)), n2, k2
