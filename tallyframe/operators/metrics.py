@@ -75,6 +75,17 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
+def half_open_error(df: DataFrame, correct: Column, confidence: Column, bins: int = 10) -> DataFrame:
+    """ece over bins [i / bins, (i + 1) / bins), the last closed. A confidence is compared with the borders; its bin is
+    not computed from it, as a product can round across a border. Confidences outside 0 to 1 lie in no bin."""
+    b = F.lit(None).cast("int")
+    for i in range(bins):
+        b = F.when((confidence >= i / bins) & ((confidence <= 1) if i == bins - 1 else (confidence < (i + 1) / bins)), i).otherwise(b)
+    per = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(correct.cast("double")).alias("acc"), F.avg(confidence).alias("conf"))
+    gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("acc") - F.col("conf")))
+    return per.agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
+
+
 def log_loss(p: Column) -> Column:
     return F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))
 

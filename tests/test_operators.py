@@ -505,3 +505,33 @@ def test_paths(spark):
     assert [r.r for r in df.select(P.parse_roi(F.col("t"), F.lit(1.0), F.lit(2.5)).alias("r")).collect()] == [[1, 5, 4, 10], None, None, None, None]
     q = E.clean_proportions([F.lit(1 / 3)] * 3)
     assert [round(x, 4) for x in spark.range(1).select(*q).first()] == [0.3334, 0.3333, 0.3333]
+
+
+# ---------------------------------------------------------------- single results
+
+
+def test_variants():
+    card = {"bean_label_mode": "image_prior", "prior_weight": 0.5, "default_variant": "a", "variants": {"a": {"label_th": "x", "prior_weight": 0.5}, "b_2": {"label_th": "y", "prior_weight": 1}}}
+    from tallyframe.functions.results import resolve_variant
+
+    assert resolve_variant(card)[0] == "a" and resolve_variant(card, "b_2")[1]["prior_weight"] == 1
+    assert resolve_variant({"prior_weight": 0.5}) == (None, {"prior_weight": 0.5})
+    for wrong in ({"default_variant": "zz"}, {"variants": {}}, {"bean_label_mode": "group"}, {"prior_weight": 0.6}, {"variants": {"a": {"label_th": "x"}}}, {"variants": {"é": card["variants"]["a"]}}, {"variants": None}):
+        with pytest.raises(ValueError):
+            resolve_variant(card | wrong)
+    with pytest.raises(ValueError):
+        resolve_variant(card, "nowhere")
+
+
+def test_gate_directions_and_unmeasured(spark):
+    from tallyframe.functions.results import gate
+
+    df = spark.createDataFrame([(0.5, 0.4, 0.6), (0.5, 0.5, 0.6), (0.4, None, None), (None, 0.1, 0.2)], "v double, lo double, hi double")
+    g = lambda up: [tuple(r.g) for r in df.select(gate(F.col("v"), F.col("lo"), F.col("hi"), 0.45, up).alias("g")).collect()]
+    assert g(True) == [(True, True), (True, False), (False, False), (None, True)]
+    assert g(False) == [(False, True), (False, True), (True, False), (None, False)]
+
+
+def test_half_open_bins_compare_borders(spark):
+    df = spark.createDataFrame([(0.3, True), (0.29999999999999999, False), (1.0, True), (0.7, True)], "c double, ok boolean")
+    assert M.half_open_error(df, F.col("ok"), F.col("c")).first().ece == pytest.approx((2 * 0.2 + 0.3 + 0) / 4)
