@@ -3,9 +3,14 @@
 import itertools
 import json
 import math
+import os
 import random
+import shutil
+import subprocess
+import sys
 import uuid
 import zipfile
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -25,6 +30,7 @@ from tallyframe.sources import manifest, sinks
 from tallyframe.streaming import market
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -492,7 +498,7 @@ def test_refill(spark):
         manifest.refill(cache, rows, "k", lambda d: d.withColumn("v", F.col("k")).where("k < 3"))
 
 
-def test_entry_without_llm(spark):
+def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 1
@@ -500,6 +506,19 @@ def test_entry_without_llm(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_without_llm_and_pipeline(tmp_path):
+    """In a copy without both: the entry imports and has the library's own queries."""
+    shutil.copytree(ROOT / "tallyframe", tmp_path / "tallyframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e, tallyframe.catalog as c; assert set(e.queries()) == set(c.QUERIES) and set(e.oracle_sql()) == set(c.ORACLES)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
+    (tmp_path / "tallyframe" / "llm").mkdir()
+    (tmp_path / "tallyframe" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "tallyframe" / "llm" / "queries.py").write_text("import no_such_module_anywhere\n")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, stderr=subprocess.DEVNULL).returncode != 0  # broken is not absent
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("1,2,3.5,4",), ("1,2,3",), ("a,b,c,d",), ("1,2,0,4",), (None,)], "t string")
     assert [r.r for r in df.select(P.parse_roi(F.col("t"), F.lit(1.0), F.lit(2.5)).alias("r")).collect()] == [[1, 5, 4, 10], None, None, None, None]
