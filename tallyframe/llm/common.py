@@ -34,12 +34,18 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_LIBC = ctypes.CDLL(None)
+#: Arrays of so many bytes get memory of their own, which goes back to the system when they do.
+OWN_BYTES = 1 << 21
+if hasattr(_LIBC, "mallopt"):
+    _LIBC.mallopt(-3, OWN_BYTES)  # M_MMAP_THRESHOLD: else it rises with every large array that is freed
+
+
 def _give_back() -> None:
     """Returns freed memory to the system: workers live on between tasks and would hold their peak."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def tidy_stream(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

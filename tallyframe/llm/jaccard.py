@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import M1, M2, documents, in_small_batches, lower_ascii, mix, pack_texts, shingle_table, slices, tidy_group, tidy_stream, word_table
+from tallyframe.llm.common import M1, M2, _give_back, documents, in_small_batches, lower_ascii, mix, pack_texts, shingle_table, slices, tidy_group, tidy_stream, word_table
 from tallyframe.operators.graph import connected_components
 from tallyframe.storage import discard, materialize
 
@@ -289,6 +289,7 @@ def _sent(docs: DataFrame, words: int, scheme: PartEnum, buckets: int) -> DataFr
             if n >= BLOCK_SIGNATURES:
                 yield emit(sigs, rows, ids)
                 sigs, rows, ids, n, first = [], [], [], 0, 0
+                _give_back()
         if n:
             yield emit(sigs, rows, ids)
 
