@@ -36,7 +36,7 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 _LIBC = ctypes.CDLL(None)
 #: Arrays of so many bytes get memory of their own, which goes back to the system when they do.
-OWN_BYTES = 1 << 21
+OWN_BYTES = 1 << 23
 if hasattr(_LIBC, "mallopt"):
     _LIBC.mallopt(-3, OWN_BYTES)  # M_MMAP_THRESHOLD: else it rises with every large array that is freed
 
