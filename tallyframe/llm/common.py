@@ -39,6 +39,7 @@ _LIBC = ctypes.CDLL(None)
 OWN_BYTES = 1 << 23
 if hasattr(_LIBC, "mallopt"):
     _LIBC.mallopt(-3, OWN_BYTES)  # M_MMAP_THRESHOLD: else it rises with every large array that is freed
+    _LIBC.mallopt(-1, 8 * OWN_BYTES)  # M_TRIM_THRESHOLD: smaller ones stay until _give_back
 
 
 def _give_back() -> None:
