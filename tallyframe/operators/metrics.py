@@ -91,20 +91,21 @@ def log_loss(p: Column) -> Column:
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """The score interval of k successes of n; null where n is 0."""
-    n = F.when(n > 0, n.cast("double"))
+    """The score interval of k successes of n; 0 and 0 where n is 0."""
+    none, n = n == 0, F.when(n > 0, n.cast("double"))
     p, z2 = k / n, z * z
     mid, half = (p + z2 / (2 * n)) / (1 + z2 / n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
-    return mid - half, mid + half
+    return F.when(none, 0.0).otherwise(mid - half), F.when(none, 0.0).otherwise(mid + half)
 
 
 #: Resamples drawn at once.
 AT_ONCE = 16
 
 
-def bootstrap_mean(df: DataFrame, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, key: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """n, mean, low, high: the 95 % interval of the mean by Poisson resampling, each row's weight in each resample
-    drawn from a hash of (seed, row's value and id, resample). Each task sums its rows' weights by resample, so two
+    drawn from a hash of (seed, key, value, resample), so the interval does not hang on the files' layout; rows that
+    agree in key and value are drawn alike. Each task sums its rows' weights by resample, so two
     sums a resample leave it; no rows are collected. An empty table is unmeasured: n 0 and nulls."""
     cuts, p, c = [], math.exp(-1), 0.0
     for k in range(12):
@@ -133,8 +134,8 @@ def bootstrap_mean(df: DataFrame, value: str, resamples: int = 10_000, seed: int
         if any_:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(weights)], ["r", "s", "w"])
 
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    keyed = rows.select("v", F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), "v").alias("key"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).alias("k"))
+    keyed = rows.select("v", F.xxhash64(F.lit(seed), "k", "v").alias("key"))
     means = keyed.mapInArrow(run, "r long, s double, w double").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     total = rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))

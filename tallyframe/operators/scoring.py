@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.selection import percentiles
+
 SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -45,6 +48,11 @@ def dot(x: list[Column], w: list[float]) -> Column:
     return total
 
 
+def dot_array(x: Column, w: list[float]) -> Column:
+    """The product of an array of numbers with as many weights, added in their order."""
+    return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(k)) for k in w]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, y: s + y)
+
+
 def softmax(logits: list[Column], temperature: float = 1.0) -> list[Column]:
     scaled = [z / F.lit(float(temperature)) for z in logits]
     top = F.greatest(*scaled)
@@ -58,18 +66,32 @@ def standardized(x: Column, mean: float, scale: float) -> Column:
 
 
 def prior_fusion(p: list[Column], prior: list[Column], weight: float) -> list[Column]:
-    """p * prior ** weight, made to sum to one."""
-    raw = [a * F.power(F.greatest(b, F.lit(1e-12)), F.lit(float(weight))) for a, b in zip(p, prior, strict=True)]
+    """p * prior ** weight, made to sum to one; a prior below 1e-9 counts as that. The weight must be finite and not
+    negative."""
+    if not (math.isfinite(weight) and weight >= 0):
+        raise ValueError("the prior's weight must be finite and not negative")
+    raw = [a * F.power(F.greatest(b, F.lit(1e-9)), F.lit(float(weight))) for a, b in zip(p, prior, strict=True)]
     total = sum(raw[1:], raw[0])
     return [r / total for r in raw]
 
 
 def geometric_pool(df: DataFrame, by: list[str], probs: list[str], weight: str) -> DataFrame:
-    """by.., probs: the weighted mean of log-probabilities of each key's views, made to sum to one."""
-    mean = lambda c: F.exp(F.sum(F.col(weight) * F.ln(F.greatest(F.col(c), F.lit(1e-12)))) / F.sum(weight)).alias(c)
-    pooled = df.groupBy(*by).agg(*map(mean, probs))
-    total = sum((F.col(c) for c in probs[1:]), F.col(probs[0]))
-    return pooled.select(*by, *[(F.col(c) / total).alias(c) for c in probs])
+    """by.., probs: the weighted mean of log-probabilities of each key's views, each view made to sum to one first, and
+    the result too. Probabilities must be finite, not negative and not all 0, weights finite, not negative and not all
+    0 in a key: anything else is an error."""
+    w = F.col(weight).cast("double")
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c < float("inf"))
+    own = sum((F.col(c) for c in probs[1:]), F.col(probs[0]))
+    good = fine(w) & (own > 0)
+    for c in probs:
+        good = good & fine(F.col(c).cast("double"))
+    stop = F.raise_error(F.lit("a view's probabilities or weight cannot be pooled")).cast("double")
+    views = df.select(*by, w.alias("_w"), *[F.when(good, F.ln(F.greatest(F.col(c) / own, F.lit(1e-12)))).otherwise(stop).alias(c) for c in probs])
+    total = F.when(F.sum("_w") > 0, F.sum("_w")).otherwise(stop)
+    pooled = views.groupBy(*by).agg(*[(F.sum(F.col("_w") * F.col(c)) / total).alias(c) for c in probs])
+    top = F.greatest(*probs)
+    e = [F.exp(F.col(c) - top) for c in probs]
+    return pooled.select(*by, *[(x / sum(e[1:], e[0])).alias(c) for x, c in zip(e, probs, strict=True)])
 
 
 def choose_temperature(df: DataFrame, logits: list[str], truth: str, classes: list[str], grid: list[float]) -> DataFrame:
@@ -96,10 +118,10 @@ def fit_thresholds(df: DataFrame, x: str, truth: str, classes: tuple[str, str, s
     Rows are reduced to counts per (percentile interval, class) first, so the pairs are judged on a table of 300
     rows at most, not on the rows.
     """
-    cuts = df.agg(F.percentile(x, F.array(*[F.lit(i / 100) for i in range(1, 100)])).alias("c")).first()[0]  # 99 numbers
-    if cuts is None:
+    found = percentiles(df, [], {"q": x}, [i / 100 for i in range(1, 100)]).first()  # 99 numbers
+    if found is None:
         raise ValueError("no values to fit on")
-    cuts = sorted(set(cuts))
+    cuts = sorted(set(found["q"]))
     bin_ = sum((F.col(x) >= F.lit(c)).cast("int") for c in cuts)
     table = df.groupBy(bin_.alias("b"), truth).count().collect()  # at most 100 x classes rows
     count = {(r["b"], r[truth]): r["count"] for r in table}
@@ -110,7 +132,7 @@ def fit_thresholds(df: DataFrame, x: str, truth: str, classes: tuple[str, str, s
     total = {c: below[c][-1] for c in classes}
     best = (-1.0, 0.0, 0.0)
     for i in range(len(cuts)):
-        for j in range(i + 1, len(cuts)):
+        for j in range(i, len(cuts)):  # equal thresholds leave out the middle class
             f1 = 0.0
             spans = ((0, i + 1), (i + 1, j + 1), (j + 1, len(cuts) + 1))
             for c, (a, b) in zip(classes, spans, strict=True):

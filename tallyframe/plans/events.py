@@ -117,12 +117,19 @@ def clean_warnings(t, spark):
 _RAW = "greatest(l_discount - 0.02, 0) AS a, l_tax AS b, 0.03::DOUBLE AS c"
 
 
-@query("q_clean_proportions", f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_RAW} FROM lineitem), q AS (SELECT *, round(a / (a + b + c), 4) AS x, round(b / (a + b + c), 4) AS y, round(c / (a + b + c), 4) AS z FROM p)
+_SHARES = "CASE l_linenumber WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN 'infinity'::DOUBLE WHEN 4 THEN '-infinity'::DOUBLE ELSE l_discount - 0.02 END"
+
+
+@query("q_clean_proportions", f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_SHARES} AS a, l_tax AS b, l_discount AS c FROM lineitem),
+p AS (SELECT * REPLACE (CASE WHEN a IS NULL OR isnan(a) OR a < 0 THEN 0 ELSE a END AS a) FROM s), t AS (SELECT *, CASE WHEN a + b + c > 0 AND NOT isinf(a + b + c) THEN a + b + c END AS total FROM p),
+q AS (SELECT *, round(a / total, 4) AS x, round(b / total, 4) AS y, round(c / total, 4) AS z FROM t)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN x = greatest(x, y, z) THEN round(x + round(1 - (x + y + z), 4), 4) ELSE x END AS light, CASE WHEN y = greatest(x, y, z) AND x <> y THEN round(y + round(1 - (x + y + z), 4), 4) ELSE y END AS medium,
 CASE WHEN z = greatest(x, y, z) AND x <> z AND y <> z THEN round(z + round(1 - (x + y + z), 4), 4) ELSE z END AS dark FROM q""")
 def clean_proportions(t, spark):
-    """P09."""
-    q = E.clean_proportions([F.col("l_discount") - 0.02, F.col("l_tax"), F.lit(0.03)])
+    """Lines 1 to 4 have a share that is NaN, null, infinite or below every number; some have no share at all."""
+    line = F.col("l_linenumber")
+    odd = F.when(line == 1, float("nan")).when(line == 2, F.lit(None)).when(line == 3, float("inf")).when(line == 4, float("-inf")).otherwise(F.col("l_discount") - 0.02)
+    q = E.clean_proportions([odd, F.col("l_tax"), F.col("l_discount")])
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[c.alias(n) for c, n in zip(q, E.LABELS, strict=True)])
 
 
@@ -152,11 +159,19 @@ def box_clean(t, spark):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", E.clean_boxes(b, F.lit(50), F.lit(50)).isNotNull().alias("good"))
 
 
-@query("q_publish_projection", """SELECT event_id, '{"label":"' || event_type || '","n_beans":' || CAST(event_id % 7 AS VARCHAR) || ',"probs":{"light":0.5},"warnings":["' || event_type || '"]}' AS compact, '{"beans":[],"label":"' || event_type || '","n_beans":' || CAST(event_id % 7 AS VARCHAR) || ',"probs":{"light":0.5},"warnings":["' || event_type || '"]}' AS older FROM events""")
+_MEMBERS = """"label":"' || event_type || '","n_beans":' || CAST(event_id % 7 AS VARCHAR) || ',"confidence":1.0,"value":' || CAST(event_id AS VARCHAR) || '.5' || ',"note":"1.0 \\"beans\\"","probs":{"light":0.5,"beans":[1]},"none":null,"warnings":["' || event_type || '"]}'"""
+
+
+@query("q_publish_projection", f"""SELECT event_id, '{{{_MEMBERS} AS compact, '{{"beans":[],{_MEMBERS} AS older FROM events""")
 def publish(t, spark):
-    """Beans stay behind (or are emptied, in the older form); all other values keep their JSON types."""
+    """Beans stay behind (or are emptied, in the older form); all other members keep their values and types, 1.0 too."""
     kind = F.col("event_type")
-    j = F.concat(F.lit('{"beans":[{"label":"x"}],"label":"'), kind, F.lit('","n_beans":'), F.col("event_id") % 7, F.lit(',"probs":{"light":0.5},"warnings":["'), kind, F.lit('"]}'))
+    beans = F.concat(F.lit('"beans":[{"label":"x","conf":'), F.round("value", 2), F.lit("}],"))
+    rest = F.concat(
+        F.lit('"label":"'), kind, F.lit('","n_beans":'), F.col("event_id") % 7, F.lit(',"confidence":1.0,"value":'), F.concat(F.col("event_id").cast("string"), F.lit(".5")),
+        F.lit(r',"note":"1.0 \"beans\"","probs":{"light":0.5,"beans":[1]},"none":null,"warnings":["'), kind, F.lit('"]}'),
+    )
+    j = F.concat(F.lit("{"), beans, rest)
     return t("events").select("event_id", E.published(j).alias("compact"), E.published(j, compact=False).alias("older"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog import query
 from tallyframe.operators import metrics as M
+from tallyframe.operators.selection import with_percentiles
 
 CLASSES = ["F", "O", "P"]
 _PRED = "CASE l_returnflag WHEN 'A' THEN 'F' WHEN 'N' THEN 'O' ELSE 'P' END"
@@ -169,14 +170,15 @@ def nll_brier(t, spark):
     return t("lineitem").agg(F.round(M.log_loss(F.when(hit == 1, p).otherwise(1 - p)), 6).alias("nll"), F.round(F.avg(2 * F.power(hit - p, 2)), 6).alias("brier"))
 
 
-@query("q_wilson", """WITH g AS (SELECT l_linestatus, count(*)::DOUBLE AS n, count(*) FILTER (WHERE l_returnflag = 'R')::DOUBLE AS k FROM lineitem GROUP BY ALL)
-SELECT l_linestatus, round((k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) AS low,
-round((k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) AS high FROM g""")
+@query("q_wilson", """WITH g AS (SELECT l_linestatus, l_linenumber, count(*) FILTER (WHERE l_linenumber < 7)::DOUBLE AS n, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber < 7)::DOUBLE AS k FROM lineitem GROUP BY ALL)
+SELECT l_linestatus, l_linenumber, CASE WHEN n = 0 THEN 0 ELSE round((k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) END AS low,
+CASE WHEN n = 0 THEN 0 ELSE round((k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 6) END AS high FROM g""")
 def wilson(t, spark):
-    """A31."""
-    g = t("lineitem").groupBy("l_linestatus").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
+    """Lines 7 stand for groups of which nothing was tried."""
+    tried = F.col("l_linenumber") < 7
+    g = t("lineitem").groupBy("l_linestatus", "l_linenumber").agg(F.count_if(tried).alias("n"), F.count_if(tried & (F.col("l_returnflag") == "R")).alias("k"))
     low, high = M.wilson(F.col("k"), F.col("n"))
-    return g.select("l_linestatus", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    return g.select("l_linestatus", "l_linenumber", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
 _COUNTS = "c AS (SELECT o_orderkey, CAST(1 + o_orderkey % 7 AS BIGINT) AS gt, count(l_orderkey) AS raw FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL), p AS (SELECT o_orderkey, gt, CASE WHEN raw > 0 THEN raw END AS n FROM c)"
@@ -196,17 +198,19 @@ def count_error_block(t, spark):
     e = F.abs(n - F.col("gt"))
     r = lambda c, a: F.round(c, 6).alias(a)
     share = lambda c: F.avg(c.cast("int"))
-    return counted(t).agg(
+    block = counted(t).agg(
         F.count("*").alias("rows"), r(F.avg(e), "mae"), r(F.avg(e / F.greatest("gt", F.lit(1))), "mape"), r(share(F.col("n").isNull()), "null_rate"),
-        r(share(n > F.col("gt")), "over_rate"), r(share(n < F.col("gt")), "under_rate"), F.percentile(e, F.lit(0.5)).alias("median_error"), F.max(e).alias("max_error"),
+        r(share(n > F.col("gt")), "over_rate"), r(share(n < F.col("gt")), "under_rate"), F.max(e).alias("max_error"),
     )
+    return with_percentiles(block, counted(t), [], {"_q": e}, [0.5]).withColumn("median_error", F.col("_q")[0]).drop("_q")
 
 
 @query("q_count_stats", f"""WITH {_COUNTS} SELECT round(median(abs(n - gt) / gt), 6) AS median_rel, round(avg((coalesce(abs(n - gt) <= greatest(2, 0.2 * gt), false))::INT), 6) AS within FROM p""")
 def count_stats(t, spark):
     """A19."""
     e = F.abs(F.col("n") - F.col("gt"))
-    return counted(t).agg(F.round(F.percentile(e / F.col("gt"), F.lit(0.5)), 6).alias("median_rel"), F.round(F.avg(F.coalesce(e <= F.greatest(F.lit(2.0), 0.2 * F.col("gt")), F.lit(False)).cast("int")), 6).alias("within"))
+    near = counted(t).agg(F.round(F.avg(F.coalesce(e <= F.greatest(F.lit(2.0), 0.2 * F.col("gt")), F.lit(False)).cast("int")), 6).alias("within"))
+    return with_percentiles(near, counted(t), [], {"_q": e / F.col("gt")}, [0.5]).select(F.round(F.col("_q")[0], 6).alias("median_rel"), "within")
 
 
 @query("q_count_histogram", f"""WITH {_COUNTS} SELECT CASE WHEN n IS NULL THEN 'null' WHEN n > 20 THEN '>20' WHEN n > 5 THEN '>5' ELSE CAST(n AS VARCHAR) END AS bucket, count(*) AS images FROM p GROUP BY 1""")

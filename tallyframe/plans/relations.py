@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.catalog import query
 from tallyframe.operators import relations as J
 from tallyframe.operators.graph import connected_components
+from tallyframe.operators.selection import percentiles
 
 _BITS = """h AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INT) AS b, label FROM embeddings)"""
 
@@ -144,9 +145,9 @@ _IQR = "g AS (SELECT l_returnflag AS source, l_linestatus AS label, quantile_con
 
 
 def quartiles(t):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    g = t("lineitem").groupBy(F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("label")).agg(q)
-    return g.select("source", "label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
+    li = t("lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("label"), "l_extendedprice")
+    g = percentiles(li, ["source", "label"], {"q": "l_extendedprice"}, [0.25, 0.5, 0.75])
+    return g.select("_key.*", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
 
 
 @query("q_iqr_overlap", f"WITH {_IQR} SELECT a.source AS source_a, a.label AS label_a, b.source AS source_b, b.label AS label_b, round(least(a.q3, b.q3) - greatest(a.q1, b.q1), 4) AS overlap FROM g a JOIN g b ON a.source <> b.source AND a.label < b.label WHERE least(a.q3, b.q3) > greatest(a.q1, b.q1)")

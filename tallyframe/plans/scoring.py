@@ -8,19 +8,18 @@ from tallyframe.catalog import query
 from tallyframe.operators import scoring as S
 
 CLASSES = ("light", "medium", "dark")
-#: Parameters of the scored models: weights by class over three features.
-W = ((1.5, -0.5, 0.25), (-0.25, 1.0, 0.5), (0.75, 0.25, -1.25))
+#: Parameters of the scored models: weights by class over all components of an embedding, from a rule.
+W = [[((7 * i + 5 * k) % 11 - 5) / 4 for i in range(64)] for k in range(3)]
 BIAS = (0.1, 0.0, -0.1)
 
 
 def logits(t):
-    x = [F.col("embedding")[i].cast("double") for i in range(3)]
-    z = [(F.lit(b) + S.dot(x, list(w))).alias(f"z{k}") for k, (w, b) in enumerate(zip(W, BIAS, strict=True))]
+    z = [(F.lit(b) + S.dot_array(F.col("embedding"), w)).alias(f"z{k}") for k, (w, b) in enumerate(zip(W, BIAS, strict=True))]
     truth = F.when(F.col("label") % 3 == 0, "light").when(F.col("label") % 3 == 1, "medium").otherwise("dark")
     return t("embeddings").select("vec_id", "label", truth.alias("truth"), *z)
 
 
-_Z = ", ".join(f"{b}::DOUBLE + {' + '.join(f'embedding[{i + 1}]::DOUBLE * {v}::DOUBLE' for i, v in enumerate(w))} AS z{k}" for k, (w, b) in enumerate(zip(W, BIAS)))
+_Z = ", ".join(f"{b}::DOUBLE + list_sum(list_transform(list_zip(embedding, {w}::DOUBLE[]), lambda p: p[1]::DOUBLE * p[2])) AS z{k}" for k, (w, b) in enumerate(zip(W, BIAS)))
 _L = f"z AS (SELECT vec_id, label, CASE label % 3 WHEN 0 THEN 'light' WHEN 1 THEN 'medium' ELSE 'dark' END AS truth, {_Z} FROM embeddings)"
 _P = f"{_L}, e AS (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM z), p AS (SELECT vec_id, label, truth, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM e)"
 _ARG = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'light' WHEN p1 >= p2 THEN 'medium' ELSE 'dark' END"
@@ -54,14 +53,17 @@ def status_threshold(t, spark):
     return probs(t).select("vec_id", F.when(F.greatest("p0", "p1", "p2") >= 0.4, "ok").otherwise("low_confidence").alias("status"))
 
 
-_PRIOR = "f AS (SELECT vec_id, p0 * power(0.5, 0.3) AS a, p1 * power(0.3, 0.3) AS b, p2 * power(0.2, 0.3) AS c FROM p)"
+_PRIOR = """m AS (SELECT label, count(*) FILTER (WHERE truth = 'light') / count(*) AS m0, count(*) FILTER (WHERE truth = 'medium') / count(*) AS m1, count(*) FILTER (WHERE truth = 'dark') / count(*) AS m2 FROM p GROUP BY label),
+f AS (SELECT vec_id, p0 * power(greatest(m0, 1e-9), 0.3) AS a, p1 * power(greatest(m1, 1e-9), 0.3) AS b, p2 * power(greatest(m2, 1e-9), 0.3) AS c FROM p JOIN m USING (label))"""
 
 
 @query("q_prior_fusion", f"WITH {_P}, {_PRIOR} SELECT vec_id, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2 FROM f")
 def prior_fusion(t, spark):
-    """M08."""
-    q = S.prior_fusion([F.col(f"p{k}") for k in range(3)], [F.lit(x) for x in (0.5, 0.3, 0.2)], 0.3)
-    return probs(t).select("vec_id", *[F.round(c, 6).alias(f"p{k}") for k, c in enumerate(q)])
+    """The prior of a row is its label's share of each class; most shares are 0."""
+    p = probs(t)
+    shares = p.groupBy("label").agg(*[F.avg((F.col("truth") == c).cast("double")).alias(f"m{k}") for k, c in enumerate(CLASSES)])
+    q = S.prior_fusion([F.col(f"p{k}") for k in range(3)], [F.col(f"m{k}") for k in range(3)], 0.3)
+    return p.join(shares, "label").select("vec_id", *[F.round(c, 6).alias(f"p{k}") for k, c in enumerate(q)])
 
 
 @query("q_ensemble", f"WITH {_P} SELECT vec_id, round((p0 + p1) / 2, 6) AS p0, round((p1 + p2) / 2, 6) AS p1, round((p2 + p0) / 2, 6) AS p2 FROM p")
@@ -72,11 +74,13 @@ def ensemble(t, spark):
     return a.join(b, "vec_id").select("vec_id", *[F.round((F.col(f"p{k}") + F.col(f"q{k}")) / 2, 6).alias(f"p{k}") for k in range(3)])
 
 
-@query("q_geometric_pool", f"""WITH {_P}, g AS (SELECT label, {', '.join(f'exp(sum((1 + vec_id % 2) * ln(greatest(p{k}, 1e-12))) / sum(1 + vec_id % 2)) AS g{k}' for k in range(3))} FROM p GROUP BY label)
-SELECT label, round(g0 / (g0 + g1 + g2), 6) AS p0, round(g1 / (g0 + g1 + g2), 6) AS p1, round(g2 / (g0 + g1 + g2), 6) AS p2 FROM g""")
+@query("q_geometric_pool", f"""WITH {_P}, v AS (SELECT label, vec_id % 3 AS w, p0 AS a, p1 / 2 AS b, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE p2 END AS c FROM p),
+g AS (SELECT label, {', '.join(f'sum(w * ln(greatest({x} / (a + b + c), 1e-12))) / sum(w) AS g{k}' for k, x in enumerate('abc'))} FROM v GROUP BY label)
+SELECT label, {', '.join(f'round(exp(g{k}) / (exp(g0) + exp(g1) + exp(g2)), 6) AS p{k}' for k in range(3))} FROM g""")
 def geometric_pool(t, spark):
-    """A41."""
-    return S.geometric_pool(probs(t).withColumn("w", 1 + F.col("vec_id") % 2), ["label"], ["p0", "p1", "p2"], "w").select("label", *_r("p0", "p1", "p2"))
+    """Views that do not sum to one, some with a class ruled out, some of weight 0."""
+    views = probs(t).select("label", "p0", (F.col("p1") / 2).alias("p1"), F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(F.col("p2")).alias("p2"), (F.col("vec_id") % 3).alias("w"))
+    return S.geometric_pool(views, ["label"], ["p0", "p1", "p2"], "w").select("label", *_r("p0", "p1", "p2"))
 
 
 GRID = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -91,11 +95,17 @@ def temperature(t, spark):
     return S.choose_temperature(logits(t), ["z0", "z1", "z2"], "truth", list(CLASSES), GRID).select("temperature", F.round("nll", 6).alias("nll"))
 
 
-@query("q_fit_thresholds")
+@query("q_fit_thresholds", """WITH d AS (SELECT p_size::DOUBLE AS x, CASE WHEN p_size < 15 THEN 0 WHEN p_size < 35 THEN 1 ELSE 2 END AS y FROM part),
+c AS (SELECT DISTINCT unnest(quantile_cont(x, list_transform(range(1, 100), lambda i: i / 100))) AS t FROM d),
+h AS (SELECT x, y, count(*) AS n FROM d GROUP BY ALL), k AS (SELECT a.t AS low, b.t AS high FROM c a JOIN c b ON a.t <= b.t),
+s AS (SELECT low, high, y, CASE WHEN x < low THEN 0 WHEN x < high THEN 1 ELSE 2 END AS p, sum(n) AS n FROM k, h GROUP BY ALL),
+f AS (SELECT low, high, v.c, 2 * coalesce(sum(n) FILTER (WHERE y = v.c AND p = v.c), 0) AS hits, coalesce(sum(n) FILTER (WHERE y = v.c), 0) + coalesce(sum(n) FILTER (WHERE p = v.c), 0) AS seen FROM s, (VALUES (0), (1), (2)) v(c) GROUP BY ALL),
+m AS (SELECT low, high, round(sum(CASE WHEN seen > 0 THEN hits / seen ELSE 0 END) / 3, 9) AS macro_f1 FROM f GROUP BY ALL)
+SELECT low, high, macro_f1 FROM m ORDER BY macro_f1 DESC, low, high LIMIT 1""")
 def fit_thresholds(t, spark):
-    """An exhaustive search; the tests compare it with a plain loop."""
+    """An exhaustive search over pairs of percentiles, equal ones too."""
     truth = F.when(F.col("p_size") < 15, "dark").when(F.col("p_size") < 35, "medium").otherwise("light")
-    return S.fit_thresholds(t("part").select(F.col("p_size").cast("double").alias("x"), truth.alias("truth")), "x", "truth", ("dark", "medium", "light"))
+    return S.fit_thresholds(t("part").select(F.col("p_size").cast("double").alias("x"), truth.alias("truth")), "x", "truth", ("dark", "medium", "light")).withColumn("macro_f1", F.round("macro_f1", 9))
 
 
 @query("q_registered_scorer", "SELECT label, count(*) AS n FROM (SELECT CASE WHEN p_retailprice < 1000 THEN 'dark' WHEN p_retailprice < 1500 THEN 'medium' ELSE 'light' END AS label FROM part) GROUP BY ALL")

@@ -49,7 +49,7 @@ def stratified_folds(t, spark):
 @query("q_bootstrap_mean")
 def bootstrap(t, spark):
     """10,000 resamples, as many as the reference draws."""
-    return M.bootstrap_mean(t("events").select("value"), "value", 10_000)
+    return M.bootstrap_mean(t("events").select("event_id", "value"), "value", "event_id", 10_000)
 
 
 def stored(t):

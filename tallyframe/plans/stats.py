@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog import query
 from tallyframe.operators import stats as S
+from tallyframe.operators.selection import percentiles, with_percentiles
 
 
 def r(c, name=None, digits=6):
@@ -15,8 +16,8 @@ def r(c, name=None, digits=6):
 @query("q_grouped_percentiles", """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_quantity, 0.05), 6) AS p5, round(quantile_cont(l_quantity, 0.5), 6) AS p50, round(quantile_cont(l_quantity, 0.95), 6) AS p95 FROM lineitem GROUP BY ALL""")
 def grouped_percentiles(t, spark):
     """Exact, linear interpolation."""
-    q = F.percentile("l_quantity", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(q.alias("q")).select("l_returnflag", "l_linestatus", *[r(F.col("q")[i], n) for i, n in enumerate(("p5", "p50", "p95"))])
+    q = percentiles(t("lineitem"), ["l_returnflag", "l_linestatus"], {"q": "l_quantity"}, [0.05, 0.5, 0.95])
+    return q.select("_key.*", *[r(F.col("q")[i], n) for i, n in enumerate(("p5", "p50", "p95"))])
 
 
 _F = ", ".join(f"round(quantile_cont(l, {q}), 6) AS {n}" for q, n in ((0.05, "p5"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.95, "p95")))
@@ -60,8 +61,8 @@ def hist8(t, spark):
 @query("q_five_number", "SELECT event_type, count(*) AS n, round(min(value), 6) AS lo, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS hi FROM events GROUP BY ALL")
 def five_number(t, spark):
     """A23."""
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), q.alias("q")).select("event_type", "n", *[r(F.col("q")[i], n) for i, n in enumerate(("lo", "q1", "q2", "q3", "hi"))])
+    g = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return with_percentiles(g, t("events"), ["event_type"], {"q": "value"}, [0.0, 0.25, 0.5, 0.75, 1.0]).select("event_type", "n", *[r(F.col("q")[i], n) for i, n in enumerate(("lo", "q1", "q2", "q3", "hi"))])
 
 
 @query("q_latency", "SELECT event_type, count(value) AS n, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
@@ -81,18 +82,18 @@ def latency_rollup(t, spark):
 @query("q_percentile_triple", "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.1), 2) AS p10, round(median(c_acctbal), 2) AS p50, round(quantile_cont(c_acctbal, 0.9), 2) AS p90 FROM customer GROUP BY ALL")
 def percentile_triple(t, spark):
     """A28."""
-    q = F.percentile("c_acctbal", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return t("customer").groupBy("c_mktsegment").agg(q.alias("q")).select("c_mktsegment", *[r(F.col("q")[i], n, 2) for i, n in enumerate(("p10", "p50", "p90"))])
+    return percentiles(t("customer"), ["c_mktsegment"], {"q": "c_acctbal"}, [0.1, 0.5, 0.9]).select("_key.*", *[r(F.col("q")[i], n, 2) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
 @query("q_inventory", """SELECT source, count(*) AS n, count(*) FILTER (WHERE n_chars <= 500) AS small, count(*) FILTER (WHERE n_chars > 5000) AS large, round(median(n_chars), 2) AS median_chars, count(DISTINCT lang) AS langs, count(*) FILTER (WHERE contains(text, '|')) > 0 AS has_tables FROM documents GROUP BY ALL""")
 def inventory(t, spark):
     """Per source counts, sizes, kinds and a cluster flag."""
     c = F.col("n_chars")
-    return t("documents").groupBy("source").agg(
-        F.count("*").alias("n"), F.count_if(c <= 500).alias("small"), F.count_if(c > 5000).alias("large"), r(F.percentile(c, F.lit(0.5)), "median_chars", 2),
+    g = t("documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(c <= 500).alias("small"), F.count_if(c > 5000).alias("large"),
         F.count_distinct("lang").alias("langs"), (F.count_if(F.contains("text", F.lit("|"))) > 0).alias("has_tables"),
     )
+    return with_percentiles(g, t("documents"), ["source"], {"_q": "n_chars"}, [0.5]).withColumn("median_chars", r(F.col("_q")[0], "median_chars", 2)).drop("_q")
 
 
 @query("q_manifest_summary", "SELECT source, lang, count(*) AS n, count(DISTINCT md5(text)) AS distinct_texts FROM documents GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())")
@@ -141,7 +142,7 @@ def mode_config(t, spark):
     """The commonest choice and the median parameter."""
     p = t("part")
     c = p.groupBy("p_brand").agg(F.count("*").alias("n")).agg(F.min_by("p_brand", F.struct(-F.col("n"), F.col("p_brand"))).alias("config"))
-    return c.join(F.broadcast(p.agg(r(F.percentile("p_retailprice", F.lit(0.5)), "temperature"))))
+    return with_percentiles(c, p, [], {"_q": "p_retailprice"}, [0.5]).select("config", r(F.col("_q")[0], "temperature"))
 
 
 @query("q_weight_share", """WITH g AS (SELECT lang, source, least(count(*), 10) AS n FROM documents GROUP BY ALL) SELECT lang, source, round(n / sum(n) OVER (PARTITION BY lang), 6) AS share FROM g""")

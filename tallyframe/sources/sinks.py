@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +24,29 @@ def write_csv(df: DataFrame, path: str, once: bool = False) -> None:
     flat(df).write.mode("errorifexists" if once else "overwrite").csv(path, header=True)
 
 
+def _not_finite(c: Column, kind: T.DataType) -> Column | None:
+    """Whether a value holds a NaN or infinite number; None where its type has no place for one."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.isnan(c) | (F.abs(c) == float("inf"))
+    if isinstance(kind, T.ArrayType):
+        return None if _not_finite(c, kind.elementType) is None else F.exists(c, lambda x: F.coalesce(_not_finite(x, kind.elementType), F.lit(False)))
+    if isinstance(kind, T.MapType):
+        inner = [_not_finite(F.map_keys(c), T.ArrayType(kind.keyType)), _not_finite(F.map_values(c), T.ArrayType(kind.valueType))]
+    elif isinstance(kind, T.StructType):
+        inner = [_not_finite(c.getField(f.name), f.dataType) for f in kind.fields]
+    else:
+        return None
+    found = [F.coalesce(x, F.lit(False)) for x in inner if x is not None]
+    return reduce(or_, found) if found else None
+
+
 def write_json(df: DataFrame, path: str, once: bool = False) -> None:
-    """Strict JSON lines: a NaN or infinite number stops the write."""
-    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    """Strict JSON lines: a NaN or infinite number, however deep in arrays, structs and maps, stops the write."""
+    bad = {f.name: _not_finite(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
     checked = [
-        F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.raise_error(F.lit(f"{c} is not finite")).cast("double")).otherwise(F.col(c)).alias(c) if c in numbers else F.col(c) for c in df.columns
-    ]
+        F.col(f"`{f.name}`") if bad[f.name] is None else F.when(F.coalesce(bad[f.name], F.lit(False)), F.raise_error(F.lit(f"{f.name} is not finite")).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name)
+        for f in df.schema.fields
+    ]
     df.select(*checked).write.mode("errorifexists" if once else "overwrite").json(path)
 
 

@@ -88,19 +88,19 @@ def test_calibration_edges(spark):
 def test_wilson_and_bootstrap(spark):
     low, high = M.wilson(F.col("k"), F.col("n"))
     r = spark.createDataFrame([(8, 10), (0, 0)], "k long, n long").select(low.alias("l"), high.alias("h")).collect()
-    assert r[0].l == pytest.approx(0.490157, abs=1e-5) and r[0].h == pytest.approx(0.943318, abs=1e-5) and r[1].l is None
+    assert r[0].l == pytest.approx(0.490157, abs=1e-5) and r[0].h == pytest.approx(0.943318, abs=1e-5) and (r[1].l, r[1].h) == (0, 0)
     rng = np.random.default_rng(0)
     x = rng.normal(5, 2, 400)
-    out = M.bootstrap_mean(spark.createDataFrame([(float(v),) for v in x], "v double"), "v", 300).first()
+    out = M.bootstrap_mean(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double"), "v", "i", 300).first()
     assert out.n == 400 and out["mean"] == pytest.approx(x.mean()) and out.low < out["mean"] < out.high
     assert out.high - out.low == pytest.approx(4 * 2 / 20, rel=0.35)
-    empty = M.bootstrap_mean(spark.createDataFrame([], "v double"), "v").first()
+    empty = M.bootstrap_mean(spark.createDataFrame([], "i long, v double"), "v", "i").first()
     assert (empty.n, empty["mean"], empty.low) == (0, None, None)
 
 
 def test_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
     asked, real = [], M.bootstrap_mean
-    monkeypatch.setattr(M, "bootstrap_mean", lambda df, value, resamples: asked.append(resamples) or real(df, value, resamples))
+    monkeypatch.setattr(M, "bootstrap_mean", lambda df, value, key, resamples: asked.append(resamples) or real(df, value, key, resamples))
     out = catalog.QUERIES["q_bootstrap_mean"](spark, SF).first()
     assert asked == [10_000]
     v = np.array([r.value for r in spark.read.parquet(f"{SF}/events.parquet").select("value").collect() if r.value is not None])
