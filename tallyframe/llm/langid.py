@@ -21,8 +21,8 @@ from tallyframe.llm.common import documents, in_small_batches, slices, tidy_stre
 WINDOW = 256
 WARM = 32
 HIDDEN = 8
-#: The network is fitted on about so many documents of each language: all windows of their whole texts, of TAUGHT bytes.
-SAMPLE_DOCS = 400
+#: The network is fitted on at most so many documents of each language: all windows of their whole texts, of TAUGHT bytes.
+SAMPLE_DOCS = 480
 TAUGHT = 64
 STEPS = 160
 BATCH = 160
@@ -181,8 +181,8 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> Network | None:
-    """Fits a network on a bounded sample of the labelled documents that are not held out: for each language about
-    sample_docs different documents (id and text) chosen by a hash, with their whole texts. The languages are the
+    """Fits a network on a bounded sample of the labelled documents that are not held out: for each language at most
+    sample_docs different documents (id and text), those of least hash, with their whole texts. The languages are the
     classes; they and their counts come to the driver. None if nothing is labelled."""
     taught = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
@@ -190,10 +190,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -
         return None
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * sample_docs / n))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = taught.where(u < share).select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").distinct()
-    got = sorted((r["lang"], r["doc_id"], r["text"].encode()) for r in chosen.collect())
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (sample_docs + 4 * sample_docs**0.5) / n))).otherwise(share)
+    # the limit on the hash lets about so many through that the least sample_docs are among them; 2**52 steps are fine
+    # enough for any number of documents
+    u = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 52))
+    chosen = taught.withColumn("u", u).where(F.col("u") < share * float(1 << 52)).select("lang", "u", F.col("doc_id").cast("long").alias("doc_id"), "text").distinct()
+    least: dict[str, list] = {}
+    for r in sorted((r["lang"], r["u"], r["doc_id"], r["text"].encode()) for r in chosen.collect()):
+        least.setdefault(r[0], []).append(r)
+    got = [(lang, doc_id, text) for own in least.values() for lang, _, doc_id, text in own[:sample_docs]]
     languages = sorted(counts)
     x, owner = windows([t for _, _, t in got], TAUGHT)
     y = np.array([languages.index(lang) for lang, _, _ in got], np.int64)[owner]
