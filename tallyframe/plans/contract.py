@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,7 @@ from tallyframe.catalog import query
 from tallyframe.functions import results as R
 from tallyframe.operators import metrics as M
 from tallyframe.sources import manifest, sinks
-from tallyframe.storage import shared_dir
+from tallyframe.storage import scratch
 
 _PER = "SELECT o_orderkey, count(l_orderkey) AS total, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r, o_orderkey % 5 AS k FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
 
@@ -139,14 +138,10 @@ def stub(t, spark):
 # ---------------------------------------------------------------- files
 
 
-def _place(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("q_csv_round_trip", "SELECT s_suppkey, s_name, '[' || s_nationkey || ',' || s_suppkey || ']' AS pair FROM supplier")
 def csv_round_trip(t, spark):
     """A table with a nested column, written as CSV and read again."""
-    where = _place(spark, "csv")
+    where = scratch(spark, "csv")
     sinks.write_csv(t("supplier").select("s_suppkey", "s_name", F.array("s_nationkey", "s_suppkey").alias("pair")), where, once=True)
     return spark.read.csv(where, header=True, schema="s_suppkey long, s_name string, pair string", escape='"')
 
@@ -154,7 +149,7 @@ def csv_round_trip(t, spark):
 @query("q_semicolon_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def semicolon_csv(t, spark):
     """A ;-separated file."""
-    where = _place(spark, "semicolon")
+    where = scratch(spark, "semicolon")
     t("nation").select("n_nationkey", "n_name").write.csv(where, header=True, sep=";")
     return manifest.read_semicolon_csv(spark, where)
 
@@ -162,7 +157,7 @@ def semicolon_csv(t, spark):
 @query("q_json_round_trip", "SELECT event_id, value FROM events WHERE value IS NOT NULL")
 def json_round_trip(t, spark):
     """Strict JSON, written once."""
-    where = _place(spark, "json")
+    where = scratch(spark, "json")
     sinks.write_json(t("events").where("value is not null").select("event_id", "value"), where, once=True)
     return spark.read.schema("event_id long, value double").json(where)
 
@@ -170,7 +165,7 @@ def json_round_trip(t, spark):
 @query("q_prediction_file", "SELECT CAST(doc_id AS VARCHAR) AS path, lang AS label, 0.5::DOUBLE AS prob_light, round((doc_id % 5) / 10.0::DOUBLE, 6) AS prob_medium FROM documents WHERE lang IS NOT NULL")
 def prediction_file(t, spark):
     """A prediction file, its probabilities checked."""
-    where = _place(spark, "predictions")
+    where = scratch(spark, "predictions")
     m = (F.col("doc_id") % 5) / 10.0
     p = [F.lit(0.5).alias("p_light"), m.alias("p_medium"), (0.5 - m).alias("p_dark")]
     t("documents").where("lang is not null").select(F.col("doc_id").alias("path"), F.col("lang").alias("label"), *p).write.csv(where, header=True)

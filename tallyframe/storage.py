@@ -72,10 +72,27 @@ def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.tallyframe_path = path
     if not kept:
-        _owners[-1].paths.append(path)
+        _own(spark, path)
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files that a query writes and reads; it belongs to the current owner."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    _own(spark, folder)
+    return f"{folder}/data"
+
+
+def _own(spark: SparkSession, path: str) -> None:
+    """Notes a path that exists for the current owner, and for the file system, which deletes it when the driver ends
+    even if the session was stopped before."""
+    _owners[-1].paths.append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Deletes materialized tables that nothing still to be run reads."""
     for df in dfs:
