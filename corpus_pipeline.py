@@ -13,7 +13,7 @@ from tallyframe.llm.jaccard import BROADCAST_IDS, jaccard_components
 from tallyframe.llm.langid import UNDETERMINED, predict, train
 from tallyframe.llm.mixing import mix_sources
 from tallyframe.llm.suffixdedup import dedup_substrings
-from tallyframe.storage import Tables, materialize, owned
+from tallyframe.storage import Tables, discard, materialize, owned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if no language gets this share of its positions' probability.
@@ -94,10 +94,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each but the last returns is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}", kept=True)
-    return docs
+    """All stages over documents; what each but the last returns is written in the shared folder and read again. A stage's
+    table goes once the next one's is written; the last is read by the result and goes when the driver ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
