@@ -1,6 +1,7 @@
 """HTML extraction: gradient-boosted trees over DOM-node features, decoded so that no node is kept under a dropped one.
 
-A page is read into a tree of block elements; inline elements belong to the block around them. The trees score
+A page is read into a tree of block elements; inline elements belong to the block around them, and are nodes of their own
+inside it where their attributes say something. The trees score
 for each node whether its subtree holds main text, from its tag, attribute tokens, text and link density of its
 subtree, depth and siblings. The best labelling in which a kept node's ancestors are all kept is found by dynamic
 programming; the kept nodes' own text is the result. The model is trained on pages made up here.
@@ -24,12 +25,12 @@ from tallyframe.llm.common import in_small_batches, tidy_stream
 # Fixed values of HTML: elements without content; with raw content, which is no markup and is never shown, or is (xmp);
 # inline ones, those of formulas and drawings among them; and the transparent object.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe textarea title noembed noframes xmp".split())
+RAW = frozenset("script style template iframe textarea title desc metadata noembed noframes xmp".split())
 INLINE = frozenset(
     (
         "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var nobr object "
         "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml "
-        "svg circle defs desc ellipse g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use"
+        "svg circle defs ellipse g image line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol text textpath tspan use"
     ).split()
 )
 CLOSES_P = frozenset(
@@ -37,7 +38,7 @@ CLOSES_P = frozenset(
 )
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # Kinds of tags and of attribute tokens that the trees can ask for.
-TAG_KINDS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu", "nav", "header", "footer", "aside", "form fieldset button input dialog select option optgroup", "table tbody tr td th", "blockquote pre", "figure figcaption", "noscript", "body html"]
+TAG_KINDS = ["article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu", "nav", "header", "footer", "aside", "form fieldset button input dialog select option optgroup", "table tbody tr td th", "blockquote pre", "figure figcaption", "noscript", "body html", " ".join(sorted(INLINE))]
 TOKEN_KINDS = [
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc skip",
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner affiliate",
@@ -57,6 +58,20 @@ _WORDS = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?,;:]")
 
 
+def _said(attributes: str) -> tuple[int, bool]:
+    """The kinds of an element's attribute tokens, as bits, and whether it is hidden."""
+    kinds, hidden = 0, False
+    for a in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        value, key = (a[2] or a[3] or a[4] or "").lower(), a[1].lower()
+        if key in ("class", "id", "role"):
+            for w in _WORDS.findall(value):
+                if w in _TOKEN:
+                    kinds |= 1 << _TOKEN[w]
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+            hidden = True
+    return kinds, hidden
+
+
 class Page:
     """Block nodes of one page in document order: parent (-1 at the root), tag and token kinds, text runs."""
 
@@ -104,10 +119,11 @@ class Page:
                     self.inline[stack[-1][1]] += 1
                 continue
             if name in INLINE:
+                self.inline[stack[-1][1]] += 1
                 if not m[3].rstrip().endswith("/") or name == "a":
-                    stack.append((name, stack[-1][1]))
+                    kinds, hidden = _said(m[3])
+                    stack.append((name, self._node(stack[-1][1], name, kinds, hidden) if kinds or hidden else stack[-1][1]))
                     links += name == "a"
-                self.inline[stack[-1][1]] += 1
                 continue
             if name in ("html", "head", "body"):
                 continue
@@ -126,24 +142,17 @@ class Page:
                         break
                     if stack[k][0] in scope:
                         break
-            kinds, hidden = 0, False
-            if m[3]:
-                for a in _ATTRIBUTE.finditer(m[3]):
-                    value = (a[2] or a[3] or a[4] or "").lower()
-                    key = a[1].lower()
-                    if key in ("class", "id", "role"):
-                        for w in _WORDS.findall(value):
-                            if w in _TOKEN:
-                                kinds |= 1 << _TOKEN[w]
-                    elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                        hidden = True
-            self.parent.append(stack[-1][1])
-            self.tag.append(name)
-            self.tokens.append(kinds)
-            self.hidden.append(hidden)
-            self.inline.append(0)
+            node = self._node(stack[-1][1], name, *_said(m[3]))
             if not m[3].rstrip().endswith("/"):
-                stack.append((name, len(self.parent) - 1))
+                stack.append((name, node))
+
+    def _node(self, parent: int, tag: str, kinds: int, hidden: bool) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.tokens.append(kinds)
+        self.hidden.append(hidden)
+        self.inline.append(0)
+        return len(self.parent) - 1
 
     def main_text(self, keep: np.ndarray) -> str:
         """The kept nodes' blocks, white space made single, one a line."""
@@ -156,7 +165,7 @@ class Page:
 
 
 FEATURES = (
-    [f"tag {k}" for k in TAG_KINDS] + [f"token {k.split()[0]}" for k in TOKEN_KINDS] + [f"above: tag {k}" for k in TAG_KINDS] + [f"above: token {k.split()[0]}" for k in TOKEN_KINDS]
+    [f"tag {k[:60]}" for k in TAG_KINDS] + [f"token {k.split()[0]}" for k in TOKEN_KINDS] + [f"above: tag {k[:60]}" for k in TAG_KINDS] + [f"above: token {k.split()[0]}" for k in TOKEN_KINDS]
     + "own length;subtree length;own links;subtree links;share of page;inline tags per char;tags per char;punctuation;words;depth;children;siblings;place among siblings;siblings' length;siblings' links;same-tag siblings;place in page;hidden;symbols".split(";")
 )
 
@@ -223,7 +232,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class BoostedTrees:
     """Logistic gradient boosting: trees of a fixed depth over quantile bins, split by second-order gain."""
 
-    def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 1.0, least: float = 4.0):
+    def __init__(self, trees: int = 60, depth: int = 5, rate: float = 0.2, bins: int = 32, l2: float = 1.0, least: float = 4.0):
         self.trees, self.depth, self.rate, self.bins, self.l2, self.least = trees, depth, rate, bins, l2, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
@@ -319,6 +328,12 @@ def made_up_page(rng: random.Random) -> str:
         name = rng.choice([token, f"{token}-{word()}", f"{word()} {token}", f"site-{token}"])
         return f' {rng.choice(["class", "class", "id"])}="{name}"'
 
+    def mixed() -> str:
+        """The article's own token among others, of other kinds or none."""
+        own, other = rng.choice(TOKEN_KINDS[8].split()), rng.choice(TOKEN_KINDS[rng.choice([2, 2, 4, 7])].split())
+        both = rng.choice([f"{other}-{own}", f"{other} {own}", f"{own} {word()} {other}", f"{other}-{own} {rng.choice(TOKEN_KINDS[8].split())}", f"{word()}-{own}"])
+        return f' {rng.choice(["class", "id"])}="{both}"'
+
     def wrap(tag: str, a: str, inner: str) -> str:
         return f"<{tag}{a}>{inner}</{tag}>"
 
@@ -378,8 +393,18 @@ def made_up_page(rng: random.Random) -> str:
 
     def article_part() -> str:
         kind = rng.random()
+        if kind < 0.05:
+            linked = lambda n: f'<a href="/{word()}">{q(n)[:-1]}</a>'
+            sources = wrap(rng.choice(["ul", "ol"]), "", "".join(wrap("li", "", linked(rng.randint(1, 9)) + rng.choice(["", "", f" {q(3)}"])) for _ in range(rng.randint(1, 6))))
+            return rng.choice([wrap("p", "", linked(rng.randint(2, 14))), wrap(rng.choice(["h2", "h3"]), "", q(1)) + sources, sources])
+        if kind < 0.10:
+            aside = rng.choice([f' class="{rng.choice(TOKEN_KINDS[rng.choice([1, 1, 7])].split())}"', " hidden", ' style="display:none"', ' aria-hidden="true"'])
+            spans = [f"<span{aside}>{words(rng.randint(1, 8))}</span>", f'<span class="{rng.choice(TOKEN_KINDS[8].split())}">{q(4)}</span>', f'<em id="{word()}">{q(3)}</em>', f'<a class="{rng.choice(["more", "top", "link"])}" href="#">{q(2)}</a>']
+            return wrap(rng.choice(["p", "p", "li", "div"]), "", f"{q(rng.randint(3, 40))} {rng.choice(spans)} {q(rng.randint(1, 20))}")
         if kind < 0.68:
             s = q(rng.choice([rng.randint(1, 6), rng.randint(8, 60), rng.randint(40, 160)]))
+            if rng.random() < 0.08:  # cells of a flattened table
+                s = s.replace(" ", " | ")
             return rng.choice([wrap("p", "", s), wrap("p", "", s), f"<p>{s}", wrap("p", "", f"<b>{s}<br>"), wrap("p", "", s.replace(" ", f' <a href="#">q{word()}</a> ', 1)), wrap("p", "", f"<em>{s}</em> {q(5)}")])
         if kind < 0.78:
             return wrap(rng.choice(["h2", "h3"]), "", q(rng.randint(1, 7)))
@@ -391,8 +416,8 @@ def made_up_page(rng: random.Random) -> str:
             return wrap("table", "", "".join(wrap("tr", "", wrap("td", "", q(2)) + wrap("td", "", q(3))) for _ in range(3)))
         if kind < 0.96:
             return wrap("section", "", wrap("h2", "", q(3)) + wrap("p", "", q(30)))
-        if kind < 0.965:
-            return rng.choice([wrap("div", "", q(25)), wrap("pre", "", q(12))])
+        if kind < 0.97:
+            return rng.choice([wrap("div", "", q(rng.randint(4, 60))), wrap("pre", "", q(12))])
         return rng.choice([advert, share, sidebar, notice, form, unseen, unseen, chooser, scriptless])()
 
     body = "".join(article_part() for _ in range(rng.choice([1, 2, 4, 8, 14])))
@@ -400,10 +425,12 @@ def made_up_page(rng: random.Random) -> str:
         body = wrap(rng.choice(["h1", "h1", "h2"]), "", q(rng.randint(2, 12))) + body
     if rng.random() < 0.15:
         body += comments()
-    bare = rng.random() < 0.25  # an article without an element of its own
+    bare = rng.random() < 0.3  # an article without an element of its own
+    if rng.random() < (0.25 if bare else 0.08):  # paragraphs are plain divs
+        body = body.replace("<p>", "<div>").replace("</p>", "</div>")
     if bare and rng.random() < 0.4:  # with text outside of all elements
         body = rng.choice([q(rng.randint(4, 60)), q(20) + body, body + q(15), q(9) + body + q(12), "<br><br>".join(q(15) for _ in range(4))])
-    holder = rng.choice([("article", ""), ("article", ""), ("article", attrs(8)), ("main", ""), ("div", attrs(8, 1)), ("div", attrs(8, 1)), ("section", attrs(8, 1))])
+    holder = rng.choice([("article", ""), ("article", ""), ("article", attrs(8)), ("main", ""), ("div", attrs(8, 1)), ("div", attrs(8, 1)), ("section", attrs(8, 1)), ("div", mixed()), ("article", mixed())])
     core = body if bare else wrap(*holder, body)
     for _ in range(0 if bare else rng.randint(0, 2)):
         core = wrap(rng.choice(["div", "main", "section"]), rng.choice(["", attrs(8), attrs(8)]), core + (sidebar() if rng.random() < 0.2 else ""))
@@ -433,7 +460,7 @@ def training_set(pages: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def model(pages: int = 900) -> BoostedTrees:
+def model(pages: int = 1500) -> BoostedTrees:
     """The trees, fitted on so many made-up pages; the same for every input."""
     return BoostedTrees().fit(*training_set(pages))
 

@@ -410,11 +410,35 @@ def test_html_cases(trees, page, want):
     assert htmltext.extract([page], trees) == ["\n".join(want)]
 
 
+PARAGRAPHS = [f"This is paragraph number {i}, with words enough to be read as text by anyone." for i in range(4)]
+MENU, FOOT = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></nav>", "<footer>© 2020 example.com | all rights</footer>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        # the article's tokens are of several kinds
+        (f'<div class="widget-content post"><h1>The title of it</h1>{"".join(f"<p>{p}</p>" for p in PARAGRAPHS)}</div>', ["The title of it", *PARAGRAPHS]),
+        # no article element, and divs for paragraphs
+        ("<h1>The title of it</h1>" + "".join(f"<div>{p}</div>" for p in PARAGRAPHS[:2]), ["The title of it", *PARAGRAPHS[:2]]),
+        # paragraphs and lists of links
+        (
+            f'<article><h1>Title here</h1><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p><p><a href="/x">A paragraph that is one link to something</a></p><h2>Sources</h2><ul><li><a href="/1">First source of it</a></li><li><a href="/2">Second source of it</a></li></ul></article>',
+            ["Title here", *PARAGRAPHS[:2], "A paragraph that is one link to something", "Sources", "First source of it", "Second source of it"],
+        ),
+        # inline elements with attributes are judged; descriptions in drawings are not shown
+        (f'<article><h1>Title here</h1><p>{PARAGRAPHS[0]}</p><p>Before it <span class="advert">BUY NOW</span> after it, and <span hidden>SECRET</span> the <em id="k">end</em>. <svg><desc>what it shows</desc></svg></p></article>', ["Title here", PARAGRAPHS[0], "Before it after it, and the end."]),
+    ],
+)
+def test_html_keeps_whole_articles(trees, inner, want):
+    assert htmltext.extract([f"<html><body>{MENU}{inner}{FOOT}</body></html>"], trees) == ["\n".join(want)]
+
+
 def test_html_equals_the_articles_of_the_pages_table(trees):
     """Each page of the table has one article element; its blocks by plain string work."""
     import pyarrow.parquet as pq
 
-    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()]
+    pages = [r["html"] for sf in ("sf0.001", "sf0.01") for r in pq.read_table(f"/root/testdata/{sf}/pages.parquet").to_pylist()]
     for page, got in zip(pages, htmltext.extract(pages, trees), strict=True):
         inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         lines = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|h2|li)\b[^>]*>", "\n", inner.replace("<br>", " "))).split("\n")
