@@ -404,7 +404,7 @@ def made_up_page(rng: random.Random) -> str:
         if kind < 0.68:
             s = q(rng.choice([rng.randint(1, 6), rng.randint(8, 60), rng.randint(40, 160)]))
             if rng.random() < 0.08:  # cells of a flattened table
-                s = s.replace(" ", " | ")
+                s = s.replace(" ", " q| ")
             return rng.choice([wrap("p", "", s), wrap("p", "", s), f"<p>{s}", wrap("p", "", f"<b>{s}<br>"), wrap("p", "", s.replace(" ", f' <a href="#">q{word()}</a> ', 1)), wrap("p", "", f"<em>{s}</em> {q(5)}")])
         if kind < 0.78:
             return wrap(rng.choice(["h2", "h3"]), "", q(rng.randint(1, 7)))
@@ -421,11 +421,14 @@ def made_up_page(rng: random.Random) -> str:
         return rng.choice([advert, share, sidebar, notice, form, unseen, unseen, chooser, scriptless])()
 
     body = "".join(article_part() for _ in range(rng.choice([1, 2, 4, 8, 14])))
-    if rng.random() < 0.8:
+    plain = rng.random() < 0.08  # nothing but paragraphs, closed or not
+    if plain:
+        body = "".join(f"<p>{q(rng.randint(6, 40))}{close}" for close in [rng.choice(["", "</p>"])] for _ in range(rng.randint(1, 6)))
+    elif rng.random() < 0.8:
         body = wrap(rng.choice(["h1", "h1", "h2"]), "", q(rng.randint(2, 12))) + body
     if rng.random() < 0.15:
         body += comments()
-    bare = rng.random() < 0.3  # an article without an element of its own
+    bare = rng.random() < (0.7 if plain else 0.3)  # an article without an element of its own
     if rng.random() < (0.25 if bare else 0.08):  # paragraphs are plain divs
         body = body.replace("<p>", "<div>").replace("</p>", "</div>")
     if bare and rng.random() < 0.4:  # with text outside of all elements
