@@ -41,8 +41,8 @@ def detection_rules(t, spark):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.clean_detections(d, F.lit(50), F.lit(50)).isNotNull().alias("good"))
 
 
-@query("q_result_violations", """WITH e AS (SELECT event_id, event_id % 9 AS k, round(value, 2) AS v FROM events) SELECT event_id, array_to_string(list_filter([CASE WHEN k = 1 THEN 'keys' END, CASE WHEN k = 2 THEN 'status' END, CASE WHEN k = 3 THEN 'warning_unknown' END, CASE WHEN k = 4 THEN 'failure_not_null' END,
-CASE WHEN k = 5 THEN 'probs_sum' END, CASE WHEN k = 6 THEN 'counts!=tally' END, CASE WHEN k <> 4 AND (v < 0 OR v + 10 > 100) THEN 'bbox_oob' END, CASE WHEN k = 7 THEN 'mixed_roast_flag' END, CASE WHEN k = 8 THEN 'estimated_flag' END], lambda x: x IS NOT NULL), ',') AS violations FROM e""")
+@query("q_result_violations", """WITH e AS (SELECT event_id, event_id % 9 AS k, round(value, 2) AS v FROM events) SELECT event_id, array_to_string(list_filter([CASE WHEN k = 1 THEN 'key_set' END, CASE WHEN k = 2 THEN 'status' END, CASE WHEN k = 3 THEN 'unknown_warning' END, CASE WHEN k = 4 THEN 'failed_with_values' END,
+CASE WHEN k = 5 THEN 'probability_sum' END, CASE WHEN k = 6 THEN 'count_by_class' END, CASE WHEN k <> 4 AND (v < 0 OR v + 10 > 100) THEN 'box_outside' END, CASE WHEN k = 7 THEN 'mixed_warning' END, CASE WHEN k = 8 THEN 'estimate_warning' END], lambda x: x IS NOT NULL), ',') AS violations FROM e""")
 def result_violations(t, spark):
     """The codes that results break; where a box ends follows the event's value."""
     k, v = F.col("event_id") % 9, F.round("value", 2)
@@ -76,6 +76,31 @@ def messages(t, spark):
     return t("events").select("event_id", m.alias("message"))
 
 
+@query("q_variants", """WITH v AS (SELECT p_size AS card, CASE WHEN p_partkey % 23 = 0 THEN '__' ELSE 'v_' || (p_partkey % 4) END AS variant, round(avg(p_retailprice), 2) AS w, p_size % 5 AS k FROM part WHERE p_size % 7 > 0 AND p_size <= 40 GROUP BY ALL),
+c AS (SELECT DISTINCT p_size AS card, CASE WHEN p_size % 6 = 0 THEN 'group' ELSE 'image_prior' END AS mode, CASE WHEN p_size % 7 > 0 AND p_size <= 40 THEN 'v_' || (p_size % 4) END AS d FROM part),
+o AS (SELECT c.*, CASE WHEN c.card % 8 = 0 THEN 1 ELSE w END AS own FROM c LEFT JOIN v ON c.card = v.card AND variant = d),
+q AS (SELECT p_partkey, p_size AS card, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'v_' || (p_partkey % 5) END AS requested FROM part),
+x AS (SELECT q.*, mode, coalesce(own, 0) AS own, v.w, coalesce(q.requested, d) AS variant, (SELECT count(*) FROM v WHERE v.card = q.card) AS n, (SELECT count(*) FROM v WHERE v.card = q.card AND variant = '__') AS bad, (SELECT any_value(w) FROM v WHERE v.card = q.card AND variant = d) AS dw
+FROM q JOIN o ON q.card = o.card LEFT JOIN v ON q.card = v.card AND v.variant = coalesce(requested, d)),
+f AS (SELECT *, CASE WHEN n = 0 THEN CASE WHEN variant IS NOT NULL THEN 'undeclared' END WHEN mode <> 'image_prior' THEN 'mode' WHEN bad > 0 THEN 'malformed' WHEN dw IS NULL OR dw <> own THEN 'default' WHEN w IS NULL THEN 'unknown' END AS fault FROM x)
+SELECT p_partkey, CASE WHEN fault IS NULL THEN variant END AS chosen, CASE WHEN fault IS NULL THEN CASE WHEN n = 0 THEN own ELSE w END END AS prior_weight, fault FROM f""")
+def variants(t, spark):
+    """Each part asks the card of its size for a variant, or for the default."""
+    p = t("part")
+    k, some = F.col("p_size"), (F.col("p_size") % 7 > 0) & (F.col("p_size") <= 40)
+    name = lambda x: F.concat(F.lit("v_"), x.cast("string"))
+    own = F.when(F.col("p_partkey") % 23 == 0, "__").otherwise(name(F.col("p_partkey") % 4))
+    told = p.where(some).groupBy(k.alias("card"), own.alias("variant")).agg(F.round(F.avg("p_retailprice"), 2).alias("prior_weight")).withColumn("label", F.col("variant"))
+    cards = p.select(k.alias("card"), F.when(k % 6 == 0, "group").otherwise("image_prior").alias("mode"), F.when(some, name(k % 4)).alias("default_variant")).distinct()
+    default = told.select("card", F.col("variant").alias("default_variant"), "prior_weight")
+    cards = cards.join(default, ["card", "default_variant"], "left").withColumn("prior_weight", F.when(F.col("card") % 8 == 0, 1.0).otherwise(F.col("prior_weight")))
+    asked = p.select("p_partkey", k.alias("card"), F.when(F.col("p_partkey") % 3 > 0, name(F.col("p_partkey") % 5)).alias("requested"))
+    # a card and name asked for by several parts is resolved once
+    found = R.resolved_variants(cards, told, asked.select("card", "requested").distinct())
+    met = asked.join(found.withColumnRenamed("card", "_card").withColumnRenamed("requested", "_requested"), (F.col("card") == F.col("_card")) & F.col("requested").eqNullSafe(F.col("_requested")))
+    return met.select("p_partkey", "chosen", "prior_weight", "fault")
+
+
 @query("q_gate_interval", """WITH g AS (SELECT l_linestatus, count(*)::DOUBLE AS n, count(*) FILTER (WHERE l_returnflag = 'R')::DOUBLE AS k FROM lineitem GROUP BY ALL), w AS (SELECT l_linestatus, k / n AS v, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS mid, 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) AS half FROM g)
 SELECT l_linestatus, v >= 0.25 AS passed, mid - half < 0.25 AS crosses FROM w""")
 def gate_interval(t, spark):

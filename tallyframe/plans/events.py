@@ -10,9 +10,9 @@ from tallyframe.plans.market import class_counts
 
 #: What is wrong with the event whose id leaves this remainder; None: nothing.
 FAULTS = [
-    None, "event must be an object", "invalid msg_id", "invalid created_at", "result must be an object", "result fields do not match the contract", "invalid status",
-    "invalid label", "failure result must not have a label", "invalid n_beans", "counts must sum to n_beans", "count_method/warning mismatch", "label must be a count majority",
-    "missing count warning", "bean labels disagree with counts", None, None, "unavailable counting must be null",
+    None, "not_object", "msg_id", "created_at", "result_not_object", "key_set", "status",
+    "label", "failed_with_label", "n_beans", "counts", "method_warning", "label_not_majority",
+    "count_warning", "bean_counts", None, None, "uncounted_with_values",
 ]
 
 
