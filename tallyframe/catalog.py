@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from tallyframe.plans import contract, events, learning, manifest, market, metrics, relations, scoring, sequential, stats, streams  # noqa: E402, F401
+from tallyframe.plans import contract, events, learning, manifest, market, metrics, pixels, relations, scoring, sequential, stats, streams  # noqa: E402, F401

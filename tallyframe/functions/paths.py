@@ -14,6 +14,20 @@ UNDEFINED = "Maw"
 LABELS = ("light", "medium", "dark")
 
 
+#: The parts of names that tell what belongs together, by tag, as the sources write them.
+TIMED = {"": r"^(\d{8}_\d{6})"}
+EXPORTED = {"video:": r"^(.*?)_mp4-\d+", "": r"^(LINE_ALBUM_\d+)_", "msg:": r"^\d+-[0-9a-f]{32}-(\d{8})_JPG$"}
+NAMED = {"rf_hendi": TIMED, "rf_robusta": EXPORTED, "rf_boos": EXPORTED}
+#: The category of a source, with the scene that it holds for ("": any).
+CATEGORIES = [
+    ("rf_hendi", "", "drop_roaster_interior"), ("agtron", "", "keep_phone_hd"), ("ontoum224", "", "keep_single_bean_plain"), ("rf_boos", "", "review_color_cast_few_beans"),
+    ("rf_robusta", "video", "review_label_ambiguous_video"), ("rf_robusta", "full", "review_cluttered_scene"), ("rf_robusta", "", "keep_multi_bean_clear"),
+]
+OTHER_CLASS = "drop_not_contract_class"
+#: Why a label is dropped.
+NO_LABEL, ONLY_UNDEFINED, UNKNOWN = "yolo_no_label", "maw_only", "unknown_class:"
+
+
 def stem(name: Column) -> Column:
     """A file's name without folder and extension, and without an export suffix (.rf. and hexadecimal digits)."""
     base = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"\.[^.]*$", "")
@@ -22,21 +36,19 @@ def stem(name: Column) -> Column:
 
 def group_of(source: Column, s: Column, path: Column) -> Column:
     """The unit that no split may cut: by time, video, album or message date where the name tells, else the file."""
-    found = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
-    timed, exported = source == "rf_hendi", source.isin("rf_robusta", "rf_boos")
-    name = lambda tag, p: F.concat(source, F.lit(":" + tag), found(p))  # noqa: E731  null where the pattern fails
-    return F.coalesce(
-        F.when(timed, name("", r"^(\d{8}_\d{6})")),
-        F.when(exported, F.coalesce(name("video:", r"^(.*?)_mp4-\d+"), name("", r"^(LINE_ALBUM_\d+)_"), name("msg:", r"^\d+-[0-9a-f]{32}-(\d{8})_JPG$"))),
-        F.concat(source, F.lit(":file:"), path),
-    )
+    told = [
+        F.when(source == name, F.concat(source, F.lit(f":{tag}"), F.nullif(F.regexp_extract(s, pattern, 1), F.lit(""))))  # null where the pattern fails
+        for name, patterns in NAMED.items()
+        for tag, pattern in patterns.items()
+    ]
+    return F.coalesce(*told, F.concat(source, F.lit(":file:"), path))
 
 
 def map_label(label: Column, folder: dict[str, str] | None = None) -> tuple[Column, Column]:
     """(label, reason it is dropped or ""), of a folder's class by its map, or of annotated classes joined by |."""
     if folder is not None:
         mapped = lookup(label, folder)
-        return mapped, F.when(mapped.isNull(), F.concat(F.lit("unknown_class:"), label)).otherwise("")
+        return mapped, F.when(mapped.isNull(), F.concat(F.lit(UNKNOWN), label)).otherwise("")
     classes = F.array_sort(F.array_distinct(F.split(label, r"\|")))
     unknown = F.array_except(classes, F.array(*map(F.lit, [*ANNOTATED, UNDEFINED])))
     mapped = F.array_distinct(F.transform(classes, lambda c: lookup(c, ANNOTATED)))
@@ -44,7 +56,7 @@ def map_label(label: Column, folder: dict[str, str] | None = None) -> tuple[Colu
     alone = F.size(classes) == 1
     out = F.when(none | (undefined & alone), F.lit(None)).when(undefined, "mixed").when(F.size(unknown) > 0, F.lit(None)).when(F.size(mapped) == 1, mapped[0]).otherwise("mixed")
     reason = (
-        F.when(none, "yolo_no_label").when(undefined & alone, "maw_only").when(undefined, "").when(F.size(unknown) > 0, F.concat(F.lit("unknown_class:"), F.array_join(unknown, "|"))).otherwise("")
+        F.when(none, NO_LABEL).when(undefined & alone, ONLY_UNDEFINED).when(undefined, "").when(F.size(unknown) > 0, F.concat(F.lit(UNKNOWN), F.array_join(unknown, "|"))).otherwise("")
     )
     return out.cast("string"), reason
 
@@ -56,18 +68,10 @@ def lookup(key: Column, values: dict[str, str]) -> Column:
 
 def category(source: Column, label: Column, group: Column, mode: Column) -> Column:
     """Keep, review or drop, by source and scene."""
-    video = F.contains(group, F.lit(":video:"))
-    return (
-        F.when(~label.isin(*LABELS) | label.isNull(), "drop_not_contract_class")
-        .when(source == "rf_hendi", "drop_roaster_interior")
-        .when(source == "agtron", "keep_phone_hd")
-        .when(source == "ontoum224", "keep_single_bean_plain")
-        .when(source == "rf_boos", "review_color_cast_few_beans")
-        .when((source == "rf_robusta") & video, "review_label_ambiguous_video")
-        .when((source == "rf_robusta") & (mode == "full"), "review_cluttered_scene")
-        .when(source == "rf_robusta", "keep_multi_bean_clear")
-        .otherwise(F.raise_error(F.concat(F.lit("unknown source "), source)))
-    )
+    scenes = {"": F.lit(True), "video": F.contains(group, F.lit(":video:")), "full": mode == "full"}
+    rules = [F.when((source == name) & scenes[scene], told) for name, scene, told in CATEGORIES]
+    unknown = F.raise_error(F.concat(F.lit("unknown source "), source)).cast("string")
+    return F.when(label.isNull() | ~label.isin(*LABELS), OTHER_CLASS).otherwise(F.coalesce(*rules, unknown))
 
 
 def unsafe_reason(path: Column) -> Column:

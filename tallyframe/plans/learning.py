@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.catalog import query
-from tallyframe.operators import forest, models
+from tallyframe.operators import forest, models, network
 from tallyframe.operators.folds import nested_leave_one_out
 
 CLASSES = ["A", "N", "R"]
@@ -53,3 +53,13 @@ def forest_fit(t, spark):
     spec = forest.fit_forest(rows, features, "l_returnflag", CLASSES, key, forest.ForestShape(trees=8, depth=4, bins=16, tried=2))
     told = models.score_model(rows.select("l_returnflag", *features), spec)
     return told.groupBy(F.col("l_returnflag").alias("truth"), F.col("label_pred").alias("said")).agg(F.count("*").alias("n"))
+
+
+@query("q_mlp_fit")
+def mlp_fit(t, spark):
+    """A small network fitted on all lines and what it says of them, counted; the tests run the same steps in
+    a plain loop."""
+    rows, features = shipped(t), ["days", "quantity", "l_discount", "l_tax"]
+    spec, _ = network.fit_mlp(rows, features, "l_returnflag", CLASSES, hidden=8, epochs=12, rate=0.05)
+    told = models.score_model(rows.select("l_returnflag", *features), spec)
+    return told.groupBy(F.col("l_returnflag").alias("truth"), F.col("label_pred").alias("said")).agg(F.count("*").alias("n"))

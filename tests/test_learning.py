@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import folds, forest, models
+from tallyframe.operators import folds, forest, models, network
 from tallyframe.streaming import first
 
 CLASSES = ["A", "N", "R"]
@@ -148,3 +148,33 @@ def test_first_of_key_over_batches_and_a_restart(spark, tmp_path):
     rows, totals = arrive(2)
     assert rows == [("a", 1, 2.0), ("b", 3, 3.0), ("c", 5, 7.0), ("d", 7, None)]
     assert totals == {"a": (1, 2.0), "b": (1, 3.0), "c": (1, 7.0), "d": (1, None)}
+
+
+def test_mlp_equals_a_plain_loop(spark):
+    x, y = table(150, 9)
+    rows = [(*map(float, r), CLASSES[c]) for r, c in zip(x, y, strict=True)]
+    odd = [(None, 1.0, 1.0, "A"), (float("nan"), 1.0, 1.0, "A"), (1.0, 1.0, 1.0, "odd"), (1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows + odd, "a double, b double, c double, label string").withColumn("k", F.lit(3.0)).repartition(3)
+    spec, losses = network.fit_mlp(df, ["a", "b", "c", "k"], "label", CLASSES, hidden=5, alpha=0.1, epochs=25, rate=0.05)
+    full = np.concatenate([x, np.full((len(x), 1), 3.0)], 1)
+    z = (full - full.mean(0)) / np.where(full.std(0) > 0, full.std(0), 1)
+    w = np.array([1 / (3 * (y == c).sum()) for c in range(3)])[y]
+    layers = network.Layers(4, 5, 3)
+    p = layers.start(7)
+    square = np.concatenate([np.ones(20), np.zeros(5), np.ones(15), np.zeros(3)]) * 0.1 / len(y)
+
+    def loss(q):
+        w1, b1, w2, b2 = layers.parts(q)
+        s = np.maximum(z @ w1 + b1, 0) @ w2 + b2
+        return float((w * (np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y])).sum() + (square * q * q).sum() / 2)
+
+    m, v, want = 0.0, 0.0, []
+    for step in range(1, 26):
+        want.append(loss(p))
+        g = np.array([(loss(p + 1e-6 * d) - loss(p - 1e-6 * d)) / 2e-6 for d in np.eye(len(p))])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p = p - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert losses == pytest.approx(want, rel=1e-4) and losses[-1] < losses[0]
+    assert (models.scorer_of(spec)(full).argmax(1) == y).mean() > 0.6
+    with pytest.raises(ValueError):
+        network.fit_mlp(df.where("label = 'A'"), ["a"], "label", CLASSES)
