@@ -246,6 +246,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_tokens and digests of the ids and of the decoded bytes of every document: nulls, empty and very long texts as in
+    encode_documents."""
     import public_tokenizers
 
     return encode_documents(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

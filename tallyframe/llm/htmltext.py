@@ -500,4 +500,5 @@ def extract_pages(pages: DataFrame, trees: BoostedTrees | None = None) -> DataFr
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page: null and empty html, repeats and ties as in extract_pages."""
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))

@@ -501,4 +501,6 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, secon
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_shingles and component_id of every document by three-word shingles at 90 %: nulls, short and repeated texts as in
+    jaccard_components."""
     return jaccard_components(documents(spark, sf_dir, "doc_id", "text"), 3, 90)

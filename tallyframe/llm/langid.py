@@ -241,4 +241,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out, lang_pred and score of every document: texts without letters, nulls and repeats as in identify."""
     return identify(documents(spark, sf_dir, "doc_id", "text", "lang"))

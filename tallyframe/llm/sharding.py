@@ -70,4 +70,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, chunks: int = CHUNKS) -> D
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard of eight, slot and the shard it has among nine: nulls and repeats as in
+    shard_documents."""
     return shard_documents(documents(spark, sf_dir, "doc_id", "text"))

@@ -108,13 +108,18 @@ def _meetings(values: np.ndarray, table: np.ndarray, masks: np.ndarray, radius:
         yield told()
 
 
+#: Rows of the block tables that are compared in one task, about.
+TASK_ROWS = 250_000
+
+
 def _dealt(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """task, t, fingerprint: the distinct values in each block table, dealt by table and key."""
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     masks = F.array(*[F.lit(signed(m)).cast("long") for m in _tables(radius, blocks)])
     values = prints.select("fingerprint").where("fingerprint is not null").distinct()
     keyed = values.select("fingerprint", F.posexplode(masks).alias("t", "m"))
-    tasks = 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task holds its group whole: about TASK_ROWS of the rows, however many there are
+    tasks = max(4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * len(_tables(radius, blocks)) // TASK_ROWS)
     return keyed.select(F.pmod(F.xxhash64("t", F.col("fingerprint").bitwiseAND(F.col("m"))), F.lit(tasks)).alias("task"), F.col("t").cast("short"), "fingerprint")
 
 

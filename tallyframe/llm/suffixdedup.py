@@ -471,4 +471,6 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False, keep: tuple[str,
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_bytes, n_removed, n_spans and the digest of the bytes kept for every document: nulls, ties and repeats as in
+    dedup_substrings."""
     return dedup_substrings(documents(spark, sf_dir, "doc_id", "text"))

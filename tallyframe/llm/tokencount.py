@@ -197,6 +197,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token counts of every document: nulls, empty and very long texts as in the operator."""
     import public_tokenizers
 
     return count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
