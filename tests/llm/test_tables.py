@@ -525,3 +525,40 @@ def test_pipeline_rows_of_null_and_repeated_ids(spark):
     out = C.ngram_join(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], kind), "").collect()
     got = sorted((r.doc_id or 0, r.text or "") for r in out)
     assert got == sorted([(5, a), (4, b), (4, c), (0, ""), (0, ""), (8, "")])
+
+
+def test_pipeline_of_an_empty_table_and_of_odd_columns(spark, tmp_path):
+    """Extra columns with names of the stages' own, a very long text, null and repeated ids, and no rows at all."""
+    import corpus_pipeline as C
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _row long, component_id string, kept_text string, n_tokens string, score double, lang_pred string"
+    rnd = random.Random(3)
+    prose = lambda n: " ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    rows = [(i, prose(60), "en", "s1", 1) for i in range(20)] + [(20, prose(40_000), "en", "s2", 1), (3, prose(50), "en", None, 1), (None, prose(50), "en", "s1", 1)]
+    df = spark.createDataFrame([(*r, 7, "a", "b", "c", 0.5, "de") for r in rows], kind)
+    for part, n in ((df, len(rows)), (df.limit(0), 0)):
+        d = part
+        for name, stage in C.STAGES:
+            out = stage(spark, d, str(tmp_path))
+            path = str(tmp_path / f"{name}-{n}")
+            out.write.parquet(path)
+            d = spark.read.parquet(path)
+            if name in ("language_id", "ngram_join", "suffix_dedup"):
+                assert tuple(d.columns) == C.COLUMNS and d.count() == n
+                assert {(r.doc_id, r.text) for r in d.collect()} == {r[:2] for r in rows[:n]}
+        assert (d.count() > 0) == (n > 0)
+
+
+def test_stages_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["first of all words " * 3, "something else again " * 4, "and a third one here " * 5]
+    rows = [(None, texts[0], "en", "a", 1), (5, texts[1], "en", "a", 1), (5, texts[2], "de", None, 1), (5, None, None, "b", 1), (None, "", "en", "b", 1)]
+    df = spark.createDataFrame(rows, kind)
+    cut = sorted((r.doc_id or 0, r.text, r.n_chars) for r in C.suffix_dedup(spark, df, "").collect())
+    assert cut == sorted((i or 0, t, len(t)) for i, t, *_ in rows if t)
+    mixed = Counter((r.doc_id, r.text) for r in C.mix(spark, df, "").collect())
+    assert set(mixed) <= {r[:2] for r in rows}
+    told = C.encode(spark, df, "").collect()
+    assert len(told) == len(rows) and sorted(r.n_tokens for r in told)[:2] == [0, 0]
