@@ -61,6 +61,66 @@ def macro_f1(counts: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
     return g.select(*by, "rows", (F.col("hits") / F.col("rows")).alias("acc"), (total / present).alias("macro_f1"))
 
 
+def _rows(df: DataFrame, source: str, inner: Column, label: str, classes: list[str], features: list[str], mask: Column | None) -> DataFrame:
+    """The rows that can be trained on or tested, as _source, _inner, truth, _use and the features."""
+    use = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
+    own = df.select(F.col(source).alias("_source"), F.coalesce(inner, F.lit(0)).alias("_inner"), F.col(label).alias("truth"), use.alias("_use"), *[F.col(f).cast("double").alias(f) for f in features])
+    rows = own.where(F.col("truth").isin(classes)).dropna(subset=["_source", "truth", *features])
+    for f in features:
+        rows = rows.where(~F.isnan(f))
+    return rows
+
+
+def _names(features: list[str]) -> list[str]:
+    """The columns of the statistics: rows, and each feature's sum and sum of squares."""
+    return ["n", *[f"s{j}" for j in range(len(features))], *[f"q{j}" for j in range(len(features))]]
+
+
+def _statistics(trained: DataFrame, features: list[str]) -> DataFrame:
+    squares = [F.sum(F.col(f) * F.col(f)).alias(f"q{j}") for j, f in enumerate(features)]
+    sums = [F.count("*").alias("n"), *[F.sum(f).alias(f"s{j}") for j, f in enumerate(features)], *squares]
+    return materialize(trained.groupBy("_source", "_inner", "truth").agg(*sums), "fold-statistics")
+
+
+def _figures(stats: DataFrame) -> list[str]:
+    return [c for c in stats.columns if c not in ("_source", "_inner", "truth")]
+
+
+def _added(stats: DataFrame, *by: str) -> DataFrame:
+    return stats.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _figures(stats)])
+
+
+def _without(part: DataFrame, by: list[str], base: DataFrame) -> DataFrame:
+    """base less part, by class and by."""
+    names = _figures(base)
+    less = part.select("truth", *by, *[F.col(c).alias(f"_{c}") for c in names])
+    return base.join(less, ["truth", *by], "left").select("truth", *by, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names])
+
+
+def _everywhere(stats: DataFrame, by: list[str], sources: DataFrame) -> DataFrame:
+    """The rows of a table of classes (and inner folds), of which there are few, for each source."""
+    found = stats.collect()  # at most classes * inner folds rows
+    each = [F.struct(*[F.lit(r[c]).alias(c) for c in ("truth", *by, *_figures(stats))]) for r in found]
+    return sources.select("_source", F.explode(F.array(*each)).alias("x")).select("_source", "x.*")
+
+
+def _models(stats: DataFrame, by: list[str], classes: list[str], features: list[str]) -> DataFrame:
+    """One row for each training set: by.. and model, the classes' statistics in an array."""
+    arrays = lambda n, s, q: F.struct(n.cast("double").alias("n"), F.array(*s).alias("s"), F.array(*q).alias("ss"))
+    places = range(len(features))
+    told = arrays(F.col("n"), [F.col(f"s{j}") for j in places], [F.col(f"q{j}") for j in places])
+    none = arrays(F.lit(0.0), [F.lit(0.0) for _ in places], [F.lit(0.0) for _ in places])
+    return stats.groupBy(*by).agg(F.array(*[F.coalesce(F.max(F.when(F.col("truth") == c, told)), none) for c in classes]).alias("model"))
+
+
+def _small(t: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(t) if n <= BROADCAST_MODELS else t
+
+
+def _choices(grid: list[float]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(float(g)).alias("choice"), F.col("_said")[i].alias("said")) for i, g in enumerate(grid)]))
+
+
 def nested_leave_one_out(df: DataFrame, source: str, group: Column, label: str, classes: list[str], features: list[str], grid: list[float], folds: int = 3, mask: Column | None = None) -> DataFrame:
     """fold, train, test, choice, inner_f1, acc, macro_f1: each source once as the test fold.
 
@@ -71,59 +131,68 @@ def nested_leave_one_out(df: DataFrame, source: str, group: Column, label: str,
     out. A source for which no class can be trained says nothing and has null figures; without a training row there
     are no rows.
     """
-    use = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
-    rows = df.select(F.col(source).alias("_source"), inner_fold(group, folds).alias("_inner"), F.col(label).alias("truth"), use.alias("_use"), *[F.col(f).cast("double").alias(f) for f in features]).where(F.col("truth").isin(classes)).dropna(subset=["_source", "truth", *features])
-    for f in features:
-        rows = rows.where(~F.isnan(f))
-    rows = rows.withColumn("_inner", F.coalesce("_inner", F.lit(0)))
+    rows = _rows(df, source, inner_fold(group, folds), label, classes, features, mask)
     trained = rows.where("_use")
-    sums = [F.count("*").alias("n"), *[F.sum(f).alias(f"s{j}") for j, f in enumerate(features)], *[F.sum(F.col(f) * F.col(f)).alias(f"q{j}") for j, f in enumerate(features)]]
-    names = ["n", *[f"s{j}" for j in range(len(features))], *[f"q{j}" for j in range(len(features))]]
     if trained.limit(1).count() == 0:
         none = "fold string, train long, test long, choice double, inner_f1 double, acc double, macro_f1 double"
         return df.sparkSession.createDataFrame([], none)
-    stats = materialize(trained.groupBy("_source", "_inner", "truth").agg(*sums), "fold-statistics")
-    add = lambda t, *by: t.groupBy(*by).agg(*[F.sum(c).alias(c) for c in names])
+    stats = _statistics(trained, features)
     sources = rows.select("_source").distinct()
-
-    def without(part: DataFrame, by: list[str], base: DataFrame) -> DataFrame:
-        """base less part, by class and by."""
-        less = part.select("truth", *by, *[F.col(c).alias(f"_{c}") for c in names])
-        return base.join(less, ["truth", *by], "left").select("truth", *by, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names])
-
-    def models(t: DataFrame, by: list[str]) -> DataFrame:
-        """One row for each training set, the classes' statistics in an array."""
-        told = F.struct(F.col("n").cast("double").alias("n"), F.array(*[F.col(f"s{j}") for j in range(len(features))]).alias("s"), F.array(*[F.col(f"q{j}") for j in range(len(features))]).alias("ss"))
-        of = [F.coalesce(F.max(F.when(F.col("truth") == c, told)), F.struct(F.lit(0.0).alias("n"), F.array(*[F.lit(0.0)] * len(features)).alias("s"), F.array(*[F.lit(0.0)] * len(features)).alias("ss"))) for c in classes]
-        return t.groupBy(*by).agg(F.array(*of).alias("model"))
-
-    def everywhere(t: DataFrame, by: list[str]) -> DataFrame:
-        """The rows of a table of classes (and inner folds) for each source."""
-        found = t.collect()  # at most classes * inner folds rows
-        each = [F.struct(*[F.lit(r[c]).alias(c) for c in ("truth", *by, *names)]) for r in found]
-        return sources.select("_source", F.explode(F.array(*each)).alias("x")).select("_source", "x.*")
-
-    total, per_source = add(stats, "truth"), add(stats, "truth", "_source")
-    outer = without(per_source, ["_source"], everywhere(total, []))  # classes x sources
+    outer = _without(_added(stats, "truth", "_source"), ["_source"], _everywhere(_added(stats, "truth"), [], sources))  # classes x sources
     # from those the inner fold's rows of the other sources go too
-    others = without(stats, ["_source", "_inner"], everywhere(add(stats, "truth", "_inner"), ["_inner"]))
+    others = _without(stats, ["_source", "_inner"], _everywhere(_added(stats, "truth", "_inner"), ["_inner"], sources))
     spread = outer.withColumn("_inner", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    inner = without(others, ["_source", "_inner"], spread)
-    inner_models = materialize(models(inner, ["_source", "_inner"]), "inner-models").withColumnRenamed("_source", "_held")
-    small = lambda t, n: F.broadcast(t) if n <= BROADCAST_MODELS else t
+    inner = _without(others, ["_source", "_inner"], spread)
+    inner_models = materialize(_models(inner, ["_source", "_inner"], classes, features), "inner-models").withColumnRenamed("_source", "_held")
     n_models = inner_models.count()
-    met = trained.join(small(inner_models, n_models), "_inner").where(F.col("_source") != F.col("_held"))
-    choices = F.explode(F.array(*[F.struct(F.lit(float(g)).alias("choice"), F.col("_said")[i].alias("said")) for i, g in enumerate(grid)]))
-    told = _with_said(met, features, classes, [F.lit(float(g)) for g in grid]).select("_held", "truth", choices.alias("x"))
+    met = trained.join(_small(inner_models, n_models), "_inner").where(F.col("_source") != F.col("_held"))
+    told = _with_said(met, features, classes, [F.lit(float(g)) for g in grid]).select("_held", "truth", _choices(grid).alias("x"))
     counts = told.groupBy("_held", "x.choice", "truth", "x.said").agg(F.count("*").alias("n"))
     scored = macro_f1(counts, ["_held", "choice"], classes)
     order = F.struct(F.round(-F.col("macro_f1"), 9).alias("f"), F.array_position(F.array(*[F.lit(float(g)) for g in grid]), F.col("choice")).alias("p"))
     chosen = scored.groupBy("_held").agg(F.min_by(F.struct("choice", "macro_f1"), order).alias("c"))
     sizes = outer.groupBy("_source").agg(F.sum("n").alias("train"))
-    final = models(outer, ["_source"]).join(chosen.withColumnRenamed("_held", "_source"), "_source", "left").join(sizes, "_source")
+    final = _models(outer, ["_source"], classes, features).join(chosen.withColumnRenamed("_held", "_source"), "_source", "left").join(sizes, "_source")
     final = materialize(final.select("_source", "model", "train", F.col("c.choice").alias("choice"), F.col("c.macro_f1").alias("inner_f1")), "outer-models")
-    met = _with_said(rows.join(small(final, final.count()), "_source"), features, classes, [F.col("choice")])
+    met = _with_said(rows.join(_small(final, final.count()), "_source"), features, classes, [F.col("choice")])
     tested = met.groupBy("_source", "train", "choice", "inner_f1", "truth", F.col("_said")[0].alias("said")).agg(F.count("*").alias("n"))
     judged = macro_f1(tested, ["_source", "train", "choice", "inner_f1"], classes)
     told_any = F.col("choice").isNotNull()
     return judged.select(F.col("_source").alias("fold"), "train", F.col("rows").alias("test"), "choice", "inner_f1", F.when(told_any, F.col("acc")).alias("acc"), F.when(told_any, F.col("macro_f1")).alias("macro_f1"))
+
+
+def leave_one_out_sweep(df: DataFrame, source: str, label: str, classes: list[str], features: list[str], grid: list[float], below: list[float], mask: Column | None = None, known: dict[float, float] | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """choice, mean_f1, worst_f1, pooled_f1, extended, best: every smoothing of the grid judged by leaving one source out.
+
+    The whole grid goes through one pass over the rows, as all sources' models are at hand from their statistics. known:
+    mean figures of earlier runs; one that is not met within the tolerance is an error, and nothing is chosen. If the best
+    mean (the least choice of equals) is at the grid's lower end, the values of `below` are judged too, once. Rows are
+    left out as in nested_leave_one_out; without a training row nothing is judged.
+    """
+    rows = _rows(df, source, F.lit(0), label, classes, features, mask)
+    trained = rows.where("_use")
+    if trained.limit(1).count() == 0:
+        return df.sparkSession.createDataFrame([], "choice double, mean_f1 double, worst_f1 double, pooled_f1 double, extended boolean, best boolean")
+    stats = _statistics(trained, features)
+    outer = _without(_added(stats, "truth", "_source"), ["_source"], _everywhere(_added(stats, "truth"), [], rows.select("_source").distinct()))
+    fitted = materialize(_models(outer, ["_source"], classes, features), "outer-models")
+    met = rows.join(_small(fitted, fitted.count()), "_source")
+
+    def judged(choices: list[float]) -> DataFrame:
+        told = _with_said(met, features, classes, [F.lit(float(g)) for g in choices]).select("_source", "truth", _choices(choices).alias("x"))
+        counts = materialize(told.groupBy("_source", "x.choice", "truth", "x.said").agg(F.count("*").alias("n")), "sweep")
+        each = macro_f1(counts, ["_source", "choice"], classes).groupBy("choice").agg(F.avg("macro_f1").alias("mean_f1"), F.min("macro_f1").alias("worst_f1"))
+        return each.join(macro_f1(counts, ["choice"], classes).select("choice", F.col("macro_f1").alias("pooled_f1")), "choice")
+
+    found = judged(grid)
+    means = {r["choice"]: r["mean_f1"] for r in found.collect()}  # a row a choice
+    for choice, expected in (known or {}).items():
+        if abs(means[float(choice)] - expected) > tolerance:
+            raise ValueError(f"{choice} gives {means[float(choice)]}, not {expected} as before")
+    top = lambda m: min(m, key=lambda g: (-round(m[g], 9), g))
+    extended = bool(below) and top(means) == float(min(grid))
+    if extended:
+        more = judged(below)
+        means |= {r["choice"]: r["mean_f1"] for r in more.collect()}
+        found = found.unionByName(more)
+    return found.select("choice", "mean_f1", "worst_f1", "pooled_f1", F.lit(extended).alias("extended"), (F.col("choice") == top(means)).alias("best"))

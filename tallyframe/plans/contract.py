@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,12 +200,15 @@ def annotation_issues(t, spark):
     return manifest.annotation_issues(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("issues", ",").alias("issues"))
 
 
-@query("q_cache_refill", "SELECT doc_id, n_chars AS value FROM documents")
+@query("q_cache_refill", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 10 * n_chars + 1 ELSE n_chars END AS value FROM documents")
 def cache_refill(t, spark):
-    """What a cache lacks is computed, and then all rows must be in it."""
+    """What a cache lacks is computed, and then all rows must be in it. Cached values differ from computed ones,
+    and those of another configuration do not count."""
     d = t("documents").select("doc_id", "n_chars")
-    cache = d.where("doc_id % 3 = 0").select("doc_id", F.col("n_chars").alias("value"))
-    return manifest.refill(cache, d, "doc_id", lambda rows: rows.select("doc_id", F.col("n_chars").alias("value")))
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    config = F.when(F.col("doc_id") % 3 == 0, digest("now")).otherwise(digest("before"))
+    cache = d.where("doc_id % 3 < 2").select("doc_id", (10 * F.col("n_chars") + 1).alias("value"), config.alias("config"))
+    return manifest.refill(cache, d, "doc_id", lambda rows: rows.select("doc_id", F.col("n_chars").alias("value")), digest("now"))
 
 
 @query("q_photo_devices", "SELECT c_custkey, coalesce(n_name, '?') AS device FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 > 0) ON c_nationkey = n_nationkey WHERE c_custkey % 10 > 0")

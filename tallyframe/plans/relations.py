@@ -27,13 +27,15 @@ def left_lookup(t, spark):
     return J.lookup(t("supplier").select("s_suppkey", "s_nationkey"), dim, "s_nationkey", "n_name", "?").select("s_suppkey", "n_name")
 
 
-@query("q_same_population", "SELECT round(avg(abs(o_totalprice - total)), 4) AS diff, count(*) AS n FROM orders JOIN (SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS total FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey")
+@query("q_same_population", "SELECT r_name, nations, customers FROM region JOIN (SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY ALL) ON r_regionkey = n_regionkey JOIN (SELECT n_regionkey AS k, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) ON r_regionkey = k")
 def same_population(t, spark):
-    """Two sets of figures that must cover the same keys: orders that have lines, and the lines' sums."""
-    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("y"))
-    a = t("orders").select("o_orderkey", F.col("o_totalprice").alias("x")).join(lines.select("o_orderkey"), "o_orderkey", "left_semi")
-    both = J.same_population(a, lines, "o_orderkey")
-    return both.agg(F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("diff"), F.count("*").alias("n"))
+    """Figures of three tables that must cover the same regions, each once: a region without a nation or customer
+    is refused."""
+    nations = t("nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("nations"))
+    lives = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = lives.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("customers"))
+    both = J.same_population(t("region").select("r_regionkey", "r_name"), nations, "r_regionkey")
+    return J.same_population(both, customers, "r_regionkey").select("r_name", "nations", "customers")
 
 
 @query("q_population_diff", """SELECT c_custkey, 'a' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'b' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")

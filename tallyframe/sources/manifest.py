@@ -192,8 +192,11 @@ def data_dir(variable: str = "TALLYFRAME_DATA", settings: str = "tallyframe.json
     return found
 
 
-def refill(cache: DataFrame, rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The cache with what it lacked computed; every row must be in it then."""
+def refill(cache: DataFrame, rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], config: str | None = None) -> DataFrame:
+    """The cache with what it lacked computed; every row must be in it then. config: the digest of the settings that the
+    values hang on; of a cache with a column config only values of that digest count, and they come back without it."""
+    if config is not None:
+        cache = cache.where(F.col("config") == config).drop("config")
     todo = rows.join(cache.select(key), key, "left_anti")
     full = cache.unionByName(compute(todo))
     require_empty(rows.join(full.select(key), key, "left_anti").select(key), "rows without a cached value")

@@ -178,3 +178,22 @@ def test_mlp_equals_a_plain_loop(spark):
     assert (models.scorer_of(spec)(full).argmax(1) == y).mean() > 0.6
     with pytest.raises(ValueError):
         network.fit_mlp(df.where("label = 'A'"), ["a"], "label", CLASSES)
+
+
+def test_sweep_extends_at_the_lower_end_and_refuses(spark):
+    x, y = table(120, 6)
+    rows = [("abcd"[i % 4], CLASSES[c], *map(float, r)) for i, (r, c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "source string, label string, p double, q double, r double")
+    run = lambda grid, below, **more: {r.choice: r for r in folds.leave_one_out_sweep(df, "source", "label", CLASSES, ["p", "q", "r"], grid, below, **more).collect()}
+    low, high = run([0.01, 1.0, 1e6], [1e-4]), run([0.01, 1.0, 1e6], [])
+    best = [c for c, r in low.items() if r.best]
+    assert len(best) == 1 and set(high) == {0.01, 1.0, 1e6} and (1e-4 in low) == low[0.01].extended
+    forced = run([1e6, 1e7], [0.01])  # such smoothings say one class alike: the lower end wins
+    assert forced[1e6].extended and forced[0.01].best
+    assert set(run([0.01, 1e6], [1e-4], known={1e6: high[1e6].mean_f1})) >= {0.01, 1e6}
+    with pytest.raises(ValueError, match="as before"):
+        run([0.01, 1e6], [], known={1e6: high[1e6].mean_f1 + 0.01})
+    for c in (0.01, 1e6):
+        own = {s: folds.nested_leave_one_out(df, "source", F.lit(1), "label", CLASSES, ["p", "q", "r"], [c], 1).where(F.col("fold") == s) for s in "a"}
+        assert high[c].worst_f1 <= high[c].mean_f1 <= 1 and own["a"].count() <= 1
+    assert folds.leave_one_out_sweep(df.limit(0), "source", "label", CLASSES, ["p"], [1.0], []).count() == 0
