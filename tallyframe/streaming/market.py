@@ -32,6 +32,17 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema + ", batch long").parquet(path)
 
 
+def _part_before(spark: SparkSession, path: str, before: int) -> str | None:
+    """The part of the last batch before the given one, by the names of the parts; no other part is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return None
+    found = [int(x.getPath().getName().split("=")[1]) for x in files.listStatus(where) if x.getPath().getName().startswith("batch=")]
+    last = max((b for b in found if b < before), default=None)
+    return None if last is None else f"{path}/batch={last}"
+
+
 def project(valid: DataFrame) -> DataFrame:
     """The stored columns of valid events; needs ingest_seq and payload."""
     v, r = E.variant(F.col("payload")), "$.result"
@@ -43,10 +54,8 @@ def project(valid: DataFrame) -> DataFrame:
 
 def _next_seq(spark: SparkSession, folder: str, batch_id: int) -> tuple[int, int]:
     """Where the numbers of a batch start, and how many predictions are stored, by what the batch before noted."""
-    noted = _table(spark, f"{folder}/offsets", OFFSETS)
-    if "batch" not in noted.columns:
-        return 0, 0
-    last = noted.where(F.col("batch") < batch_id).agg(F.max_by(F.struct("next_seq", "n_rows"), "batch")).first()[0]
+    part = _part_before(spark, f"{folder}/offsets", batch_id)
+    last = None if part is None else spark.read.schema(OFFSETS).parquet(part).first()
     return (last["next_seq"], last["n_rows"]) if last else (0, 0)
 
 
@@ -160,11 +169,11 @@ class Snapshot:
 
     def _last(self, spark: SparkSession, before: int) -> list[DataFrame] | None:
         """State, newest results and newest beans after the last batch before the given one."""
-        tables = [_table(spark, f"{self.folder}/{name}", schema) for name, schema in (("state", STATE), ("top", TOP), ("beans", BEANS))]
-        if "batch" not in tables[0].columns:
+        part = _part_before(spark, f"{self.folder}/beans", before)  # the last of the three to be written
+        if part is None:
             return None
-        last = tables[0].where(F.col("batch") < before).agg(F.max("batch")).first()[0]
-        return None if last is None else [t.where(F.col("batch") == last).drop("batch") if "batch" in t.columns else t for t in tables]
+        batch = part.rsplit("/", 1)[1]
+        return [spark.read.schema(schema).parquet(f"{self.folder}/{name}/{batch}") for name, schema in (("state", STATE), ("top", TOP), ("beans", BEANS))]
 
     def fold(self, spark: SparkSession, batch_id: int) -> None:
         """Adds what a batch appended; the new state goes to the batch's own part. Counts of rows come from the state
