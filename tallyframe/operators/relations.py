@@ -33,6 +33,23 @@ def same_population(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key)
 
 
+def residual_pairs(pairs: DataFrame, groups: DataFrame, key: str, group: str) -> DataFrame:
+    """a, b, group_a, group_b: the pairs (a, b) whose rows are not in one group. groups: key and group, each key once; a
+    null group is none. A pair with a key that has no group is residual too: what must stay together is not known to."""
+    of = lambda side: groups.select(F.col(key).alias(side), F.col(group).alias(f"group_{side}"))
+    met = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return met.where(~F.coalesce(F.col("group_a") == F.col("group_b"), F.lit(False))).select("a", "b", "group_a", "group_b")
+
+
+def guarded(rows: DataFrame, groups: DataFrame, pairs: DataFrame, key: str, group: str) -> DataFrame:
+    """rows with their group, which every row must have, once no pair of near copies among them crosses groups."""
+    require_empty(rows.select(key).join(groups.where(F.col(group).isNotNull()).select(key), key, "left_anti"), "rows without a group")
+    own = rows.select(key).distinct()
+    among = pairs.join(own.withColumnRenamed(key, "a"), "a", "left_semi").join(own.withColumnRenamed(key, "b"), "b", "left_semi")
+    require_empty(residual_pairs(among, groups, key, group), "near copies in different groups")
+    return rows.join(groups.select(key, group), key)
+
+
 def keep_by_mask(rows: DataFrame, mask: DataFrame, key: str, flag: str) -> DataFrame:
     """Rows whose mask is not set; every row must be covered by the mask."""
     require_empty(rows.select(key).join(mask.select(key), key, "left_anti"), "rows without a mask")

@@ -38,6 +38,24 @@ def same_population(t, spark):
     return J.same_population(both, customers, "r_regionkey").select("r_name", "nations", "customers")
 
 
+@query("q_residual_pairs", """WITH f AS (SELECT md5(text) AS m, min(doc_id) AS a FROM documents WHERE text IS NOT NULL GROUP BY 1), p AS (SELECT f.a, d.doc_id AS b FROM documents d JOIN f ON md5(d.text) = m WHERE d.doc_id > f.a)
+SELECT a, b, x.source AS group_a, y.source AS group_b FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.source IS DISTINCT FROM y.source OR x.source IS NULL""")
+def residual(t, spark):
+    """Copies (each with the first of its text) that the grouping by source would part."""
+    d = t("documents").where("text is not null").select("doc_id", F.md5("text").alias("m"))
+    first = d.groupBy("m").agg(F.min("doc_id").alias("a"))
+    pairs = d.join(first, "m").where("doc_id > a").select("a", F.col("doc_id").alias("b"))
+    return J.residual_pairs(pairs, t("documents").select("doc_id", "source"), "doc_id", "source")
+
+
+@query("q_guarded_groups", "SELECT doc_id, md5(text) AS grp FROM documents WHERE text IS NOT NULL")
+def guarded_groups(t, spark):
+    """Documents with a grouping that keeps all copies together; one that parted a pair would be refused."""
+    d = t("documents").where("text is not null").select("doc_id", F.md5("text").alias("grp"))
+    pairs = d.join(d.groupBy("grp").agg(F.min("doc_id").alias("a")), "grp").where("doc_id > a").select("a", F.col("doc_id").alias("b"))
+    return J.guarded(d.select("doc_id"), d, pairs, "doc_id", "grp")
+
+
 @query("q_population_diff", """SELECT c_custkey, 'a' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'b' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
 def population_diff(t, spark):
     """J04, J08, G02, G04."""

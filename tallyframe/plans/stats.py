@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.catalog import query
@@ -112,6 +113,24 @@ def source_stats(t, spark):
     return c.join(s, "source")
 
 
+@query("q_source_sizes", """WITH s AS (SELECT coalesce(source, '?') AS source, n_chars, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)
+SELECT source, place::INT AS place, n_chars, doc_id FROM s WHERE place <= 5""")
+def source_sizes(t, spark):
+    """The five largest of each source."""
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    top = t("documents").select("source", "n_chars", "doc_id").withColumn("place", F.row_number().over(w)).where("place <= 5")
+    return top.withColumn("source", F.coalesce("source", F.lit("?")))
+
+
+@query("q_split_labels", """SELECT source, lang, count(*) FILTER (WHERE k = 0) AS test, count(*) FILTER (WHERE k = 1) AS dev, count(*) FILTER (WHERE k > 1) AS train FROM (SELECT source, lang, ('0x' || substr(md5(coalesce(source, '?') || ':' || doc_id // 10), 1, 8))::BIGINT % 5 AS k FROM documents) GROUP BY source, lang""")
+def split_labels(t, spark):
+    """Labels by split, where the split of a group of documents follows from a hash of its name."""
+    name = F.concat(F.coalesce("source", F.lit("?")), F.lit(":"), F.floor(F.col("doc_id") / 10).cast("string"))
+    k = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % 5
+    d = t("documents").select("source", "lang", k.alias("k"))
+    return d.groupBy("source", "lang").agg(F.count_if(F.col("k") == 0).alias("test"), F.count_if(F.col("k") == 1).alias("dev"), F.count_if(F.col("k") > 1).alias("train"))
+
+
 @query("q_crosstab", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS \"F\", count(*) FILTER (WHERE l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY ALL")
 def crosstab(t, spark):
     """A25."""

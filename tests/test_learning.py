@@ -197,3 +197,17 @@ def test_sweep_extends_at_the_lower_end_and_refuses(spark):
         own = {s: folds.nested_leave_one_out(df, "source", F.lit(1), "label", CLASSES, ["p", "q", "r"], [c], 1).where(F.col("fold") == s) for s in "a"}
         assert high[c].worst_f1 <= high[c].mean_f1 <= 1 and own["a"].count() <= 1
     assert folds.leave_one_out_sweep(df.limit(0), "source", "label", CLASSES, ["p"], [1.0], []).count() == 0
+
+
+def test_residual_pairs_and_the_guard(spark):
+    from tallyframe.operators import relations as J
+
+    groups = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "k long, g string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (4, 4), (3, 9)], "a long, b long")
+    got = sorted((r.a, r.b, r.group_a, r.group_b) for r in J.residual_pairs(pairs, groups, "k", "g").collect())
+    assert got == [(1, 3, "x", "y"), (2, 4, "x", None), (3, 9, "y", None), (4, 4, None, None)]
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "k long")
+    assert sorted(tuple(r) for r in J.guarded(rows(1, 2), groups, pairs, "k", "g").collect()) == [(1, "x"), (2, "x")]
+    for bad, why in (((1, 3), "different groups"), ((1, 4), "without a group"), ((1, 9), "without a group")):
+        with pytest.raises(ValueError, match=why):
+            J.guarded(rows(*bad), groups, pairs, "k", "g")
