@@ -1,4 +1,4 @@
-"""Nested leave-one-source-out evaluation from sufficient statistics.
+"""Nested leave-one-source-out evaluation, and a probe within sources, from sufficient statistics.
 
 The statistics of a fit (here of normal densities by class and feature) add up over rows. So one aggregation by
 (source, inner fold, class) holds those of every training set there is: the total, less the source left out, less the
@@ -61,10 +61,10 @@ def macro_f1(counts: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
     return g.select(*by, "rows", (F.col("hits") / F.col("rows")).alias("acc"), (total / present).alias("macro_f1"))
 
 
-def _rows(df: DataFrame, source: str, inner: Column, label: str, classes: list[str], features: list[str], mask: Column | None) -> DataFrame:
-    """The rows that can be trained on or tested, as _source, _inner, truth, _use and the features."""
+def _rows(df: DataFrame, source: str, inner: Column, label: str, classes: list[str], features: list[str], mask: Column | None, *more: Column) -> DataFrame:
+    """The rows that can be trained on or tested, as _source, _inner, truth, _use, the features and more."""
     use = F.coalesce(mask, F.lit(False)) if mask is not None else F.lit(True)
-    own = df.select(F.col(source).alias("_source"), F.coalesce(inner, F.lit(0)).alias("_inner"), F.col(label).alias("truth"), use.alias("_use"), *[F.col(f).cast("double").alias(f) for f in features])
+    own = df.select(F.col(source).alias("_source"), F.coalesce(inner, F.lit(0)).alias("_inner"), F.col(label).alias("truth"), use.alias("_use"), *[F.col(f).cast("double").alias(f) for f in features], *more)
     rows = own.where(F.col("truth").isin(classes)).dropna(subset=["_source", "truth", *features])
     for f in features:
         rows = rows.where(~F.isnan(f))
@@ -76,14 +76,14 @@ def _names(features: list[str]) -> list[str]:
     return ["n", *[f"s{j}" for j in range(len(features))], *[f"q{j}" for j in range(len(features))]]
 
 
-def _statistics(trained: DataFrame, features: list[str]) -> DataFrame:
+def _statistics(trained: DataFrame, features: list[str], *by: str) -> DataFrame:
     squares = [F.sum(F.col(f) * F.col(f)).alias(f"q{j}") for j, f in enumerate(features)]
     sums = [F.count("*").alias("n"), *[F.sum(f).alias(f"s{j}") for j, f in enumerate(features)], *squares]
-    return materialize(trained.groupBy("_source", "_inner", "truth").agg(*sums), "fold-statistics")
+    return materialize(trained.groupBy("_source", "_inner", "truth", *by).agg(*sums), "fold-statistics")
 
 
 def _figures(stats: DataFrame) -> list[str]:
-    return [c for c in stats.columns if c not in ("_source", "_inner", "truth")]
+    return [c for c in stats.columns if c != "truth" and not c.startswith("_")]
 
 
 def _added(stats: DataFrame, *by: str) -> DataFrame:
@@ -196,3 +196,60 @@ def leave_one_out_sweep(df: DataFrame, source: str, label: str, classes: list[st
         means |= {r["choice"]: r["mean_f1"] for r in more.collect()}
         found = found.unionByName(more)
     return found.select("choice", "mean_f1", "worst_f1", "pooled_f1", F.lit(extended).alias("extended"), (F.col("choice") == top(means)).alias("best"))
+
+
+def within_source_probe(df: DataFrame, source: str, group: str, label: str, classes: list[str], features: list[str], smooth: float = 0.01, folds: int = 5, draws: int = 20, seed: int = 7) -> DataFrame:
+    """source, rows, groups, acc, macro_f1, null_mean, null_low, null_high, p_value: can the features tell the class within
+    one source? Features that should not know it (of borders, of a camera) and yet can are a shortcut.
+
+    Groups are dealt to folds by a hash; each fold is predicted from the source's other folds. The null: `draws` times,
+    each group gets one class for all its rows, drawn by a hash from the source's shares of groups (a group counts for its
+    commonest class, of equals the first), and the same folds are judged again; its mean, least and greatest macro F1 and
+    the share of draws, the real one among them, that do as well. Statistics of groups add up, so that the draws relabel
+    groups, not rows, and all draws of all sources are one aggregation and one pass. A source of one group or one class has
+    null figures; a row whose fold is all of its source counts as missed. Rows are left out as in nested_leave_one_out,
+    those without a group too.
+    """
+    named = df.where(F.col(group).isNotNull())
+    rows = _rows(named, source, inner_fold(F.col(group), folds), label, classes, features, None, F.col(group).cast("string").alias("_group"))
+    stats = _statistics(rows, features, "_group")
+    place = F.array_position(F.array(*map(F.lit, classes)), F.col("truth"))
+    own = stats.groupBy("_source", "_group").agg(F.max_by("truth", F.struct("n", -place)).alias("y"))
+    per_class = [F.count_if(F.col("y") == c).alias(f"_c{i}") for i, c in enumerate(classes)]
+    shares = own.groupBy("_source").agg(F.count("*").alias("_groups"), *per_class)
+    shares = materialize(shares.join(stats.groupBy("_source").agg(F.count_distinct("truth").alias("_classes")), "_source"), "group-shares")
+    n_sources = shares.count()
+
+    def drawn() -> Column:
+        """The class of _group in draw _draw; in draw 0 the row's own."""
+        h = F.md5(F.concat_ws(":", F.lit(seed), "_draw", F.col("_source").cast("string"), "_group"))
+        u = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(2.0**32) * F.col("_groups")
+        below, pick = F.lit(0), F.lit(None).cast("string")
+        cases = []
+        for i, c in enumerate(classes):
+            below = below + F.col(f"_c{i}")
+            cases.append((u < below, c))
+        for met, c in cases[::-1]:
+            pick = F.when(met, c).otherwise(pick)
+        return F.when(F.col("_draw") == 0, F.col("truth")).otherwise(pick)
+
+    kept = ["_source", "_inner", "_draw", "truth", *_names(features)]
+    spread = stats.join(_small(shares, n_sources), "_source").withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    per = materialize(_added(spread.withColumn("truth", drawn()).select(*kept), "_source", "_inner", "_draw", "truth"), "draw-statistics")
+    each = _added(per, "_source", "_draw", "truth").withColumn("_inner", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    models = _models(_without(per, ["_source", "_inner", "_draw"], each), ["_source", "_inner", "_draw"], classes, features)
+    models = models.join(_small(shares, n_sources), "_source")
+    met = rows.join(_small(models, n_sources * folds * (draws + 1)), ["_source", "_inner"]).withColumn("truth", drawn())
+    told = _with_said(met, features, classes, [F.lit(float(smooth))])
+    counts = told.groupBy("_source", "_draw", "truth", F.col("_said")[0].alias("said")).agg(F.count("*").alias("n"))
+    judged = macro_f1(counts, ["_source", "_draw"], classes).withColumn("_f", F.round("macro_f1", 9))
+    real, null = F.col("_draw") == 0, F.when(F.col("_draw") > 0, F.col("macro_f1"))
+    of = judged.groupBy("_source").agg(
+        F.max(F.when(real, F.col("rows"))).alias("rows"), F.max(F.when(real, F.col("acc"))).alias("acc"), F.max(F.when(real, F.col("macro_f1"))).alias("macro_f1"),
+        F.avg(null).alias("null_mean"), F.min(null).alias("null_low"), F.max(null).alias("null_high"), F.array_agg("_f").alias("_all"), F.max(F.when(real, F.col("_f"))).alias("_real"),
+    )
+    judgable = (F.col("_groups") > 1) & (F.col("_classes") > 1)
+    p = F.size(F.filter("_all", lambda f: f >= F.col("_real"))) / (draws + 1)
+    figures = {**{c: F.col(c) for c in ("acc", "macro_f1", "null_mean", "null_low", "null_high")}, "p_value": p}
+    out = of.join(_small(shares, n_sources), "_source")
+    return out.select(F.col("_source").alias("source"), "rows", F.col("_groups").alias("groups"), *[F.when(judgable, c).alias(n) for n, c in figures.items()])

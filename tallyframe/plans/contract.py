@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.catalog import query
 from tallyframe.functions import results as R
 from tallyframe.operators import metrics as M
-from tallyframe.sources import manifest, sinks
+from tallyframe.sources import archives, manifest, sinks
 from tallyframe.storage import scratch
 
 _PER = "SELECT o_orderkey, count(l_orderkey) AS total, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r, o_orderkey % 5 AS k FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
@@ -218,3 +221,22 @@ def photo_devices(t, spark):
     photos = c.unionByName(c.where("name_paper % 10 = 1")).unionByName(c.where("name_paper % 10 = 0").withColumn("device_id", F.col("device_id") + 1))
     devices = t("nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("device_id"), F.col("n_name").alias("name"))
     return manifest.photos_with_devices(photos, devices)[0].select(F.col("name_paper").alias("c_custkey"), "device")
+
+
+@query("q_archive_members", """WITH m AS (SELECT page_id // 4 AS archive, CASE WHEN html IS NULL THEN '' ELSE html END AS html, url, regexp_replace(coalesce(url, ''), '^https://', '') || '.html' AS name FROM pages)
+SELECT archive, count(*) AS members, sum(octet_length(encode(html)))::BIGINT AS bytes, max(md5(html)) AS last_md5, CASE WHEN bool_or(contains(name, ':')) THEN 'drive' WHEN count(DISTINCT lower(name)) < count(*) THEN 'repeated' END AS reason FROM m GROUP BY archive""")
+def archive_members(t, spark):
+    """Pages packed by fours under their addresses and read as archives; an address that keeps its scheme
+    (http:) or is there twice refuses the archive."""
+    name = F.concat(F.regexp_replace(F.coalesce("url", F.lit("")), "^https://", ""), F.lit(".html"))
+    pages = t("pages").select(F.expr("page_id div 4").alias("archive"), name.alias("name"), F.coalesce("html", F.lit("")).alias("html"))
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, html in zip(rows["name"], rows["html"], strict=True):
+                z.writestr(name, html)
+        return pd.DataFrame({"archive": rows["archive"].iloc[:1], "content": [out.getvalue()]})
+
+    found = archives.members(pages.groupBy("archive").applyInPandas(packed, "archive long, content binary"), "archive", "content")
+    return found.groupBy("archive").agg(F.count("member").alias("members"), F.sum(F.octet_length("content")).alias("bytes"), F.max(F.md5("content")).alias("last_md5"), F.min("reason").alias("reason"))

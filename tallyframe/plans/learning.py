@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog import query
 from tallyframe.operators import forest, models, network
-from tallyframe.operators.folds import leave_one_out_sweep, nested_leave_one_out
+from tallyframe.operators.folds import leave_one_out_sweep, nested_leave_one_out, within_source_probe
 
 CLASSES = ["A", "N", "R"]
 GRID = [0.01, 1.0, 100.0]
@@ -80,3 +80,21 @@ def sweep(t, spark):
     """The smoothings of the grid, and below it if the best is at its lower end."""
     out = leave_one_out_sweep(shipped(t), "l_linenumber", "l_returnflag", CLASSES, ["days", "quantity"], GRID, BELOW)
     return out.select("choice", *[F.round(c, 6).alias(c) for c in ("mean_f1", "worst_f1", "pooled_f1")], "extended", "best")
+
+
+@query("q_shortcut_probe", f"""WITH r AS (SELECT row_number() OVER () AS id, l_linenumber AS source, l_suppkey::VARCHAR AS g, (('0x' || substr(md5(l_suppkey::VARCHAR), 1, 8))::BIGINT % 3)::INT AS k, l_returnflag AS truth,
+date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 100 AS a, l_quantity / 10 AS b FROM lineitem), i AS (SELECT unnest(range(3)) AS k), d AS (SELECT unnest(range(11)) AS d), e AS (SELECT 0.01::DOUBLE AS c),
+gl AS (SELECT source, g, truth AS y FROM r GROUP BY source, g, truth QUALIFY row_number() OVER (PARTITION BY source, g ORDER BY count(*) DESC, truth) = 1),
+sh AS (SELECT source, count(*) AS groups, count(*) FILTER (WHERE y = 'A') AS ca, count(*) FILTER (WHERE y = 'N') AS cn FROM gl GROUP BY source),
+u AS (SELECT source, g, d, ('0x' || substr(md5(concat_ws(':', 7, d, source, g)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * groups AS u, ca, cn FROM gl JOIN sh USING (source), d),
+x AS (SELECT id, source, k, d, CASE WHEN d = 0 THEN truth WHEN u < ca THEN 'A' WHEN u < ca + cn THEN 'N' ELSE 'R' END AS truth, a, b FROM r JOIN u USING (source, g)),
+m AS (SELECT source, d, i.k, truth AS said, count(*) AS n, sum(a) AS sa, sum(a * a) AS qa, sum(b) AS sb, sum(b * b) AS qb FROM x, i WHERE x.k <> i.k GROUP BY ALL),
+v AS (SELECT source, d, id, truth, said, row_number() OVER (PARTITION BY source, d, id ORDER BY ln(n) - {_LL} DESC, said) AS rn FROM x JOIN m USING (source, d, k), e),
+vc AS (SELECT source AS held, d AS c, truth, said, count(*) AS n FROM v WHERE rn = 1 GROUP BY ALL), vf AS ({_f1("vc")}), re AS (SELECT held, rows, acc, f FROM vf WHERE c = 0)
+SELECT held AS source, any_value(re.rows)::BIGINT AS rows, any_value(groups) AS groups, round(any_value(re.acc), 6) AS acc, round(any_value(re.f), 6) AS macro_f1, round(avg(vf.f) FILTER (WHERE c > 0), 6) AS null_mean,
+round(min(vf.f) FILTER (WHERE c > 0), 6) AS null_low, round(max(vf.f) FILTER (WHERE c > 0), 6) AS null_high, round(count(*) FILTER (WHERE round(vf.f, 9) >= round(re.f, 9)) / 11, 6) AS p_value
+FROM vf JOIN re USING (held) JOIN sh ON source = held GROUP BY held""")
+def shortcut_probe(t, spark):
+    """Within each line number, what day and quantity say of the class, suppliers being the groups."""
+    out = within_source_probe(shipped(t), "l_linenumber", "l_suppkey", "l_returnflag", CLASSES, ["days", "quantity"], 0.01, 3, 10)
+    return out.select("source", "rows", "groups", *[F.round(c, 6).alias(c) for c in ("acc", "macro_f1", "null_mean", "null_low", "null_high", "p_value")])

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.paths import stem, unsafe_reason
+from tallyframe.functions.paths import stem
 from tallyframe.operators.relations import lookup, require_empty
 
 #: The manifest's columns and the image types that are read.
@@ -142,46 +142,6 @@ def survey(spark: SparkSession, root: str) -> DataFrame:
     return f.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), ext.alias("extension")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(ext.isin(*IMAGES)).alias("images"))
 
 
-def unpack(archive: str, target: str) -> list[str]:
-    """Extracts a zip as a whole or not at all: every member's path is judged, all are tested and written to a folder
-    beside the target, which is then renamed. Returns the names. Driver-side, for the ingest of one archive."""
-    import shutil
-    import tempfile
-    import zipfile
-
-    place = Path(target)
-    if place.exists():
-        raise FileExistsError(target)
-    with zipfile.ZipFile(archive) as z:
-        names = [i.filename for i in z.infolist() if not i.is_dir()]
-        for n in names:
-            if (why := unsafe_name(n)) is not None:
-                raise ValueError(f"unsafe member {n!r}: {why}")
-        if len({n.casefold() for n in names}) < len(names):
-            raise ValueError("members that differ in case only")
-        staged = Path(tempfile.mkdtemp(prefix=place.name, dir=place.parent))
-        try:
-            if (broken := z.testzip()) is not None:
-                raise ValueError(f"broken member {broken!r}")
-            z.extractall(staged)
-            staged.rename(place)
-        except BaseException:
-            shutil.rmtree(staged, ignore_errors=True)
-            raise
-    return names
-
-
-def unsafe_name(name: str) -> str | None:
-    """unsafe_reason for one name."""
-    if "\x00" in name:
-        return "nul"
-    if name[:1] in ("/", "\\"):
-        return "absolute"
-    if ".." in name.replace("\\", "/").split("/"):
-        return "parent"
-    return "drive" if ":" in name else None
-
-
 def data_dir(variable: str = "TALLYFRAME_DATA", settings: str = "tallyframe.json") -> str:
     """The data folder: from the environment, else from a settings file; never a silent default."""
     found = os.environ.get(variable)
@@ -201,6 +161,3 @@ def refill(cache: DataFrame, rows: DataFrame, key: str, compute: Callable[[DataF
     full = cache.unionByName(compute(todo))
     require_empty(rows.join(full.select(key), key, "left_anti").select(key), "rows without a cached value")
     return full
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["unsafe_reason"]

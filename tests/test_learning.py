@@ -211,3 +211,58 @@ def test_residual_pairs_and_the_guard(spark):
     for bad, why in (((1, 3), "different groups"), ((1, 4), "without a group"), ((1, 9), "without a group")):
         with pytest.raises(ValueError, match=why):
             J.guarded(rows(*bad), groups, pairs, "k", "g")
+
+
+def test_shortcut_probe_against_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s, n in (("told", 90), ("noise", 90), ("one class", 20), ("one group", 12)):
+        for i in range(n):
+            g = f"{s}{0 if s == 'one group' else i % 15}"
+            y = "A" if s == "one class" else CLASSES[(i % 15) % 3]
+            rows.append((s, g, y, round(CLASSES.index(y) * (3.0 if s == "told" else 0.0) + float(rng.normal()), 3)))
+    df = spark.createDataFrame([*rows, ("told", None, "A", 0.0), ("told", "told1", "other", 1.0), (None, "g", "A", 1.0), ("told", "told1", "A", float("nan"))], "s string, g string, y string, x double")
+    got = {r.source: r for r in folds.within_source_probe(df, "s", "g", "y", CLASSES, ["x"], smooth=0.1, folds=3, draws=12, seed=4).collect()}
+    assert set(got) == {"told", "noise", "one class", "one group"}
+    fold = lambda g: int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % 3
+
+    def judged(part):
+        hits = {c: [0, 0, 0] for c in CLASSES}
+        for _, g, y, x in part:
+            best = None
+            for c in CLASSES:
+                train = [r[3] for r in part if r[2] == c and fold(r[1]) != fold(g)]
+                if train:
+                    var = max(np.mean(np.square(train)) - np.mean(train) ** 2, 0) + 0.1
+                    score = math.log(len(train)) - (math.log(var) + (x - np.mean(train)) ** 2 / var) / 2
+                    best = max(best or (-math.inf, ""), (score, c), key=lambda b: b[0])
+            hits[y][0] += best is not None and best[1] == y
+            hits[y][1] += 1
+            if best:
+                hits[best[1]][2] += 1
+        return float(np.mean([2 * h / (t + p) for h, t, p in hits.values() if t]))
+
+    for s in ("told", "noise"):
+        part = [r for r in rows if r[0] == s]
+        of = {}
+        for g in sorted({r[1] for r in part}):
+            ys = [r[2] for r in part if r[1] == g]
+            of[g] = max(CLASSES, key=ys.count)
+        null = []
+        for d in range(1, 13):
+            drawn = {}
+            for g in of:
+                u = int(hashlib.md5(f"4:{d}:{s}:{g}".encode()).hexdigest()[:8], 16) / 2**32 * len(of)
+                cum = np.cumsum([list(of.values()).count(c) for c in CLASSES])
+                drawn[g] = CLASSES[int(np.searchsorted(cum, u, side="right"))]
+            null.append(judged([(s, g, drawn[g], x) for _, g, _, x in part]))
+        real = judged(part)
+        r = got[s]
+        assert (r.rows, r.groups) == (90, 15) and r.macro_f1 == pytest.approx(real)
+        assert (r.null_mean, r.null_low, r.null_high) == pytest.approx((np.mean(null), min(null), max(null)))
+        assert r.p_value == pytest.approx((1 + sum(round(n, 9) >= round(real, 9) for n in null)) / 13)
+    assert got["told"].p_value < 0.1 and got["told"].macro_f1 > 0.9 and got["noise"].macro_f1 < 0.7
+    for s in ("one class", "one group"):
+        assert (got[s].acc, got[s].macro_f1, got[s].null_mean, got[s].p_value) == (None,) * 4
+    none = folds.within_source_probe(df.limit(0), "s", "g", "y", CLASSES, ["x"])
+    assert none.count() == 0

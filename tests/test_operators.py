@@ -1,5 +1,6 @@
 """The library's operators on small frames, and its queries against DuckDB."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -15,6 +16,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyframe import catalog
@@ -26,7 +28,7 @@ from tallyframe.operators import relations as J
 from tallyframe.operators import scoring as S
 from tallyframe.operators import sequential as Q
 from tallyframe.operators.graph import connected_components
-from tallyframe.sources import manifest, sinks
+from tallyframe.sources import archives, manifest, sinks
 from tallyframe.streaming import market
 
 SF = "/root/testdata/sf0.001"
@@ -350,10 +352,22 @@ def test_clusters_and_ordered_labels():
     assert k == 1 and set(label) == {2}
 
 
-def test_splits():
-    assert Q.fill_split([("a", 3), ("b", 5), ("c", 2)], 5) == {"a": "dev", "b": "frozen", "c": "dev"}
-    with pytest.raises(ValueError):
-        Q.fill_split([("a", 3)], 2)
+def test_group_split_walks_like_a_loop(spark):
+    for seed, sizes, target in [(1, [3, 5, 2, 9, 1, 4, 1, 7, 2, 6] * 3, 40), (2, [8, 8, 8, 1, 1], 11), (3, [2, 2], 4), (4, [5], 0), (5, [9, 9], 4)]:
+        rows = [(f"g{i}",) for i, n in enumerate(sizes) for _ in range(n)] + [(None,)]
+        want, used = {}, 0
+        for g in sorted({r[0] for r in rows[:-1]}, key=lambda g: (hashlib.md5(f"{seed}:{g}".encode()).hexdigest(), g)):
+            n = sizes[int(g[1:])]
+            want[g] = "dev" if used + n <= target else "frozen"
+            used += n if want[g] == "dev" else 0
+        df = spark.createDataFrame(rows, "g string").repartition(3)
+        assert {r.g: r.half for r in Q.group_split(df, "g", target, seed, exact=False).collect()} == want
+        if used == target:
+            assert Q.group_split(df, "g", target, seed).count() == len(want)
+        else:
+            with pytest.raises(ValueError):
+                Q.group_split(df, "g", target, seed)
+    assert Q.group_split(spark.createDataFrame([], "g string"), "g", 3, 1, exact=False).count() == 0
 
 
 def test_folds_take_every_class_of_every_group(spark):
@@ -459,20 +473,31 @@ def test_photo_metadata(spark, tmp_path):
     assert {r.name_paper for r in rejects.collect()} == {"b"}
 
 
-def test_archives(tmp_path):
+def test_archives(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
     def make(name, members):
-        with zipfile.ZipFile(tmp_path / name, "w") as z:
+        with zipfile.ZipFile(tmp_path / "in" / name, "w") as z:
             for m in members:
-                z.writestr(m, "x")
-        return str(tmp_path / name)
-
-    assert manifest.unpack(make("ok.zip", ["a/b.txt"]), str(tmp_path / "out")) == ["a/b.txt"] and (tmp_path / "out/a/b.txt").exists()
-    for bad in (["../x"], ["/x"], ["c:x"], ["A", "a"]):
-        with pytest.raises(ValueError):
-            manifest.unpack(make("bad.zip", bad), str(tmp_path / "bad"))
-        assert not (tmp_path / "bad").exists()
-    with pytest.raises(FileExistsError):
-        manifest.unpack(make("again.zip", ["a"]), str(tmp_path / "out"))
+                z.writestr(m, m * 3)
+
+    bad = {"parent.zip": ["ok", "../x"], "absolute.zip": ["/x"], "drive.zip": ["c:x"], "repeated.zip": ["A", "a", "b"]}
+    for name, m in bad.items():
+        make(name, m)
+    make("ok.zip", ["a/b.txt", "c", "empty/"])
+    make("none.zip", [])
+    (tmp_path / "in" / "not_an_archive.zip").write_bytes(b"no zip at all")
+    (tmp_path / "in" / "other.txt").write_bytes(b"not read")
+    make("broken.zip", ["first", "second"])
+    raw = (tmp_path / "in" / "broken.zip").read_bytes()
+    (tmp_path / "in" / "broken.zip").write_bytes(raw.replace(b"second" * 3, b"sEcond" * 3))
+    refused = archives.ingest_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {Path(r.archive).name: r.reason for r in refused.collect()} == {f"{n}.zip": n for n in ("parent", "absolute", "drive", "repeated", "not_an_archive", "broken")}
+    assert {(Path(r.archive).name, r.member, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("ok.zip", "a/b.txt", b"a/b.txt" * 3), ("ok.zip", "c", b"ccc")}
+    with pytest.raises(AnalysisException):
+        archives.ingest_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    with_null = archives.members(spark.createDataFrame([(None, None), (1, bytearray(b""))], "k long, c binary"), "k", "c")
+    assert {r.reason for r in with_null.collect()} == {"not_an_archive"} and archives.taken_and_refused(with_null)[0].count() == 0
 
 
 def test_sinks(spark, tmp_path):
