@@ -2,17 +2,19 @@
 
 The distinct pre-tokens of a slice of texts, sorted, are a trie: equal prefixes are neighbours. Level by level the
 best score of each prefix is computed once from those of its ancestors up to the longest piece's length above, and
-the number of pieces on its best path is carried along; where a pre-token ends, that number is its count. Where few
-pre-tokens are still alive, each is a chain of the trie without branches that matter, and the same step goes on along it
-from the scores of its ancestors, whatever its length.
+the number of pieces on its best path is carried along; where a pre-token ends, that number is its count. Where the trie
+is narrow, as below long pre-tokens, the rest is walked depth first instead: the scores on the path stay up to where the
+next pre-token leaves it, so each prefix is computed once there too.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ _BASE = np.uint64(0x5851F42D4C957F2D)
 SPACE = "▁"  # stands for the space in front of a word
 #: Scores are whole numbers of this fraction of a nat, so sums are exact in any order and ties are real ties.
 UNIT = 1 << 20
-#: Once so few prefixes are alive, whole levels cost more than single steps.
-CHAINS = 8
+#: From so few live pre-tokens on, the trie is walked depth first, as whole levels cost more than single steps.
+NARROW = 8
 SLICE_CHARS = 1 << 20
 CACHE_ENTRIES = 300_000
 
@@ -71,26 +73,36 @@ class Unigram:
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def chain(self, token: str, depth: int, best: list[tuple[int, int]]) -> int:
-        """The count of a pre-token from its prefix of a depth on; best: (score, less the pieces) of the last prefixes
-        up to that one."""
-        for d in range(depth + 1, len(token) + 1):
-            found = []
-            for n in range(1, min(d, self.longest) + 1):
-                s = self.scores.get(token[d - n : d])
-                b = best[-n]
-                if s is not None:
-                    found.append((b[0] + s, b[1] - 1))
-                elif n == 1:
-                    k = len(token[d - 1].encode())
-                    found.append((b[0] + k * self.fallback, b[1] - k))
-            best.append(max(found))
-            del best[: -self.longest]
-        return -best[-1][1]
+    def _walk(self, tokens: list[str], depth: int, above: list[tuple[int, int]]) -> list[int]:
+        """The counts of sorted pre-tokens below one prefix of a depth, depth first; above: (score, less the pieces) of
+        the last prefixes up to that one."""
+        score, less = array("q", [s for s, _ in above]), array("q", [k for _, k in above])
+        base = len(above) - 1 - depth  # the prefix of length d is at d + base
+        out, before = [], ""
+        for token in tokens:
+            kept = max(depth, len(commonprefix((before, token))))
+            del score[kept + base + 1 :], less[kept + base + 1 :]
+            for d in range(kept + 1, len(token) + 1):
+                top = None
+                for n in range(1, min(d, self.longest) + 1):
+                    s, at = self.scores.get(token[d - n : d]), d - n + base
+                    if s is not None:
+                        got = (score[at] + s, less[at] - 1)
+                    elif n == 1:
+                        k = len(token[d - 1].encode())
+                        got = (score[at] + k * self.fallback, less[at] - k)
+                    else:
+                        continue
+                    top = got if top is None or got > top else top
+                score.append(top[0])
+                less.append(top[1])
+            out.append(-less[-1])
+            before = token
+        return out
 
     def plain(self, token: str) -> int:
         """The count by the recurrence over one pre-token, without a trie."""
-        return self.chain(token, 0, [(0, 0)])
+        return self._walk([token], 0, [(0, 0)])[0]
 
     def count_distinct(self, tokens: list[str]) -> np.ndarray:
         """Counts of distinct pre-tokens, which must be sorted."""
@@ -107,13 +119,13 @@ class Unigram:
         for d in range(1, int(size.max(initial=0)) + 1):
             live = size[rows] >= d
             rows, node = rows[live], node[live]
-            if len(rows) <= CHAINS:
-                for r, at in zip(rows.tolist(), node.tolist(), strict=True):
-                    best_of = []
+            if len(rows) <= NARROW:
+                for at in dict.fromkeys(node.tolist()):
+                    own, above = rows[node == at].tolist(), []
                     for _, best, count, parent in reversed(levels[-self.longest :]):
-                        best_of.append((int(best[at]), -int(count[at])))
+                        above.append((int(best[at]), -int(count[at])))
                         at = int(parent[at])
-                    out[r] = self.chain(tokens[r], d - 1, best_of[::-1])
+                    out[own] = self._walk([tokens[r] for r in own], d - 1, above[::-1])
                 break
             c = chars[offset[rows] + d - 1]
             new = np.ones(len(rows), bool)

@@ -72,6 +72,28 @@ def test_token_counts_equal_the_recurrence():
     assert u.count_distinct(long).tolist() == [u.plain(w) for w in long]
 
 
+def test_narrow_tries_are_walked_once(monkeypatch):
+    u = tokencount.unigram(P.path("piece_bpe_32k.model"))
+    rnd = random.Random(8)
+    stem = tokencount.SPACE + "".join(rnd.choice("thesing日🙂é") for _ in range(3000))
+    words = sorted({stem, stem + "a", stem + "ab", stem[:2000] + "zz", stem[:1], stem[:7] + "q", "x" * 40})
+    got = u.count_distinct(words).tolist()
+    assert got == [u.plain(w) for w in words]
+    monkeypatch.setattr(tokencount, "NARROW", 0)  # level by level to the end
+    assert got == u.count_distinct(words).tolist()
+    asked = []
+
+    class Asked(dict):
+        def get(self, piece):
+            asked.append(1)
+            return dict.get(self, piece)
+
+    monkeypatch.setattr(tokencount, "NARROW", 8)
+    monkeypatch.setattr(u, "scores", Asked(u.scores))
+    u.count_distinct(words)
+    assert len(asked) <= (3000 + 40 + 20) * u.longest  # one step a prefix, however many share it
+
+
 def test_token_counts_brute_force_over_all_cuts():
     u = tokencount.Unigram({"a": -3, "ab": -4, "b": -3, "abc": -6, "bc": -2, "▁": -1, "▁a": -3}, -10)
 
