@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.catalog import query
 from tallyframe.functions import paths as P
+from tallyframe.functions import quality
 from tallyframe.operators import ranking as R
 from tallyframe.operators import relations as J
 
@@ -246,3 +247,31 @@ def trigger(t, spark):
     """P22."""
     c = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sort_array(F.array(*[F.count_if(F.col("l_returnflag") == x) for x in "ANR"]), False)[1].alias("second"))
     return c.select("l_orderkey", ((F.col("n") >= 4) & (F.col("second") / F.col("n") >= 0.25)).alias("would_trigger"))
+
+
+#: Measures as digits of a text's hash; of 16 values each.
+_DIGITS = ", ".join(f"('0x' || substr(md5(coalesce(text, '')), {i}, 1))::INT AS d{i}" for i in range(1, 17))
+_TOLD = {
+    "md5(coalesce(text, '')) <> md5(trim(coalesce(text, ''), ' '))": "manifest_hash_mismatch", "d1 NOT BETWEEN 1 AND 8": "exif_orientation_invalid", "d2 = 0": "decode_failed", "d2 > 0 AND d3 = 0": "roi_invalid",
+}
+_LATER = {
+    "n_chars < 128": "low_resolution", "d4 * 8 < 32": "small_bean_bbox", "d5 = 0": "annotation_class_invalid", "d5 > 0 AND d6 % 6 <> d7 % 6": "label_annotation_mismatch", "d7 % 6 = 3": "non_target_mixed", "d7 % 6 > 3": "unknown_label",
+    "contains(text, 'Maw')": "ambiguous_maw", "d8 = 1": "low_multiscale_detail", "d9 = 1": "low_texture", "d10 * 4 >= 35 AND d11 / 16 < 0.25": "compression_review", "d12 < 8": "wb_not_applied", "d13 = 1": "pipeline_full_fallback",
+    "d14 / 15 < 0.5": "pipeline_background_selection", "(d15 < 8) <> (d12 < 8)": "wb_train_pipeline_mismatch", "d16 / 32 > 0.15": "black_clipping_review",
+}
+_CASES = ", ".join([*[f"CASE WHEN {c} THEN '{n}' END" for c, n in _TOLD.items()], *[f"CASE WHEN d2 > 0 AND d3 > 0 AND ({c}) THEN '{n}' END" for c, n in _LATER.items()]])
+
+
+@query("q_quality_rules", f"WITH d AS (SELECT doc_id, text, n_chars, {_DIGITS} FROM documents) SELECT doc_id, array_to_string(list_filter([{_CASES}], lambda x: x IS NOT NULL), ',') AS flags, d2 = 0 OR d3 = 0 AS hard_exclude FROM d")
+def quality_rules(t, spark):
+    """All rules over measures, which here are digits of a text's hash and its length."""
+    text = F.coalesce("text", F.lit(""))
+    d = lambda i: F.conv(F.substring(F.md5(text), i, 1), 16, 10).cast("int")
+    label = lambda i: F.element_at(F.array(*map(F.lit, ("light", "medium", "dark", "mixed", "other", "light "))), d(i) % 6 + 1)
+    measured = t("documents").select(
+        "doc_id", F.md5(text).alias("md5"), F.md5(F.trim(text)).alias("md5_actual"), (d(2) > 0).alias("decoded"), (d(3) > 0).alias("roi_fits"), d(1).alias("orientation"), F.col("n_chars").alias("view_short"),
+        (d(4) * 8).alias("box_short_median"), (d(5) > 0).alias("annotation_class_known"), label(6).alias("annotation_label"), label(7).alias("label"), F.col("text").alias("label_orig"), (d(8) == 1).alias("blurred"),
+        (d(9) == 1).alias("textureless"), (d(10) * 4).alias("mean_quantizer"), (d(11) / 16).alias("bytes_per_pixel"), (d(12) >= 8).alias("white_balanced"), F.when(d(13) == 1, "full").otherwise("beans").alias("mode"),
+        (d(14) / 15).alias("selected_inside_boxes"), (d(15) >= 8).alias("boxes_white_balanced"), (d(16) / 32).alias("black_clipped"),
+    )
+    return quality.judged(measured).select("doc_id", F.array_join("flags", ",").alias("flags"), "hard_exclude")

@@ -125,7 +125,8 @@ def start_ingest(lines: DataFrame, folder: str, checkpoint: str, then: Callable[
 
 
 def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, f"{folder}/predictions", PREDICTIONS)
+    """The stored predictions. Parts written before there was a column estimated count as exact."""
+    return _table(spark, f"{folder}/predictions", PREDICTIONS).withColumn("estimated", F.coalesce("estimated", F.lit(0)))
 
 
 def counted(predictions: DataFrame) -> DataFrame:

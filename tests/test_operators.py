@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tallyframe import catalog
 from tallyframe.functions import events as E
 from tallyframe.functions import paths as P
+from tallyframe.functions import quality
 from tallyframe.operators import metrics as M
 from tallyframe.operators import ranking as R
 from tallyframe.operators import relations as J
@@ -500,6 +501,29 @@ def test_archives(spark, tmp_path):
     assert {r.reason for r in with_null.collect()} == {"not_an_archive"} and archives.taken_and_refused(with_null)[0].count() == 0
 
 
+def test_quality_rules_stop_and_take_what_is_there(spark):
+    rows = [(1, "a", "b", True, True, 0, 10.0, "light"), (2, "a", "a", False, True, 9, 10.0, "light"), (3, "a", "a", True, False, 1, 10.0, "green"), (4, None, "a", None, None, None, None, None), (5, "a", "a", True, True, 8, 128.0, "odd")]
+    df = spark.createDataFrame(rows, "k int, md5 string, md5_actual string, decoded boolean, roi_fits boolean, orientation int, view_short double, label string")
+    got = {r.k: (r.flags, r.hard_exclude) for r in quality.judged(df).collect()}
+    assert got == {
+        1: (["manifest_hash_mismatch", "exif_orientation_invalid", "low_resolution"], False), 2: (["exif_orientation_invalid", "decode_failed"], True), 3: (["roi_invalid"], True), 4: ([], False), 5: (["unknown_label"], False),
+    }
+    more = spark.createDataFrame([(["field_count"], "mixed", "dark", "Maw|Raw", 35.0, 0.2, True, "full", 0.4, False, 0.2, 0.15, "x")], "annotation_faults array<string>, label string, annotation_label string, label_orig string, mean_quantizer double, bytes_per_pixel double, white_balanced boolean, mode string, selected_inside_boxes double, boxes_white_balanced boolean, black_clipped double, white_clipped double, pipeline_error string")
+    assert quality.judged(more).first().flags == ["field_count", "label_annotation_mismatch", "non_target_mixed", "ambiguous_maw", "compression_review", "pipeline_full_fallback", "pipeline_background_selection", "wb_train_pipeline_mismatch", "black_clipping_review", "pipeline_diagnostic_error"]
+
+
+def test_parts_without_estimated_are_read(spark, tmp_path):
+    old = ", ".join(c for c in market.PREDICTIONS.split(", ") if not c.startswith("estimated"))
+    result = '{"status":"ok","label":"light","n_beans":3,"counts":{"light":2,"medium":1,"dark":0}}'
+    spark.createDataFrame([(0, "m0", "2024-01-01T00:00:00", "ok", "light", 0.9, "m", result)], old).write.parquet(str(tmp_path / "predictions" / "batch=0"))
+    spark.createDataFrame([(1, "m1", "2024-01-01T00:00:01", "ok", "light", 0.9, "m", result, 1)], market.PREDICTIONS).write.parquet(str(tmp_path / "predictions" / "batch=1"))
+    stored = market.read_predictions(spark, str(tmp_path))
+    assert sorted((r.msg_id, r.estimated) for r in stored.collect()) == [("m0", 0), ("m1", 1)]
+    assert [(r.ingest_seq, r.estimated) for r in market.newest(stored, 5).collect()] == [(1, True), (0, False)]
+    total = market.totals(stored).first()
+    assert (total.light, total.medium, total.estimated, total.results) == (4, 2, 1, 2)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, [1, 2], {"a": 1.0}), (2, None, None)], "k int, l array<int>, m map<string,double>")
     sinks.write_csv(df, str(tmp_path / "c"), once=True)
