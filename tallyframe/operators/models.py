@@ -9,6 +9,7 @@ model's fixed size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -136,23 +137,35 @@ def score_model(df: DataFrame, spec: dict, prefix: str = "prob_") -> DataFrame:
     return out.select(*df.columns, *[F.col("_p")[i].alias(f"{prefix}{c}") for i, c in enumerate(classes)], label.alias("label_pred"))
 
 
-def fit_softmax(df: DataFrame, features: list[str], label: str, classes: list[str], c: float = 1.0) -> dict:
-    """A multinomial softmax spec with balanced class weights and a squared penalty of strength 1 / c. The optimizer
-    differs from other libraries', so predictions agree rather than weights."""
+def fit_softmax(df: DataFrame, features: list[str], label: str, classes: list[str], c: float = 1.0, weight: str | None = None) -> dict:
+    """A multinomial softmax spec with balanced class weights and a squared penalty of strength 1 / c.
+
+    weight: a column of row weights, 0 or more; they count in the features' means and deviations, in the classes' balance
+    and in the fit, so that a row of weight 2 is as good as two rows. Rows of other classes, and those with a null or NaN
+    in a feature or in the weight, are left out. The optimizer differs from other libraries', so predictions agree rather
+    than weights.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    n = {r[label]: r["count"] for r in df.where(F.col(label).isin(classes)).groupBy(label).count().collect()}
-    if set(n) != set(classes):
+    own = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.where(F.col(label).isin(classes)).select(F.col(label).alias("_l"), own.alias("_w"), *[F.col(x).cast("double").alias(x) for x in features])
+    for x in ("_w", *features):
+        rows = rows.where(F.col(x).isNotNull() & ~F.isnan(x))
+    sums = [F.sum(F.col("_w") * F.col(x)).alias(f"_s{j}") for j, x in enumerate(features)]
+    per = {r["_l"]: r for r in rows.groupBy("_l").agg(F.sum("_w").alias("_n"), *sums).collect()}  # a row a class
+    if set(per) != set(classes) or not all(r["_n"] > 0 for r in per.values()):
         raise ValueError("a class is missing")
-    total = sum(n.values())
-    weight, index = F.lit(0.0), F.lit(-1.0)
+    total = sum(r["_n"] for r in per.values())
+    mean = [sum(r[f"_s{j}"] for r in per.values()) / total for j in range(len(features))]
+    # deviations are summed around the means in a second pass, as differences of squares would lose digits
+    around = rows.agg(*[F.sum(F.col("_w") * (F.col(x) - m) * (F.col(x) - m)).alias(x) for x, m in zip(features, mean, strict=True)]).first()
+    scale = [math.sqrt(around[x] / total) or 1.0 for x in features]
+    balance, index = F.lit(None).cast("double"), F.lit(None).cast("double")
     for i, k in enumerate(classes):
-        weight, index = F.when(F.col(label) == k, total / (len(classes) * n[k])).otherwise(weight), F.when(F.col(label) == k, float(i)).otherwise(index)
-    moments = df.agg(*[f(x).alias(f"{x}_{i}") for x in features for i, f in enumerate((F.avg, F.stddev_pop))]).first()
-    mean, scale = [moments[f"{x}_0"] for x in features], [moments[f"{x}_1"] or 1.0 for x in features]
-    rows = df.select(*[((F.col(x) - m) / s).alias(x) for x, m, s in zip(features, mean, scale, strict=True)], index.alias("_y"), weight.alias("_w"))
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
-    fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1 / (c * total), standardization=False, maxIter=200, tol=1e-9).fit(rows)
+        balance, index = F.when(F.col("_l") == k, total / (len(classes) * per[k]["_n"])).otherwise(balance), F.when(F.col("_l") == k, float(i)).otherwise(index)
+    scaled = rows.select(*[((F.col(x) - m) / s).alias(x) for x, m, s in zip(features, mean, scale, strict=True)], index.alias("_y"), (F.col("_w") * balance).alias("_w"))
+    scaled = VectorAssembler(inputCols=features, outputCol="_x").transform(scaled.where("_w > 0"))
+    fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=1 / (c * total), standardization=False, maxIter=200, tol=1e-9).fit(scaled)
     w = fit.coefficientMatrix.toArray().tolist()
     return {"kind": "softmax", "features": features, "classes": classes, "mean": mean, "scale": scale, "weights": w, "bias": fit.interceptVector.toArray().tolist()}

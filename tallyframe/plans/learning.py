@@ -55,6 +55,16 @@ def forest_fit(t, spark):
     return told.groupBy(F.col("l_returnflag").alias("truth"), F.col("label_pred").alias("said")).agg(F.count("*").alias("n"))
 
 
+@query("q_softmax_fit")
+def softmax_fit(t, spark):
+    """A softmax fitted on all lines, each weighed by its quantity, and what it says of them, counted; the tests hold
+    the gradient of such a fit against zero."""
+    rows, features = shipped(t), ["days", "l_discount", "l_tax"]
+    spec = models.fit_softmax(rows, features, "l_returnflag", CLASSES, c=1.0, weight="quantity")
+    told = models.score_model(rows.select("l_returnflag", *features), spec)
+    return told.groupBy(F.col("l_returnflag").alias("truth"), F.col("label_pred").alias("said")).agg(F.count("*").alias("n"))
+
+
 @query("q_mlp_fit")
 def mlp_fit(t, spark):
     """A small network fitted on all lines and what it says of them, counted; the tests run the same steps in

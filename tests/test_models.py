@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tallyframe.operators import models
@@ -88,3 +89,29 @@ def test_fit_softmax(spark):
         models.fit_softmax(df.where("y <> 'dark'"), ["a", "b"], "y", CLASSES)
     with pytest.raises(ValueError):
         models.scorer_of(spec | {"kind": "oracle"})
+
+
+def test_weighted_softmax_is_where_the_gradient_is_zero(spark):
+    rng = np.random.default_rng(6)
+    n, c = 240, 2.0
+    y = rng.integers(0, 3, n)
+    x = np.stack([y * 1.5 + rng.normal(0, 1, n), rng.normal(50, 9, n)], 1)
+    w = rng.integers(0, 4, n).astype(float)
+    names = [CLASSES[i] for i in y]
+    rows = [(float(a), float(b), k, float(q)) for (a, b), k, q in zip(x, names, w)]
+    odd = [(1.0, 2.0, "other", 1.0), (None, 2.0, CLASSES[0], 1.0), (1.0, float("nan"), CLASSES[0], 1.0), (1.0, 2.0, CLASSES[0], None), (1.0, 2.0, None, 1.0)]
+    schema = "a double, b double, y string, w double"
+    spec = models.fit_softmax(spark.createDataFrame(rows + odd, schema), ["a", "b"], "y", CLASSES, c=c, weight="w")
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    scale = np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / w.sum())
+    assert spec["mean"] == pytest.approx(mean) and spec["scale"] == pytest.approx(scale)
+    z, hot = (x - mean) / scale, np.eye(3)[y]
+    per = np.array([w[y == k].sum() for k in range(3)])
+    own = w * (w.sum() / (3 * per))[y]
+    weights, bias = np.array(spec["weights"]), np.array(spec["bias"])
+    logits = z @ weights.T + bias
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert np.abs(c * ((p - hot) * own[:, None]).T @ z + weights).max() < 1e-2 and np.abs(((p - hot) * own[:, None]).sum(0)).max() < 1e-2
+    twice = models.fit_softmax(spark.createDataFrame([r[:3] for r in rows for _ in range(int(r[3]))], "a double, b double, y string"), ["a", "b"], "y", CLASSES, c=c)
+    assert np.array(twice["weights"]) == pytest.approx(weights, abs=1e-4) and twice["mean"] == pytest.approx(spec["mean"])

@@ -371,12 +371,25 @@ def test_group_split_walks_like_a_loop(spark):
     assert Q.group_split(spark.createDataFrame([], "g string"), "g", 3, 1, exact=False).count() == 0
 
 
+def test_light_groups_are_dealt_in_tasks(spark):
+    rnd = random.Random(4)
+    rows = [(g, rnd.choice("xyz") if g % 3 else "x") for g in range(900) for _ in range(rnd.randint(1, 4))]
+    rows += [(1000 + g, "yz"[g % 2]) for g in range(3) for _ in range(200)] + [(None, "x"), (1, None)]
+    df = spark.createDataFrame(rows, "g long, y string").repartition(5)
+    fold = {r.g: r.fold for r in Q.stratified_folds(df, "g", "y", 4, heavy=8).collect()}
+    assert set(fold) == {g for g, _ in rows if g is not None} and fold == {r.g: r.fold for r in Q.stratified_folds(df.repartition(2), "g", "y", 4, heavy=8).collect()}
+    n = {c: [sum(fold[g] == f for g, y in rows if g is not None and y == c) for f in range(4)] for c in "xyz"}
+    assert max(n["x"]) - min(n["x"]) < 0.15 * sum(n["x"]) / 4 and len({fold[1000], fold[1001], fold[1002]}) >= 2
+    assert all(max(x) - min(x) <= 200 for x in n.values())
+    assert [r.no for r in Q.numbered(spark.range(100).repartition(7), "no", F.desc("id")).orderBy("id").collect()] == list(range(99, -1, -1))
+    with pytest.raises(ValueError):
+        Q.stratified_folds(df.where("g < 3"), "g", "y", 4)
+
+
 def test_folds_take_every_class_of_every_group(spark):
     rows = [(f"g{i % 3}", f"c{i % 40}") for i in range(120)]
     df = spark.createDataFrame(rows, "g string, y string")
-    assert Q.stratified_folds(df, "g", "y", 3, most_groups=3).count() == 3
-    with pytest.raises(ValueError):
-        Q.stratified_folds(df, "g", "y", 2, most_groups=2)
+    assert Q.stratified_folds(df, "g", "y", 3).count() == 3
 
 
 def test_folds_keep_groups_whole(spark):
