@@ -353,6 +353,42 @@ def test_clusters_and_ordered_labels():
     assert k == 1 and set(label) == {2}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 40])
+def test_groups_of_one_size_are_judged_as_each_alone(n):
+    rng = np.random.default_rng(n)
+    values, probs = rng.integers(1, 51, (60, n)).astype(float), rng.random((60, n, 3)).round(1)
+    label, k = Q.label_many(values, probs, [2, 1, 0], 12.0)
+    boxes, scores = rng.integers(0, 30, (60, n, 4)).astype(float), rng.integers(0, 5, (60, n)).astype(float)
+    boxes[:, :, 2:] += boxes[:, :, :2]
+    if n == 8:
+        scores[::5, 3] = np.nan
+    rank = Q.keep_many(boxes, scores, 0.3, 5)
+    for g in range(60):
+        own, groups = Q.ordered_labels(values[g], probs[g], [2, 1, 0], 12.0)
+        assert own.tolist() == label[g].tolist() and groups == k[g]
+        kept = Q.greedy_keep(boxes[g], scores[g], 0.3, 5)
+        assert rank[g, kept].tolist() == list(range(1, len(kept) + 1)) and (rank[g] > 0).sum() == len(kept)
+
+
+def test_label_groups_goes_through_many_groups_at_a_time(spark):
+    """Groups of several sizes, one beyond a batch, a null one, and numbers of rows that are not unique."""
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 9 == 0 else int(i % 9 * rng.integers(1, 60)), int(rng.integers(0, 5)), float(rng.integers(1, 51)), *map(float, rng.random(3).round(2))) for i in range(3000)]
+    rows += [(-1, i, float(i % 50), 0.2, 0.3, 0.5) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "image long, bean long, value double, p0 double, p1 double, p2 double").repartition(3)
+    got = Q.label_groups(df, "image", "bean", "value", ["p0", "p1", "p2"])
+    groups = {}
+    for image, *row in rows:
+        groups.setdefault(image, []).append(row)
+    want = []
+    for image, g in groups.items():
+        g = sorted(g)
+        label, k = Q.ordered_labels(np.array([r[1] for r in g]), np.array([r[2:] for r in g]), [2, 1, 0], 12.0)
+        want += [(image, r[0], int(x), k) for r, x in zip(g, label)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
 def test_group_split_walks_like_a_loop(spark):
     for seed, sizes, target in [(1, [3, 5, 2, 9, 1, 4, 1, 7, 2, 6] * 3, 40), (2, [8, 8, 8, 1, 1], 11), (3, [2, 2], 4), (4, [5], 0), (5, [9, 9], 4)]:
         rows = [(f"g{i}",) for i, n in enumerate(sizes) for _ in range(n)] + [(None,)]
