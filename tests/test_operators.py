@@ -389,6 +389,22 @@ def test_label_groups_goes_through_many_groups_at_a_time(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
 
 
+def test_suppress_goes_through_many_images_at_a_time(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 9 == 0 else f"i{i % 9 * rng.integers(1, 60)}", i, *c, c[0] + 9, c[1] + 9, s) for i, (c, s) in enumerate(zip(rng.integers(0, 9, (3000, 2)).astype(float).tolist(), rng.integers(0, 9, 3000).astype(float).tolist()))]
+    df = spark.createDataFrame(rows, "image string, box long, x0 double, y0 double, x1 double, y1 double, score double").repartition(3)
+    got = Q.suppress(df, "image", "box", "score", 0.5, 4)
+    groups = {}
+    for image, *row in rows:
+        groups.setdefault(image, []).append(row)
+    want = []
+    for image, g in groups.items():
+        kept = Q.greedy_keep(np.array([r[1:5] for r in g]), np.array([r[5] for r in g]), 0.5, 4)
+        want += [(image, g[i][0], r + 1) for r, i in enumerate(kept)]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+
+
 def test_group_split_walks_like_a_loop(spark):
     for seed, sizes, target in [(1, [3, 5, 2, 9, 1, 4, 1, 7, 2, 6] * 3, 40), (2, [8, 8, 8, 1, 1], 11), (3, [2, 2], 4), (4, [5], 0), (5, [9, 9], 4)]:
         rows = [(f"g{i}",) for i, n in enumerate(sizes) for _ in range(n)] + [(None,)]
