@@ -45,10 +45,11 @@ def _part_before(spark: SparkSession, path: str, before: int) -> str | None:
 
 def project(valid: DataFrame) -> DataFrame:
     """The stored columns of valid events; needs ingest_seq and payload."""
-    v, r = E.variant(F.col("payload")), "$.result"
-    return valid.select(
-        "ingest_seq", F.try_variant_get(v, "$.msg_id", "string").alias("msg_id"), E.text(v, "$.created_at").alias("created_at"), E.text(v, f"{r}.status").alias("status"), E.text(v, f"{r}.label").alias("label"),
-        F.try_variant_get(v, f"{r}.confidence", "double").alias("confidence"), E.text(v, f"{r}.model").alias("model"), F.to_json(E.at(v, r)).alias("result_json"), E.estimated(v, r).cast("int").alias("estimated"),
+    event, own = F.col("_e"), F.col("_m")
+    told = valid.withColumn("_e", E.members(E.variant(F.col("payload")))).withColumn("_m", E.members(event["result"]))
+    return told.select(
+        "ingest_seq", F.try_variant_get(event["msg_id"], "$", "string").alias("msg_id"), E.text(event["created_at"], "$").alias("created_at"), E.text(own["status"], "$").alias("status"), E.text(own["label"], "$").alias("label"),
+        F.try_variant_get(own["confidence"], "$", "double").alias("confidence"), E.text(own["model"], "$").alias("model"), F.to_json(event["result"]).alias("result_json"), E.estimated(own).cast("int").alias("estimated"),
     )
 
 
@@ -129,17 +130,26 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, f"{folder}/predictions", PREDICTIONS).withColumn("estimated", F.coalesce("estimated", F.lit(0)))
 
 
+def _usable(predictions: DataFrame) -> DataFrame:
+    """Stored results with what they add, whether they count (usable status, adding counts), and whether only visible
+    ones were counted."""
+    told = E.contributions(predictions, "result_json")
+    counts = F.coalesce(F.col("status").isin("ok", "low_confidence") & F.col("added").isNotNull(), F.lit(False))
+    # not deterministic, so that a filter stays above the facts and does not work them out once more
+    told = told.withColumn("_counts", F.when(F.monotonically_increasing_id() >= 0, counts))
+    return told.withColumn("visible_only", F.array_contains(E.warnings(E.variant(F.col("result_json")), "$.warnings"), "count_visible_only"))
+
+
 def counted(predictions: DataFrame) -> DataFrame:
     """Stored results of usable status that add counts, with what they add and whether only visible ones were counted."""
-    told = E.contributions(predictions.where(F.col("status").isin("ok", "low_confidence")), "result_json").where("added is not null")
-    return told.withColumn("visible_only", F.array_contains(E.warnings(E.variant(F.col("result_json")), "$"), "count_visible_only"))
+    return _usable(predictions).where("_counts").drop("_counts")
 
 
 def totals(predictions: DataFrame) -> DataFrame:
-    """One row: sums by class, estimated and visible-only results, results counted, rows seen."""
-    some = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    c = counted(predictions).agg(*[some(F.col(f"added.{x}")).alias(x) for x in E.LABELS], some(F.col("estimated")).alias("estimated"), some(F.col("visible_only")).alias("visible_only"), F.count("*").alias("results"))
-    return c.join(F.broadcast(predictions.agg(F.count("*").alias("n_rows"))))  # one row each
+    """One row: sums by class, estimated and visible-only results, results counted, rows seen. One pass over the rows."""
+    some = lambda c: F.coalesce(F.sum(F.when(F.col("_counts"), c.cast("long"))), F.lit(0))
+    sums = [some(F.col(f"added.{x}")).alias(x) for x in E.LABELS]
+    return _usable(predictions).agg(*sums, some(F.col("estimated")).alias("estimated"), some(F.col("visible_only")).alias("visible_only"), F.count_if("_counts").alias("results"), F.count("*").alias("n_rows"))
 
 
 def _newest_first() -> list:
