@@ -22,7 +22,7 @@ SELECT image, box, min(x)::INT AS x, min(y)::INT AS y, (max(x) - min(x) + 1)::IN
 def box_raster(t, spark):
     """Boxes painted on a grid, the smaller over the larger, and the bounds of what is left of each."""
     quarter = boxes(t).select("image", "box", *[(F.col(c) / 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return raster.bounds(raster.painted(quarter, "image", "box", 28, 28, 0.1), ["image", "box"])
+    return raster.painted_bounds(quarter, "image", "box", 28, 28, 0.1)
 
 
 def colours(t):
