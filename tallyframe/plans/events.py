@@ -104,7 +104,8 @@ def estimated(t, spark):
     """P06."""
     i = F.col("event_id")
     j = F.concat(F.lit('{"count_method":'), F.when(i % 3 == 0, '"estimated"').otherwise("null"), F.lit(',"warnings":'), F.when(i % 5 == 0, '["bean_count_estimated"]').otherwise("null"), F.lit("}"))
-    return t("events").select("event_id", E.estimated(E.variant(j), "$").alias("estimated"))
+    told = t("events").select("event_id", E.members(E.variant(j)).alias("_m"))
+    return told.select("event_id", E.estimated(F.col("_m")).alias("estimated"))
 
 
 @query("q_clean_warnings", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'mixed_roast,blurry' ELSE 'blurry' END AS warnings FROM events")

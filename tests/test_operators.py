@@ -174,6 +174,16 @@ def test_event_envelope(spark):
     assert got == [None, None, *["not_object"] * 3, "msg_id", "created_at", "created_at", "result_not_object", "not_object"]
 
 
+def test_estimated_flag(spark, tmp_path):
+    spark.range(-16, 31).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.estimated for r in catalog.QUERIES["q_estimated_flag"](spark, str(tmp_path)).collect()}
+    assert got == {i: i % 3 == 0 or i % 5 == 0 for i in range(-16, 31)}
+    told = [{"count_method": "estimated"}, {"count_method": "exact", "warnings": ["x", "bean_count_estimated"]}, {"count_method": True, "warnings": "x"}, {"warnings": {"bean_count_estimated": 1}}, {}]
+    rows = [(i, x) for i, x in enumerate([*map(json.dumps, told), "[]", "nonsense", None])]
+    df = spark.createDataFrame(rows, "i int, j string").select("i", E.members(E.variant(F.col("j"))).alias("m"))
+    assert [r.e for r in df.select("i", E.estimated(F.col("m")).alias("e")).orderBy("i").collect()] == [True, True, *[False] * 6]
+
+
 def plain_apportion(n, shares):
     raw = [n * s / sum(shares) for s in shares]
     base = [int(x) for x in raw]
